@@ -66,13 +66,19 @@ def to_number(c: Column | str) -> Column:
 
 def to_int_default(c: Column | str, suffix: str = "월", default: int = 0) -> Column:
     """Drop a unit suffix, coerce, null -> default, truncate to int."""
-    s = strip(F.replace(col_of(c).cast("string"), F.lit(suffix), F.lit("")))
+    s = col_of(c).cast("string")
+    if suffix:
+        s = F.replace(s, F.lit(suffix), F.lit(""))
+    s = strip(s)
     return F.coalesce(s.try_cast("double").try_cast("int"), F.lit(default))
 
 
 def round_half_even(c: Column | str, scale: int = 3) -> Column:
-    """banker's rounding as pandas/Python ``round`` (``F.round`` is half-up)."""
-    return F.bround(col_of(c), scale)
+    """pandas/numpy rounding: ``rint(x * 10^n) / 10^n`` — half-even on the binary
+    value (``F.round`` is half-up; ``F.bround`` rounds the decimal text, which differs
+    e.g. for 2.675)."""
+    f = float(10 ** scale)
+    return F.rint(col_of(c).cast("double") * f) / f
 
 
 def blank_string_to_null(c: Column | str) -> Column:
@@ -101,7 +107,7 @@ def date_key(c: Column | str) -> Column:
 def compass16(deg: Column | str) -> Column:
     """Degrees -> 16-point label by half-even rounding of deg/22.5; null -> '-'."""
     d = col_of(deg).cast("double")
-    idx = F.pmod(F.bround(d / 22.5, 0).cast("long"), F.lit(16)) + 1
+    idx = F.pmod(F.rint(d / 22.5).cast("long"), F.lit(16)) + 1
     return F.when(d.isNull(), F.lit("-")).otherwise(
         F.element_at(F.array(*[F.lit(x) for x in COMPASS_16]), idx.cast("int")))
 

@@ -30,28 +30,58 @@ EXCEL_SERIAL_RANGE = (1000.0, 200000.0)
 # Two-digit years at or after this parsed year belong to the previous century.
 TWO_DIGIT_PIVOT_YEAR = 2069
 
-_AMPM_TAIL = r"(?i)^(\d{4}[-/]\d{2}[-/]\d{2})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s+(AM|PM)"
-_AMPM_KR_MID = r"^(\d{4}[-/]\d{2}[-/]\d{2})\s+(오전|오후)\s+(\d{1,2}:\d{2}(?::\d{2})?)"
 
 
-def _ntz(ts: Column) -> Column:
-    return ts.cast("timestamp_ntz")
+# Accepted shapes (validated by one regex each; components then come from a split).
+_GENERAL_RX = (r"^(?:[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}(?: [0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?)?"
+               r"|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+               r"|[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}|[0-9]{8})$")
+_YY_RX = r"^[0-9]{2}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?$"
 
 
-def _try_fmt(s: Column, fmt: str) -> Column:
-    ts = _ntz(F.try_to_timestamp(s, F.lit(fmt)))
-    if "yy" in fmt and "yyyy" not in fmt:
-        ts = F.when(F.year(ts) >= TWO_DIGIT_PIVOT_YEAR, ts - F.make_ym_interval(F.lit(100), F.lit(0))
-                    ).otherwise(ts)
-    return ts
+def _int(x: Column) -> Column:
+    return F.coalesce(x.try_cast("int"), F.lit(0))
 
 
-def parse_with_formats(c: Column | str, formats: Sequence[str]) -> Column:
-    """First format that parses the whole stripped text wins; blank -> null."""
+def _make_ts(y: Column, mo: Column, d: Column, h: Column, mi: Column, sec: Column) -> Column:
+    return F.try_make_timestamp_ntz(_int(y), _int(mo), _int(d), _int(h), _int(mi),
+                                    _int(sec).cast("decimal(8,6)"))
+
+
+def parse_datetime(c: Column | str, two_digit_year: bool = False) -> Column:
+    """Parse the explicit format list (no free-form inference, D8) without exceptions.
+
+    Accepted (month/day/hour/minute/second with 1 or 2 digits):
+    ``yyyy-M-d``, ``yyyy/M/d`` each optionally followed by `` H:m`` or `` H:m:s``;
+    ``yyyy-M-d'T'H:m:s``; ``yyyy.M.d``; ``yyyyMMdd``; and with ``two_digit_year``
+    also ``yy/M/d H:m[:s]`` where years 00..68 are 20yy and 69..99 are 19yy (D9).
+    Invalid calendar values (Feb 30, hour 24, ...) give null.
+    """
     c = col_of(c)
     s = strip(c)
-    parsed = F.coalesce(*[_try_fmt(s, f) for f in formats])
-    return F.when(is_blank(c), F.lit(None).cast("timestamp_ntz")).otherwise(parsed)
+    ok = s.rlike(_GENERAL_RX)
+    parts = F.split(s, "[-/. T:]")
+
+    def part(i: int) -> Column:
+        return F.try_element_at(parts, F.lit(i))
+
+    one_part = F.size(parts) == 1
+    y = F.when(one_part, F.substring(s, 1, 4)).otherwise(part(1))
+    mo = F.when(one_part, F.substring(s, 5, 2)).otherwise(part(2))
+    d = F.when(one_part, F.substring(s, 7, 2)).otherwise(part(3))
+    year = _int(y)
+    if two_digit_year:
+        yy = s.rlike(_YY_RX)
+        ok = ok | yy
+        year = F.when(yy, F.when(year < TWO_DIGIT_PIVOT_YEAR - 2000, year + 2000).otherwise(year + 1900)
+                      ).otherwise(year)
+    ts = _make_ts(year, mo, d, part(4), part(5), part(6))
+    return F.when(~is_blank(c) & ok, ts)
+
+
+def parse_with_formats(c: Column | str, formats: Sequence[str]) -> Column:
+    """Compatibility wrapper: the permit list when it contains two-digit years, else general."""
+    return parse_datetime(c, any("yy" in f and "yyyy" not in f for f in formats))
 
 
 def parse_ts_formats(c: Column | str, formats: Sequence[str] = PERMIT_FORMATS,
@@ -69,11 +99,26 @@ def excel_serial_to_ts(x: Column | str) -> Column:
     return F.when((x > lo) & (x < hi), ts)
 
 
-def _ampm(date_part: Column, time_part: Column, marker: Column) -> Column:
-    t_full = F.when(F.size(F.split(time_part, ":")) == 2, F.concat(time_part, F.lit(":00"))
-                    ).otherwise(time_part)
-    text = F.concat_ws(" ", F.translate(date_part, "/", "-"), t_full, marker)
-    return _ntz(F.try_to_timestamp(text, F.lit("yyyy-MM-dd h:mm:ss a")))
+_TAIL_RX = r"(?i)^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}\s+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\s+(AM|PM)"
+_KR_RX = r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}\s+(오전|오후)\s+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
+_TIME_RX = r"^[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
+
+
+def _ampm_ts(s: Column) -> tuple[Column, Column]:
+    """(matched?, timestamp) for ``date time AM|PM`` and ``date 오전|오후 time`` (prefix match)."""
+    tail, kr = s.rlike(_TAIL_RX), s.rlike(_KR_RX)
+    tok = F.split(s, r"\s+")
+    date = F.element_at(tok, 1)
+    t = F.regexp_extract(F.when(tail, F.try_element_at(tok, F.lit(2))).otherwise(F.try_element_at(tok, F.lit(3))),
+                         _TIME_RX, 0)
+    tp = F.split(t, ":")
+    h = _int(F.element_at(tp, 1))
+    pm = F.when(tail, F.upper(F.substring(F.try_element_at(tok, F.lit(3)), 1, 2)) == "PM"
+                ).otherwise(F.try_element_at(tok, F.lit(2)) == "오후")
+    hour = (h % 12) + F.when(pm, F.lit(12)).otherwise(F.lit(0))
+    ts = _make_ts(F.substring(date, 1, 4), F.substring(date, 6, 2), F.substring(date, 9, 2),
+                  hour.cast("string"), F.element_at(tp, 2), F.try_element_at(tp, F.lit(3)))
+    return tail | kr, F.when(h.between(1, 12), ts)
 
 
 def parse_ts_mixed(c: Column | str, numeric: bool = False,
@@ -91,30 +136,17 @@ def parse_ts_mixed(c: Column | str, numeric: bool = False,
     if numeric:
         return excel_serial_to_ts(c)
     s = strip(c)
-    tail_date = F.regexp_extract(s, _AMPM_TAIL, 1)
-    kr_date = F.regexp_extract(s, _AMPM_KR_MID, 1)
-    tail = _ampm(tail_date, F.regexp_extract(s, _AMPM_TAIL, 2),
-                 F.upper(F.regexp_extract(s, _AMPM_TAIL, 3)))
-    kr_mark = F.when(F.regexp_extract(s, _AMPM_KR_MID, 2) == "오전", F.lit("AM")).otherwise(F.lit("PM"))
-    kr = _ampm(kr_date, F.regexp_extract(s, _AMPM_KR_MID, 3), kr_mark)
-    out = (F.when(is_blank(c), F.lit(None).cast("timestamp_ntz"))
-           .when(tail_date != "", tail)
-           .when(kr_date != "", kr))
+    matched, ampm = _ampm_ts(s)
+    out = F.when(is_blank(c), F.lit(None).cast("timestamp_ntz")).when(matched, ampm)
     if accept_text_serial:
         out = out.when(s.rlike(r"^[0-9]+(\.[0-9]+)?$") & ~s.rlike(r"^[0-9]{8}$"),
                        excel_serial_to_ts(s.try_cast("double")))
-    return out.otherwise(F.coalesce(*[_try_fmt(s, f) for f in general]))
+    return out.otherwise(parse_datetime(c, False))
 
 
 def parse_date_flex(c: Column | str, general: Sequence[str] = GENERAL_FORMATS) -> Column:
     """Exactly eight digits -> ``yyyyMMdd`` (invalid -> null), else the general list."""
-    c = col_of(c)
-    s = strip(c)
-    eight = F.try_to_date(s, "yyyyMMdd")
-    gen = F.to_date(F.coalesce(*[_try_fmt(s, f) for f in general]))
-    return (F.when(is_blank(c), F.lit(None).cast("date"))
-            .when(s.rlike("^[0-9]{8}$"), eight)
-            .otherwise(gen))
+    return F.to_date(parse_datetime(c, False))
 
 
 def publication_slot(ts: Column | str, slots: Sequence[str] = BASE_TIMES,
