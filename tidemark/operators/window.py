@@ -41,25 +41,45 @@ def keep_last_window(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
 
 def keep_latest_n(files: DataFrame, group: str, n: int = 7, mtime: str = "modification_time",
                   name: str = "file_name", out_col: str = "action") -> DataFrame:
-    """Per group keep the newest ``n`` files (mtime desc, then name); the rest -> 'delete'."""
+    """Per group keep the newest ``n`` files (mtime desc, then name); the rest -> 'delete'.
+
+    ``row_number() <= n`` lets Spark insert a partial window-group-limit before
+    the shuffle, so every task forwards at most ``n`` rows per group; the small
+    keep-set (n x groups, size-checked) is then joined back to all files.
+    """
+    from .joins import bounded_broadcast
     w = Window.partitionBy(group).orderBy(F.col(mtime).desc_nulls_last(), F.col(name))
-    return (files.withColumn("rank", F.row_number().over(w))
-            .withColumn(out_col, F.when(F.col("rank") <= n, F.lit("keep")).otherwise(F.lit("delete"))))
+    keep = (files.select(group, name, mtime).withColumn("rank", F.row_number().over(w))
+            .filter(F.col("rank") <= n).select(F.col(group).alias("_g"), F.col(name).alias("_n"), "rank"))
+    j = files.join(bounded_broadcast(keep), (F.col(group) == F.col("_g")) & (F.col(name) == F.col("_n")), "left")
+    return (j.withColumn(out_col, F.when(F.col("rank").isNotNull(), F.lit("keep")).otherwise(F.lit("delete")))
+            .drop("_g", "_n"))
 
 
 def date_header_change(df: DataFrame, date_col: str, partition: Sequence[str],
                        out_col: str = "is_first_of_date",
                        tiebreak: Sequence[str] = ()) -> DataFrame:
-    """In ``date desc`` order, flag the first row of each date.
+    """In ``date desc`` order (ties by ``tiebreak``), flag the first row of each date
+    within the partition (team, ...).
 
-    A partition column (team, month, ...) is required so no single task holds
-    the whole table.
+    The first row of a date is the row with the smallest tiebreak among that
+    (partition, date): computed as an aggregate (partial, so a hot date never
+    sits in one task) and joined back — no global window over the partition.
     """
     if not partition:
         raise ValueError("date_header_change needs a partition column")
-    w = Window.partitionBy(*partition).orderBy(F.col(date_col).desc(), *[F.col(t) for t in tiebreak])
-    prev = F.lag(F.col(date_col)).over(w)
-    return df.withColumn(out_col, prev.isNull() | (prev != F.col(date_col)))
+    keys = [*partition, date_col]
+    if not tiebreak:
+        return df.withColumn(out_col, F.lit(True))
+    tb = F.struct(*[F.col(t) for t in tiebreak])
+    firsts = df.groupBy(*keys).agg(F.min(tb).alias("_first")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
+    j = df.join(firsts, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
+    cond = None
+    for t in tiebreak:
+        c = F.col(t).eqNullSafe(F.col(f"_first.{t}"))
+        cond = c if cond is None else cond & c
+    return j.select(*[F.col(c) for c in df.columns], cond.alias(out_col))
 
 
 def changed_since(files: DataFrame, seen: DataFrame, keys: Sequence[str] = ("file_name", "modification_time"),

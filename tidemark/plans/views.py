@@ -37,8 +37,12 @@ def _case(expr, mapping: dict) -> F.Column:
 
 # ------------------------------------------------------------------ v_permit
 def v_permit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                             "o_orderdate", "o_orderpriority")
+    return permit_view(read(spark, sf_dir, "orders"))
+
+
+def permit_view(orders: DataFrame) -> DataFrame:
+    """Raw permit sheet rows rendered from order rows (usable on a stream micro-batch)."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     bt = F.timestamp_add("MINUTE", (k % 10) * 60 + (k % 4) * 15, F.col("o_orderdate"))
     hn = (ck % 40 + 2601).cast("string")
