@@ -38,9 +38,13 @@ def strip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """Null, or text that is empty / nan / nat / none after strip."""
+    """Null, or text that is empty / nan / nat / none after strip.
+
+    The length guard keeps ``lower()`` off every ordinary (longer) value.
+    """
     c = col_of(c)
-    return c.isNull() | F.lower(strip(c)).isin(*BLANK_TOKENS)
+    s = strip(c)
+    return c.isNull() | ((F.length(s) <= 4) & F.lower(s).isin(*BLANK_TOKENS))
 
 
 def ensure_sn(c: Column | str) -> Column:

@@ -44,7 +44,8 @@ def _int(x: Column) -> Column:
 
 
 def _make_ts(y: Column, mo: Column, d: Column, h: Column, mi: Column, sec: Column) -> Column:
-    return F.try_make_timestamp_ntz(_int(y), _int(mo), _int(d), _int(h), _int(mi),
+    # The year is never defaulted: a null year (rejected shape) makes the result null.
+    return F.try_make_timestamp_ntz(y.try_cast("int"), _int(mo), _int(d), _int(h), _int(mi),
                                     _int(sec).cast("decimal(8,6)"))
 
 
@@ -56,27 +57,31 @@ def parse_datetime(c: Column | str, two_digit_year: bool = False) -> Column:
     ``yyyy-M-d'T'H:m:s``; ``yyyy.M.d``; ``yyyyMMdd``; and with ``two_digit_year``
     also ``yy/M/d H:m[:s]`` where years 00..68 are 20yy and 69..99 are 19yy (D9).
     Invalid calendar values (Feb 30, hour 24, ...) give null.
+
+    One regex validates the shape; the components come from one unconditional
+    ``split`` (evaluated once per row thanks to subexpression elimination) and
+    ``try_make_timestamp_ntz``.
     """
     c = col_of(c)
     s = strip(c)
-    ok = s.rlike(_GENERAL_RX)
-    parts = F.split(s, "[-/. T:]")
+    rx = _GENERAL_RX if not two_digit_year else _GENERAL_RX[:-2] + "|" + _YY_RX[1:-1] + ")$"
+    ok = s.rlike(rx)
+    eight = (F.length(s) == 8) & ~s.contains("-") & ~s.contains("/") & ~s.contains(".")
+    norm = F.when(eight, F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2))
+                  ).otherwise(s)
+    parts = F.split(norm, "[-/. T:]")
 
     def part(i: int) -> Column:
         return F.try_element_at(parts, F.lit(i))
 
-    one_part = F.size(parts) == 1
-    y = F.when(one_part, F.substring(s, 1, 4)).otherwise(part(1))
-    mo = F.when(one_part, F.substring(s, 5, 2)).otherwise(part(2))
-    d = F.when(one_part, F.substring(s, 7, 2)).otherwise(part(3))
-    year = _int(y)
+    year = _int(part(1))
     if two_digit_year:
-        yy = s.rlike(_YY_RX)
-        ok = ok | yy
-        year = F.when(yy, F.when(year < TWO_DIGIT_PIVOT_YEAR - 2000, year + 2000).otherwise(year + 1900)
+        year = F.when(F.length(part(1)) == 2,
+                      F.when(year < TWO_DIGIT_PIVOT_YEAR - 2000, year + 2000).otherwise(year + 1900)
                       ).otherwise(year)
-    ts = _make_ts(year, mo, d, part(4), part(5), part(6))
-    return F.when(~is_blank(c) & ok, ts)
+    # Only the year is gated: everything else stays unconditional so the split is
+    # computed once (CSE does not hoist expressions that occur only inside a branch).
+    return _make_ts(F.when(ok, year), part(2), part(3), part(4), part(5), part(6))
 
 
 def parse_with_formats(c: Column | str, formats: Sequence[str]) -> Column:

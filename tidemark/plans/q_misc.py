@@ -389,3 +389,35 @@ def q_stream_permits(spark, sf_dir):
 
 
 _ = (WORK_CODES, PERMIT_KEYS, EXPECTED_TABLES, catalog_profile, table_health)
+
+
+# ---------------------------------------------------------------------- Q2 / Q3
+# Driver tables profiled as curated tables, with their key column.
+PROFILE_TABLES = {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey",
+                  "part": "p_partkey", "supplier": "s_suppkey", "events": "user_id",
+                  "documents": "doc_id", "conversations": "conv_id"}
+_PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS rows, CAST((SELECT count(*) FROM (DESCRIBE {t})) AS BIGINT) AS cols, "
+    f"count(DISTINCT {k}) AS keys FROM {t}" for t, k in PROFILE_TABLES.items())
+
+
+@register("catalog_profile", f"""
+WITH p AS ({_PROFILE_SQL})
+SELECT *, CASE WHEN rows = 0 THEN 'empty' ELSE 'saved' END AS status FROM p""")
+def q_catalog_profile(spark, sf_dir):
+    tables = {t: read(spark, sf_dir, t) for t in PROFILE_TABLES}
+    return catalog_profile(tables, PROFILE_TABLES)
+
+
+HEALTH_EXPECTED = tuple(PROFILE_TABLES) + ("ptwlist", "weather")
+
+
+@register("table_health", f"""
+WITH p AS ({_PROFILE_SQL}),
+e AS (SELECT * FROM (VALUES {', '.join(f"('{t}')" for t in HEALTH_EXPECTED)}) v("table"))
+SELECT e."table", CASE WHEN p.rows IS NULL THEN 'WARN' ELSE 'PASS' END AS "check",
+  CASE WHEN p.rows IS NULL THEN 'missing' ELSE CAST(p.rows AS VARCHAR) || ' x ' || CAST(p.cols AS VARCHAR) END AS detail
+FROM e LEFT JOIN p ON e."table" = p."table\"""")
+def q_table_health(spark, sf_dir):
+    prof = catalog_profile({t: read(spark, sf_dir, t) for t in PROFILE_TABLES}, PROFILE_TABLES)
+    return table_health(spark, prof, HEALTH_EXPECTED)

@@ -113,17 +113,15 @@ def q_keep_last(spark, sf_dir):
 
 @register("accumulate", with_views("v_permit") + f"""
 , base AS (SELECT {Q.ensure_sn('HULLNO')} AS PJT, ACODENM, AREA_DETAIL, DEPTNM, STDATE, _seq,
-                  CASE WHEN {Q.parse_permit('STDATE')} < TIMESTAMP '1998-01-01' OR {Q.parse_permit('STDATE')} IS NULL
-                       THEN 0 ELSE 1 END AS _batch FROM v_permit)
+                  CASE WHEN _odate < TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS _batch FROM v_permit)
 SELECT PJT, ACODENM, AREA_DETAIL, DEPTNM, STDATE, _seq, _batch FROM base
 QUALIFY row_number() OVER (PARTITION BY PJT, ACODENM, AREA_DETAIL ORDER BY _batch DESC, _seq DESC) = 1""")
 def q_accumulate(spark, sf_dir):
-    """Stored table = permits that started before 1998 (or without a start), load = the rest."""
+    """Stored table = permits of orders placed before 1998, load = the later ones."""
     p = v_permit(spark, sf_dir).select(tf.ensure_sn("HULLNO").alias("PJT"), "ACODENM", "AREA_DETAIL",
-                                       "DEPTNM", "STDATE", "_seq")
-    st = tf.parse_ts_formats("STDATE")
-    old = st.isNull() | (st < F.lit("1998-01-01").cast("timestamp_ntz"))
-    merged = accumulate_keep_last(p.filter(old), p.filter(~old), _KL_KEYS)
+                                       "DEPTNM", "STDATE", "_seq", "_odate")
+    old = F.col("_odate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    merged = accumulate_keep_last(p.filter(old).drop("_odate"), p.filter(~old).drop("_odate"), _KL_KEYS)
     return merged.select("PJT", "ACODENM", "AREA_DETAIL", "DEPTNM", "STDATE", "_seq",
                          F.col("_batch").cast("int").alias("_batch"))
 

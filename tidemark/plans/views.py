@@ -21,7 +21,18 @@ VISIT_DEPTS = ("시운전1부", "해운1과", None, "")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table, spread over the cluster when the scan is under-partitioned."""
+    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the scan yields fewer splits than the cluster
+    has cores (e.g. a small file with one row group).  Large inputs already have
+    many splits, so at scale this is a no-op and adds no shuffle."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
 
 
 def _sql_list(values) -> str:
@@ -52,6 +63,7 @@ def permit_view(orders: DataFrame) -> DataFrame:
     o = o.withColumns({"_bt": bt, "_fmt": fmt})
     return o.select(
         k.alias("_seq"),
+        F.col("o_orderdate").alias("_odate"),
         F.lit("APPROVED").alias("KYULGBN"),
         F.substring("o_orderpriority", 1, 1).alias("PTW_AGBN"),
         F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit(" ")))
@@ -71,7 +83,7 @@ def permit_view(orders: DataFrame) -> DataFrame:
 
 SQL_V_PERMIT = f"""
 v_permit AS (
-  SELECT o_orderkey AS _seq,
+  SELECT o_orderkey AS _seq, o_orderdate AS _odate,
     'APPROVED' AS KYULGBN,
     substr(o_orderpriority, 1, 1) AS PTW_AGBN,
     CASE WHEN o_orderkey % 3 = 0 THEN ' ' || o_orderstatus || ' ' ELSE o_orderstatus END AS TEAMNM,
