@@ -11,6 +11,7 @@ from ..operators.filters import COMMISSIONING_DEPTS
 from . import sqlfrag as Q
 from .pipelines import RA_COLUMNS, RA_KEYS, assessment_cards
 from .queries import register
+from ..session import work_dir
 from .views import read, v_visit, with_views
 
 AS_OF = "2001-12-31"
@@ -133,7 +134,10 @@ SELECT {', '.join(RA_COLUMNS)} FROM state m
 WHERE manual = 'Y' AND NOT EXISTS (SELECT 1 FROM cards c WHERE c.company = m.company AND c.period_start = m.period_start
   AND c.period_end = m.period_end AND c.work_content = m.work_content AND c.dept = m.dept)""")
 def q_restore_state(spark, sf_dir):
-    cards = assessment_cards(v_visit(spark, sf_dir), AS_OF)
+    """The derived cards are checkpointed once (reliable checkpoint in the shared work
+    folder): the stored state is built from them, as a stored table would be read."""
+    work_dir(spark)
+    cards = assessment_cards(v_visit(spark, sf_dir), AS_OF).checkpoint(eager=True)
     return rederive_preserving_state(cards, existing_state(cards), RA_KEYS).select(*RA_COLUMNS)
 
 
