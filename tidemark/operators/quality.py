@@ -85,30 +85,29 @@ def risk_rules(df: DataFrame, rules: Mapping[str, float] = WEATHER_RULES) -> Dat
 
 def rejected_report(raw: DataFrame, kept: DataFrame, group_col: str, expanded: DataFrame | None = None,
                     unmapped: Sequence[str] = (), top: int = 5) -> DataFrame:
-    """Q5: rows in / kept / dropped, the top dropped values of ``group_col`` and unmapped headers.
-
-    One row; ``top_dropped`` is an array of ``value (n)`` strings (top-k report).
-    """
+    """Q5: rows in / kept / expanded / dropped, the top dropped values of ``group_col``
+    (``value (n)``, a top-k report) and the unmapped headers — ONE aggregate over a
+    tagged union, no join."""
     from .aggregate import top_n_values
-    dropped = raw.join(kept.select("_seq").withColumn("_k", F.lit(True)), "_seq", "left").filter(
-        F.col("_k").isNull())
-    tops = top_n_values(dropped, group_col, top).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))),
-        lambda x: F.concat(x["value"], F.lit(" ("), (-x["neg"]).cast("string"), F.lit(")")))
-        .alias("top_dropped"))
-    counts = raw.select(F.lit(0).alias("_t")).unionByName(kept.select(F.lit(1).alias("_t")))
+    dropped = raw.join(kept.select("_seq"), "_seq", "left_anti")
+    tops = top_n_values(dropped, group_col, top)
+    parts = [raw.select(F.lit(0).alias("_t"), F.lit(None).cast("string").alias("_v"), F.lit(None).cast("long").alias("_n")),
+             kept.select(F.lit(1).alias("_t"), F.lit(None).cast("string").alias("_v"), F.lit(None).cast("long").alias("_n")),
+             tops.select(F.lit(3).alias("_t"), F.col("value").alias("_v"), F.col("n").cast("long").alias("_n"))]
     if expanded is not None:
-        counts = counts.unionByName(expanded.select(F.lit(2).alias("_t")))
-    c = counts.agg(F.count_if(F.col("_t") == 0).alias("rows_in"), F.count_if(F.col("_t") == 1).alias("rows_kept"),
-                   F.count_if(F.col("_t") == 2).alias("rows_expanded"))
-    c = c.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept")).withColumn(
-        "unmapped", F.array(*[F.lit(u) for u in unmapped]).cast("array<string>"))
-    return _one_row_merge(c, tops)
-
-
-def _one_row_merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Combine two single-row frames side by side via a constant equi-key."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        parts.append(expanded.select(F.lit(2).alias("_t"), F.lit(None).cast("string").alias("_v"),
+                                     F.lit(None).cast("long").alias("_n")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    t = F.col("_t")
+    top_list = F.transform(
+        F.sort_array(F.collect_list(F.when(t == 3, F.struct((-F.col("_n")).alias("neg"), F.col("_v").alias("value"))))),
+        lambda x: F.concat(x["value"], F.lit(" ("), (-x["neg"]).cast("string"), F.lit(")")))
+    c = u.agg(F.count_if(t == 0).alias("rows_in"), F.count_if(t == 1).alias("rows_kept"),
+              F.count_if(t == 2).alias("rows_expanded"), top_list.alias("top_dropped"))
+    return (c.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept"))
+            .withColumn("unmapped", F.array(*[F.lit(u_) for u_ in unmapped]).cast("array<string>")))
 
 
 def adaptive_datetime_columns(df: DataFrame, pattern: str = "오전|오후", max_loss: float = 0.5,

@@ -421,3 +421,68 @@ FROM e LEFT JOIN p ON e."table" = p."table\"""")
 def q_table_health(spark, sf_dir):
     prof = catalog_profile({t: read(spark, sf_dir, t) for t in PROFILE_TABLES}, PROFILE_TABLES)
     return table_health(spark, prof, HEALTH_EXPECTED)
+
+
+# ---------------------------------------------------------------------- C2 sheets
+def v_usage_sheet(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
+                                                "l_tax", "l_discount", "l_returnflag", "l_shipdate")
+    k, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    b = F.timestamp_add("MINUTE", (k % 24) * 60 + (ln % 4) * 15, F.col("l_shipdate"))
+    frac = F.concat(F.floor("l_quantity").cast("long").cast("string"), F.lit("."),
+                    F.lpad(((k * 7 + ln) % 10000).cast("string"), 4, "0"))
+    return li.select(
+        F.concat(F.lit("SN"), F.col("l_suppkey").cast("string")).alias("PJT"),
+        F.col("l_returnflag").alias("일정구분"), F.concat(F.lit("S"), (k % 4).cast("string")).alias("공급처"),
+        F.when(ln % 2 == 0, F.lit("수급")).otherwise(F.lit("사용")).alias("수급사용"),
+        F.when(ln % 3 == 0, F.date_format(b, "yyyy-MM-dd hh:mm a")).otherwise(F.date_format(b, "yyyy-MM-dd HH:mm:ss"))
+        .alias("Start"),
+        F.when(k % 9 == 0, F.lit("")).otherwise(F.date_format(F.timestamp_add("HOUR", F.lit(30), b), "yyyy/MM/dd HH:mm"))
+        .alias("Finish"),
+        F.when(ln == 7, F.lit("n/a")).otherwise(frac).alias("HFO(ton)"),
+        F.concat(F.lit(" "), (F.col("l_tax") * 1000).cast("long").cast("string"), F.lit(".125 ")).alias("LS HFO (ton)"),
+        (F.col("l_discount") * 100).cast("long").cast("string").alias("LS MGO"),
+        (k * 10 + ln).alias("_seq"))
+
+
+@register("sheet_fuel_usage", f"""
+WITH li AS (SELECT *, l_shipdate + to_minutes(CAST((l_orderkey % 24) * 60 + (l_linenumber % 4) * 15 AS BIGINT)) AS b FROM lineitem),
+raw AS (SELECT 'SN' || CAST(l_suppkey AS VARCHAR) AS "PJT", l_returnflag AS "일정구분", 'S' || CAST(l_orderkey % 4 AS VARCHAR) AS "공급처",
+  CASE WHEN l_linenumber % 2 = 0 THEN '수급' ELSE '사용' END AS "수급사용",
+  CASE WHEN l_linenumber % 3 = 0 THEN strftime(b, '%Y-%m-%d %I:%M %p') ELSE strftime(b, '%Y-%m-%d %H:%M:%S') END AS st,
+  CASE WHEN l_orderkey % 9 = 0 THEN '' ELSE strftime(b + INTERVAL 30 HOUR, '%Y/%m/%d %H:%M') END AS fi,
+  CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) || '.'
+       || lpad(CAST((l_orderkey * 7 + l_linenumber) % 10000 AS VARCHAR), 4, '0') END AS hfo,
+  ' ' || CAST(CAST(l_tax * 1000 AS BIGINT) AS VARCHAR) || '.125 ' AS lshfo,
+  CAST(CAST(l_discount * 100 AS BIGINT) AS VARCHAR) AS lsmgo, l_orderkey * 10 + l_linenumber AS _seq FROM li)
+SELECT "PJT", "일정구분", "공급처", "수급사용", {Q.parse_mixed('st')} AS "Start", {Q.parse_mixed('fi')} AS "Finish",
+  {Q.round_half_even('try_cast(trim(hfo) AS DOUBLE)', 3)} AS "HFO", {Q.round_half_even('try_cast(trim(lshfo) AS DOUBLE)', 3)} AS "LS_HFO",
+  {Q.round_half_even('try_cast(trim(lsmgo) AS DOUBLE)', 3)} AS "LS_MGO", _seq FROM raw""")
+def q_sheet_fuel_usage(spark, sf_dir):
+    """C2 fuel-usage sheet: unit suffixes in headers, AM/PM and ISO times, numbers rounded
+    half-even to 3 decimals (x.xxx5 ties included)."""
+    from .pipelines import sheet_pipeline
+    return sheet_pipeline(v_usage_sheet(spark, sf_dir), "fuel_usage")
+
+
+@register("sheet_pjtmethod", """
+SELECT trim('SN' || CAST(p_partkey AS VARCHAR)) AS "PJT", nullif(trim(p_type), 'nan') AS "공법",
+  nullif(trim(CASE WHEN p_size % 5 = 0 THEN 'nan' ELSE p_brand END), 'nan') AS "통합",
+  nullif(trim(CAST(p_size % 3 AS VARCHAR)), 'nan') AS "역", nullif(trim(' B' || CAST(p_size % 4 AS VARCHAR)), 'nan') AS "선적",
+  nullif(trim(substr(p_name, 1, 5)), 'nan') AS "하역", nullif(trim(CAST(p_size AS VARCHAR)), 'nan') AS "Speed",
+  nullif(trim(CASE WHEN p_size % 7 = 0 THEN 'nan' ELSE 'Y' END), 'nan') AS "SG" FROM part""")
+def q_sheet_pjtmethod(spark, sf_dir):
+    """C2 method sheet: legacy header names 부/부두1 renamed, listed columns dropped,
+    text trimmed and 'nan' -> null, fixed column order."""
+    from .pipelines import sheet_pipeline
+    p = read(spark, sf_dir, "part")
+    raw = p.select(F.lit(1).alias("No"), F.col("p_type").alias("시리즈"),
+                   F.concat(F.lit("SN"), F.col("p_partkey").cast("string")).alias("PJT"),
+                   F.col("p_type").alias("공법"),
+                   F.when(F.col("p_size") % 5 == 0, F.lit("nan")).otherwise(F.col("p_brand")).alias("통합"),
+                   (F.col("p_size") % 3).cast("string").alias("부"),
+                   F.concat(F.lit(" B"), (F.col("p_size") % 4).cast("string")).alias("부두1"),
+                   F.substring("p_name", 1, 5).alias("하역"), F.col("p_size").cast("string").alias("Speed"),
+                   F.when(F.col("p_size") % 7 == 0, F.lit("nan")).otherwise(F.lit("Y")).alias("SG"),
+                   F.lit("X").alias("OWNER"))
+    return sheet_pipeline(raw, "pjtmethod")
