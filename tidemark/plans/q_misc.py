@@ -486,3 +486,49 @@ def q_sheet_pjtmethod(spark, sf_dir):
                    F.when(F.col("p_size") % 7 == 0, F.lit("nan")).otherwise(F.lit("Y")).alias("SG"),
                    F.lit("X").alias("OWNER"))
     return sheet_pipeline(raw, "pjtmethod")
+
+
+# ---------------------------------------------------------------------- S1 / S5 round trips
+@register("landing_permits", SQL_PERMIT_DAILY)
+def q_landing_permits(spark, sf_dir):
+    """S1 + C1: permit rows land as CSV files (text only); the landing reader takes them
+    back with all-string columns and the permit pipeline runs on them."""
+    from ..sources.files import read_landing
+    root = scratch_path(spark, "landing")
+    v = v_permit(spark, sf_dir).drop("_odate").withColumnRenamed("_seq", "order_key")
+    (v.write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/ptw"))
+    raw = read_landing(spark, f"{root}/ptw", "csv", glob="*.csv").drop("_seq", "_file", "_mtime")
+    raw = raw.withColumn("_seq", F.col("order_key").cast("long")).drop("order_key")
+    return permit_pipeline(raw, None, v_dict(spark, sf_dir)).select(*PERMIT_OUT)
+
+
+def q_forecast_json(spark, sf_dir):
+    """S5 + C6: the forecast feed lands as API pages (<= 1000 items, with or without the
+    ``response`` wrapper, plus one empty page); the reader unwraps them and the forecast
+    pipeline rolls them up — equal to the direct roll-up."""
+    from ..sources.forecast import read_forecast_json
+    from .pipelines import forecast_pipeline
+    from .q_forecast import FORECAST_COLS
+    from .views import v_forecast
+    root = scratch_path(spark, "forecast")
+    feed = v_forecast(spark, sf_dir)
+    item = F.struct("fcstDate", F.lit("0000").alias("fcstTime"), "category", "fcstValue", F.col("_seq").alias("seq"))
+    pages = feed.groupBy("fcstDate", (F.col("_seq") / 1000).cast("long").alias("page")).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list(item).alias("item"))
+    body = F.struct(F.col("n").alias("totalCount"), F.struct(F.col("item").alias("item")).alias("items"))
+    docs = pages.select(F.when(F.col("page") % 2 == 0, F.struct(body.alias("body"))).alias("response"),
+                        F.when(F.col("page") % 2 == 1, body).alias("body"))
+    empty = spark.createDataFrame([(None, (0, (None,)))],
+                                  "response struct<body:struct<totalCount:long,items:struct<item:array<string>>>>, "
+                                  "body struct<totalCount:long,items:struct<item:array<string>>>")
+    docs.write.json(f"{root}/pages")
+    empty.write.mode("append").json(f"{root}/pages")
+    rows = read_forecast_json(spark, f"{root}/pages", multi_line=False)
+    fed = rows.select("fcstDate", "category", "fcstValue", F.col("seq").alias("_seq"))
+    return forecast_pipeline(fed).select(*FORECAST_COLS)
+
+
+from .queries import ORACLES as _ORACLES  # noqa: E402
+
+register("forecast_json", _ORACLES["forecast_daily"])(q_forecast_json)

@@ -57,10 +57,9 @@ def read_landing(spark: SparkSession, path: str, fmt: str = "csv", glob: str | N
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per text document: ``file_name``, ``stem``, ``text`` (whole file)."""
-    r = spark.read.option("wholetext", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.text(path)
+    # ``text()`` has its own ``wholetext=False`` default that would override an option.
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob) if glob else \
+        spark.read.text(path, wholetext=True)
     name = F.col("_metadata.file_name")
     return df.select(name.alias("file_name"),
                      F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("value").alias("text"))
