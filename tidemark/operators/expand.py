@@ -96,12 +96,12 @@ def explode_items(df: DataFrame, items: Column, default: Column, seq_col: str =
 
 def split_multi(df: DataFrame, col: str, out_col: str | None = None, sep: str = ",") -> DataFrame:
     """E5: comma list -> one trimmed part per row."""
-    return df.withColumn(out_col or col, F.explode(F.transform(F.split(F.col(col), sep), F.trim)))
+    return df.withColumn(out_col or col, F.explode(F.transform(F.split(F.col(col), sep), lambda x: F.trim(x))))
 
 
 def split_multi_array(c: Column | str, sep: str = ",") -> Column:
     """E5 as an array expression."""
-    return F.transform(F.split(col_of(c), sep), F.trim)
+    return F.transform(F.split(col_of(c), sep), lambda x: F.trim(x))
 
 
 __all__: Sequence[str] = ["expand_daily", "periods_expr", "split_periods", "calendar",

@@ -151,3 +151,4 @@ def q_unmapped_keys(spark, sf_dir):
 # Register the remaining query modules (import order = registration order).
 from . import q_forecast, q_merge, q_visits  # noqa: E402,F401
 from . import q_docs, q_misc  # noqa: E402,F401
+from . import q_ops  # noqa: E402,F401
