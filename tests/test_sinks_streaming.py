@@ -53,3 +53,14 @@ def test_stream_merge_equals_batch_and_restart_adds_nothing(spark):
     s2 = watch_landing(spark, f"{landing}/all", schema, "parquet", glob="*.parquet", max_files_per_trigger=1)
     stream_merge(s2, root, "t", merge, chk)
     assert len(committed_versions(spark, root, "t")) == n_versions
+
+
+def test_merge_into_partitions_incremental(spark):
+    from tidemark.streaming.watch import merge_into_partitions
+    path = tempfile.mkdtemp(prefix="tm-part-") + "/t"
+    schema = "k string, d string, v string, _seq long"
+    merge_into_partitions(spark.createDataFrame([("a", "d1", "1", 1), ("b", "d2", "1", 2)], schema), path, ["k", "d"], "d")
+    merge_into_partitions(spark.createDataFrame([("a", "d1", "2", 3), ("c", "d1", "2", 4)], schema), path, ["k", "d"], "d")
+    merge_into_partitions(spark.createDataFrame([("a", "d1", "2", 3), ("c", "d1", "2", 4)], schema), path, ["k", "d"], "d")
+    got = sorted((r.k, r.d, r.v) for r in spark.read.parquet(path).collect())
+    assert got == [("a", "d1", "2"), ("b", "d2", "1"), ("c", "d1", "2")]

@@ -370,22 +370,22 @@ def q_visits_pipeline(spark, sf_dir):
 # ---------------------------------------------------------------------- T1..T3, T7
 @register("stream_permits", SQL_PERMIT_DAILY)
 def q_stream_permits(spark, sf_dir):
-    """Streaming = batch: the orders file arrives in a watched folder; every micro-batch
-    runs the permit pipeline against the latest published version (re-reading the
-    dictionary) and publishes a new version named after the batch id."""
-    from ..streaming.watch import stream_merge, watch_landing
+    """Streaming = batch: the orders file arrives in a watched folder; each micro-batch is
+    cleaned, expanded and enriched (dictionary re-read per batch, T7), then merged
+    incrementally into the month-partitioned permit table (the month is a function of the
+    DATE key) — only touched months are rewritten."""
+    from ..streaming.watch import stream_merge_partitioned, watch_landing
     root = scratch_path(spark, "stream-permits")
     schema = read(spark, sf_dir, "orders").schema
     stream = watch_landing(spark, sf_dir, schema, "parquet", glob="orders.parquet", max_files_per_trigger=1)
 
-    def merge(batch, stored, batch_id):
-        dictionary = v_dict(spark, sf_dir)
-        out = permit_pipeline(permit_view(batch), stored, dictionary)
-        return out.drop("_batch")
+    def prepare(batch, batch_id):
+        out = permit_pipeline(permit_view(batch), None, v_dict(spark, sf_dir))
+        return out.select(*PERMIT_OUT, "_seq", F.substring("DATE", 1, 5).alias("_month"))
 
-    stream_merge(stream, root, "ptwlist", merge, f"{root}/_checkpoint", available_now=True,
-                 output_columns=PERMIT_OUT + ["_seq"])
-    return read_curated(spark, root, "ptwlist").select(*PERMIT_OUT)
+    stream_merge_partitioned(stream, f"{root}/ptwlist", list(PERMIT_KEYS), "_month", prepare,
+                             f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/ptwlist").select(*PERMIT_OUT)
 
 
 _ = (WORK_CODES, PERMIT_KEYS, EXPECTED_TABLES, catalog_profile, table_health)

@@ -1,2 +1,3 @@
 """Structured Streaming ingestion."""
-from .watch import stream_merge, watch_landing  # noqa: F401
+from .watch import (merge_into_partitions, stream_merge, stream_merge_partitioned,  # noqa: F401
+                    watch_landing)
