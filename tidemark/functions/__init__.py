@@ -1,4 +1,10 @@
-"""Scalar column functions (N1..N30)."""
+"""Scalar column functions (N1..N30).
+
+These replace the reference's per-cell Python callables (X1) and per-row logic (X2) with
+built-in Spark expressions, so they stay inside whole-stage codegen.  Its custom
+aggregate (X3) is ``operators.aggregate.join_unique`` (A2) and its 1->N generators (X4)
+are ``operators.expand.expand_daily`` / ``split_periods`` (E1, E2).
+"""
 from .jsontext import clean_llm_json, clean_llm_text
 from .masking import mask_name, mask_phone
 from .scalars import (BLANK_TOKENS, COMPASS_16, EXT_TYPE, WEEKDAY_KOR, blank_string_to_null,

@@ -55,6 +55,19 @@ def not_null_not_blank(c: Column | str) -> Column:
     return c.isNotNull() & (strip(c) != "")
 
 
+def min_year(c: Column | str, year: int = 2000) -> Column:
+    """year (already coerced to int, N7) at least ``year``."""
+    return col_of(c) >= F.lit(year)
+
+
+def drop_null_time(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """F8: drop rows lacking any of the given time columns (start; start and end for visits)."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).isNotNull()
+    return df.filter(cond)
+
+
 def retention_cutoff(c: Column | str, as_of: str, years: int = 3) -> Column:
     """keep ``c >= as_of - 365*years days`` (D27: 365-day years; D29: clock is a parameter)."""
     return col_of(c) >= F.date_sub(F.to_date(F.lit(as_of)), 365 * years)

@@ -54,7 +54,7 @@ def mirror_jdbc(df: DataFrame, url: str, table: str, prefix: str = "",
 
 def mirror_all(spark: SparkSession, tables: Mapping[str, DataFrame], url: str, prefix: str = "",
                properties: Mapping[str, str] | None = None) -> DataFrame:
-    """K3: mirror every table, failures isolated; result (table, rows, ok, msg)."""
+    """K3 / C14 (export_all): mirror every table, failures isolated; result (table, rows, ok, msg)."""
     rows = []
     for name, df in tables.items():
         try:
