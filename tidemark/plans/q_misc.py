@@ -59,9 +59,9 @@ t AS (SELECT trim(pjt) AS "PJT",
    coalesce(CAST(try_cast(trim(yr) AS DOUBLE) AS INTEGER), 0) AS "인도년",
    coalesce(CAST(try_cast(trim(replace(mo, '월', '')) AS DOUBLE) AS INTEGER), 0) AS "인도월",
    coalesce(try_cast(trim(lng) AS DOUBLE), 0.0) AS "LNG", coalesce(try_cast(trim(hfo) AS DOUBLE), 0.0) AS "HFO",
-   coalesce(try_cast(trim(ls_hfo) AS DOUBLE), 0.0) AS "LS_HFO", 0.0 AS "RMA10",
-   coalesce(try_cast(trim(mgo) AS DOUBLE), 0.0) AS "LS_MGO", 0.0 AS "LDO",
-   coalesce(try_cast(trim(meoh) AS DOUBLE), 0.0) AS "메탄올", 0.0 AS "LPG"
+   coalesce(try_cast(trim(ls_hfo) AS DOUBLE), 0.0) AS "LS_HFO", CAST(0.0 AS DOUBLE) AS "RMA10",
+   coalesce(try_cast(trim(mgo) AS DOUBLE), 0.0) AS "LS_MGO", CAST(0.0 AS DOUBLE) AS "LDO",
+   coalesce(try_cast(trim(meoh) AS DOUBLE), 0.0) AS "메탄올", CAST(0.0 AS DOUBLE) AS "LPG"
   FROM raw WHERE pjt IS NOT NULL)
 SELECT * FROM t WHERE NOT regexp_matches("PJT", '^(합계|소계|계|total|sum)', 'i') AND "PJT" <> '' AND "인도년" >= 2000"""
 
