@@ -84,3 +84,33 @@ def test_mask_name_brute(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     got = [r[0] for r in df.orderBy("i").select(tf.mask_name("v")).collect()]
     assert got == [brute(v) for v in values]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["k1", "k2", "k3"]), st.sampled_from(["A", "B", "", "nan", "C"]),
+                          st.booleans()), min_size=1, max_size=40))
+def test_group_cards_brute(spark, data):
+    from tidemark.operators.aggregate import group_cards
+    df = spark.createDataFrame([(k, n, f"s{i}", f"e{i}", i, c) for i, (k, n, c) in enumerate(data)],
+                               "key string, name string, vs string, ve string, _seq long, c boolean")
+    out = {r.key: (r.name, r.vs, r.ve, r.c) for r in
+           group_cards(df, ["key"], joined=["name"], first=["vs"], last=["ve"], any_true=["c"]).collect()}
+    want = {}
+    for i, (k, n, c) in enumerate(data):
+        names, vs, ve, cc = want.get(k, ([], f"s{i}", None, False))
+        if n not in ("", "nan") and n not in names:
+            names.append(n)
+        want[k] = (names, vs, f"e{i}", cc or c)
+    assert out == {k: (", ".join(v[0]), v[1], v[2], v[3]) for k, v in want.items()}
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=30), st.lists(st.integers(0, 12), max_size=30))
+def test_analyze_diff_invariants(spark, new_keys, old_keys):
+    from tidemark.operators.quality import analyze_diff
+    new = spark.createDataFrame([(k,) for k in new_keys], "k int")
+    old = spark.createDataFrame([(k,) for k in old_keys], "k int")
+    r = analyze_diff(new, old, "k").collect()[0]
+    assert r.added + r.changed == len(set(new_keys))
+    assert r.changed + r.kept == len(set(old_keys))
+    assert (r.new_rows, r.exist_rows) == (len(new_keys), len(old_keys))

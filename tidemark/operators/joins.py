@@ -18,15 +18,18 @@ from ..functions.scalars import strip
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      bound: DataFrame | None = None) -> DataFrame:
     """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
 
-    The check runs ``limit(max_rows + 1).count()`` so it never scans more than
-    the bound; above it the frame is returned unhinted (AQE decides).
+    The check runs ``limit(max_rows + 1).count()`` so it never scans more than the
+    bound; above it the frame is returned unhinted (AQE decides from runtime sizes).
+    ``bound`` may name a cheaper frame with at least as many rows (e.g. the raw
+    dictionary before de-duplication), so the aggregate is not computed twice.
     """
     if max_rows <= 0:
         return df
-    n = df.limit(max_rows + 1).count()
+    n = (bound if bound is not None else df).limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
@@ -52,7 +55,7 @@ def lookup_fill(df: DataFrame, key: str, dim: DataFrame, dim_key: str = "work",
     fill = dict(fill or {"risk_keywords": "keyword", "warning": "warning"})
     d = dedup_dictionary(dim, dim_key, list(dict.fromkeys(fill.values())), order) if dedup else dim
     d = d.select(F.col(dim_key).alias("_dk"), *[F.col(v).alias(f"_dv_{v}") for v in set(fill.values())])
-    d = bounded_broadcast(d, max_broadcast_rows)
+    d = bounded_broadcast(d, max_broadcast_rows, bound=dim)
     j = df.join(d, strip(F.col(key)) == F.col("_dk"), "left")
     hit = F.col("_dk").isNotNull()
     cols = {}
