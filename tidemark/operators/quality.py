@@ -128,14 +128,18 @@ def adaptive_datetime_columns(df: DataFrame, pattern: str = "오전|오후", max
     return df.withColumns({c: parse_ts_mixed(F.col(f"`{c}`")) for c in conv}), conv
 
 
-def catalog_profile(tables: Mapping[str, DataFrame], keys: Mapping[str, str] | None = None) -> DataFrame:
-    """Q2: per table rows, columns and distinct keys — one small aggregate each, unioned."""
+def catalog_profile(tables: Mapping[str, DataFrame], keys: Mapping[str, str] | None = None,
+                    approx: bool = False) -> DataFrame:
+    """Q2: per table rows, columns and distinct keys — one small aggregate each, unioned.
+    ``approx=True`` uses HyperLogLog (``approx_count_distinct``) instead of an exact
+    distinct, which on a 100 TB table avoids shuffling every key."""
     keys = keys or {}
     parts = []
     for name, df in tables.items():
         k = keys.get(name)
+        distinct = (F.approx_count_distinct(F.col(k)) if approx else F.count_distinct(F.col(k))) if k else None
         aggs = [F.count(F.lit(1)).alias("rows"),
-                (F.count_distinct(F.col(k)) if k else F.lit(None).cast("long")).alias("keys")]
+                (distinct if distinct is not None else F.lit(None).cast("long")).alias("keys")]
         parts.append(df.agg(*aggs).select(F.lit(name).alias("table"), "rows",
                                           F.lit(len(df.columns)).cast("long").alias("cols"), "keys"))
     out = parts[0]

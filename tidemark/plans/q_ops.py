@@ -158,3 +158,47 @@ def q_doc_snippets(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", tf.snippet("text", 22).alias("snippet"), tf.first_line("text", 100).alias("first_line"),
                     F.length("text").cast("long").alias("n_chars"))
+
+
+# ---------------------------------------------------------------------- P9
+def header_less_sheets(spark, sf_dir):
+    """Header-less plan sheets, one per customer group: data rows from orders, and above
+    each file's first data row two junk rows and a header row (PJT or 호선); file
+    plan_19 has no header row."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    f = F.concat(F.lit("plan_"), (F.col("o_custkey") % 20).cast("string"))
+    data = o.select(f.alias("file"), (F.col("o_orderkey") * 10).alias("seq"),
+                    F.concat(F.lit("SN"), (F.col("o_custkey") % 40 + 2601).cast("string")).alias("c0"),
+                    F.year("o_orderdate").cast("string").alias("c1"),
+                    F.concat(F.month("o_orderdate").cast("string"), F.lit("월")).alias("c2"))
+    first = data.groupBy("file").agg(F.min("seq").alias("m")).filter(F.col("file") != "plan_19")
+    key = F.when(F.substring("file", -1, 1).isin("1", "3", "5", "7", "9"), F.lit("호선")).otherwise(F.lit("PJT"))
+    head = first.select("file", (F.col("m") - 5).alias("seq"), key.alias("c0"), F.lit("인도년").alias("c1"),
+                        F.lit("인도월").alias("c2"))
+    junk1 = first.select("file", (F.col("m") - 8).alias("seq"), F.lit("Fuel plan").alias("c0"),
+                         F.lit(None).cast("string").alias("c1"), F.lit(None).cast("string").alias("c2"))
+    junk2 = first.select("file", (F.col("m") - 7).alias("seq"), F.lit(None).cast("string").alias("c0"),
+                         F.lit("unit: ton").alias("c1"), F.lit(None).cast("string").alias("c2"))
+    return data.unionByName(head).unionByName(junk1).unionByName(junk2)
+
+
+@register("header_rows", """
+WITH data AS (SELECT 'plan_' || CAST(o_custkey % 20 AS VARCHAR) AS file, o_orderkey * 10 AS seq,
+   'SN' || CAST(o_custkey % 40 + 2601 AS VARCHAR) AS c0, CAST(year(o_orderdate) AS VARCHAR) AS c1,
+   CAST(month(o_orderdate) AS VARCHAR) || '월' AS c2 FROM orders),
+first AS (SELECT file, min(seq) AS m FROM data WHERE file <> 'plan_19' GROUP BY 1),
+cells AS (SELECT * FROM data
+  UNION ALL SELECT file, m - 5, CASE WHEN right(file, 1) IN ('1','3','5','7','9') THEN '호선' ELSE 'PJT' END, '인도년', '인도월' FROM first
+  UNION ALL SELECT file, m - 8, 'Fuel plan', NULL, NULL FROM first
+  UNION ALL SELECT file, m - 7, NULL, 'unit: ton', NULL FROM first),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) AS rn FROM cells),
+heads AS (SELECT file, arg_min(seq, (CASE WHEN upper(trim(c0)) IN ('PJT', '호선') OR upper(trim(c1)) IN ('PJT', '호선')
+            OR upper(trim(c2)) IN ('PJT', '호선') THEN 0 ELSE 1 END, rn)) AS hseq,
+            arg_min(concat_ws('|', c0, c1, c2), (CASE WHEN upper(trim(c0)) IN ('PJT', '호선') OR upper(trim(c1)) IN ('PJT', '호선')
+            OR upper(trim(c2)) IN ('PJT', '호선') THEN 0 ELSE 1 END, rn)) AS header
+          FROM ranked WHERE rn <= 10 GROUP BY file)
+SELECT c.file, c.seq, c.c0, c.c1, c.c2, h.header FROM cells c JOIN heads h USING (file) WHERE c.seq > h.hseq""")
+def q_header_rows(spark, sf_dir):
+    from ..operators.schema import find_header_row
+    out = find_header_row(header_less_sheets(spark, sf_dir), "file", "seq", ["c0", "c1", "c2"])
+    return out.select("file", "seq", "c0", "c1", "c2", F.concat_ws("|", "_header").alias("header"))
