@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import work_dir
+from ..session import ship_package, work_dir
 from .joins import lookup_fill, unmapped_keys
 from .merge import accumulate_keep_last
 
@@ -39,6 +39,7 @@ def generate_missing(df: DataFrame, key: str, dim: DataFrame, fn: Callable, dim_
             yield pd.DataFrame(ans)
 
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    ship_package(df.sparkSession)
     gen = missing.repartition(n, "key").mapInPandas(run, schema)
     first = F.col(values[0])
     gen = gen.filter(first.isNotNull() & (F.trim(first) != ""))

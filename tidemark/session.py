@@ -57,3 +57,34 @@ def work_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the work folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidemark`` importable in Python workers (needed by ``mapInPandas`` functions).
+
+    The package is zipped once per application into the shared work folder and added
+    with ``addPyFile`` — Spark then distributes it to every executor, so it works
+    whatever the driver's working directory or the executors' Python path.
+    """
+    import zipfile
+    key = spark.sparkContext.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = f"{work_dir(spark)}/tidemark-py-{uuid.uuid4().hex[:8]}.zip"
+    local = target.removeprefix("file:")
+    if "://" in local:                      # remote work folder: build locally, Spark uploads it
+        local = os.path.join(tempfile.mkdtemp(prefix="tidemark-zip-"), os.path.basename(target))
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(local)
+    _SHIPPED.add(key)
