@@ -19,7 +19,7 @@ HEADLINE = [
     "accumulate", "lookup_fill", "replace_by_key", "analyze_diff", "split_periods", "assessment_cards",
     "restore_state", "forecast_daily", "calendar", "mask_people", "plan_rows", "docs_items",
     "message_headers", "keep_latest", "archive_plan", "milestone_long", "enrich_missing",
-    "catalog_profile",
+    "catalog_profile", "landing_permits", "forecast_json", "sheet_fuel_usage", "header_rows",
 ]
 
 

@@ -64,3 +64,25 @@ def test_merge_into_partitions_incremental(spark):
     merge_into_partitions(spark.createDataFrame([("a", "d1", "2", 3), ("c", "d1", "2", 4)], schema), path, ["k", "d"], "d")
     got = sorted((r.k, r.d, r.v) for r in spark.read.parquet(path).collect())
     assert got == [("a", "d1", "2"), ("b", "d2", "1"), ("c", "d1", "2")]
+
+
+def test_archive_processed_files(spark):
+    """T4: processed landing files are moved under the archive folder (Spark does this
+    lazily, when a later micro-batch runs)."""
+    landing = tempfile.mkdtemp(prefix="tm-arch-land-")
+    archive = tempfile.mkdtemp(prefix="tm-arch-done-")
+    root = tempfile.mkdtemp(prefix="tm-arch-root-")
+    schema = "k string, v string, _seq long"
+    for i in range(3):
+        d = tempfile.mkdtemp(prefix="tm-arch-src-")
+        spark.createDataFrame([(f"k{i}", "v", i)], schema).coalesce(1).write.mode("overwrite").parquet(d)
+        part = [f for f in os.listdir(d) if f.endswith(".parquet")][0]
+        os.rename(f"{d}/{part}", f"{landing}/f{i}.parquet")
+    s = watch_landing(spark, landing, schema, "parquet", glob="*.parquet", max_files_per_trigger=1,
+                      archive_dir=archive)
+    stream_merge(s, root, "t", lambda b, st, i: accumulate_keep_last(st, b, ["k"]).drop("_batch"),
+                 f"{root}/_chk")
+    assert sorted(r.k for r in read_curated(spark, root, "t").collect()) == ["k0", "k1", "k2"]
+    archived = [f for _, _, fs in os.walk(archive) for f in fs if f.endswith(".parquet")]
+    assert "f0.parquet" in archived
+    assert not os.path.exists(f"{landing}/f0.parquet")
