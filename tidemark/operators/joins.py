@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import strip
 
-# Upper bound of rows for an explicit broadcast hint.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# Upper bound of rows for an explicit broadcast hint (~25 MB at ~100 bytes per row; the
+# table is shipped to every executor, so the bound is kept well below executor memory).
+DEFAULT_BROADCAST_ROWS = 250_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,

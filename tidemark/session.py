@@ -65,20 +65,18 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``tidemark`` importable in Python workers (needed by ``mapInPandas`` functions).
 
-    The package is zipped once per application into the shared work folder and added
-    with ``addPyFile`` — Spark then distributes it to every executor, so it works
-    whatever the driver's working directory or the executors' Python path.
+    The package is zipped in memory once per application, written into the shared work
+    folder (Hadoop FS API, so it also works for hdfs:// or object-store folders) and added
+    with ``addPyFile`` — Spark then distributes it to every executor.
     """
+    import io
     import zipfile
     key = spark.sparkContext.applicationId
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = f"{work_dir(spark)}/tidemark-py-{uuid.uuid4().hex[:8]}.zip"
-    local = target.removeprefix("file:")
-    if "://" in local:                      # remote work folder: build locally, Spark uploads it
-        local = os.path.join(tempfile.mkdtemp(prefix="tidemark-zip-"), os.path.basename(target))
-    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             if "__pycache__" in root:
                 continue
@@ -86,5 +84,13 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    spark.sparkContext.addPyFile(local)
+    target = f"{work_dir(spark)}/tidemark-py-{uuid.uuid4().hex[:8]}.zip"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(target)
     _SHIPPED.add(key)
