@@ -92,3 +92,13 @@ def test_suffix_override_and_misc(spark):
     assert one(spark, [2701.0, 2701.5, None], tf.int_like_float_to_string, "double") == \
         ["2701", "2701.5", None]
     assert one(spark, ["3월", "x", None, " 12 "], tf.to_int_default) == [3, 0, 0, 12]
+
+
+def test_parse_by_type(spark):
+    df = spark.createDataFrame([(dt.datetime(2026, 6, 14, 14, 30, 0, 123000), 45000.5, "2026-06-14 02:30 PM")],
+                               "t timestamp_ntz, x double, s string")
+    r = df.select(tf.parse_ts_by_type(df, "t").alias("t"), tf.parse_ts_by_type(df, "x").alias("x"),
+                  tf.parse_ts_by_type(df, "s").alias("s")).collect()[0]
+    assert r.t == dt.datetime(2026, 6, 14, 14, 30, 0, 123000)
+    assert r.x == dt.datetime(2023, 3, 15, 12, 0)
+    assert r.s == dt.datetime(2026, 6, 14, 14, 30)

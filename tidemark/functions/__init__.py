@@ -14,7 +14,8 @@ from .scalars import (BLANK_TOKENS, COMPASS_16, EXT_TYPE, WEEKDAY_KOR, blank_str
                       recency_label, round_half_even, snippet, str_or_empty, strip,
                       strip_date_prefixes, suffix_override, to_int_default, to_number)
 from .timeparse import (BASE_TIMES, GENERAL_FORMATS, PERMIT_FORMATS, excel_serial_to_ts,
-                        parse_date_flex, parse_ts_formats, parse_ts_mixed, parse_with_formats,
+                        parse_date_flex, parse_ts_by_type, parse_ts_formats, parse_ts_mixed,
+                        parse_with_formats,
                         publication_slot)
 
 __all__ = [n for n in dir() if not n.startswith("_")]

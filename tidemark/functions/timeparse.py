@@ -166,3 +166,16 @@ def publication_slot(ts: Column | str, slots: Sequence[str] = BASE_TIMES,
     day = F.when(sl.isNull(), F.date_sub(F.to_date(u), 1)).otherwise(F.to_date(u))
     return F.struct(F.date_format(day, "yyyyMMdd").alias("base_date"),
                     F.coalesce(sl, F.lit(slots[-1])).alias("base_time"))
+
+
+def parse_ts_by_type(df, col: str, text_parser=None) -> Column:
+    """Dispatch on the column's type (the reference passes datetimes through and applies
+    the serial-day rule only to numeric cells, D10): timestamp/date -> as is (no zone);
+    numeric -> serial days; text -> ``text_parser`` (default :func:`parse_ts_mixed`)."""
+    dtype = dict(df.dtypes)[col]
+    c = F.col(f"`{col}`")
+    if dtype.startswith("timestamp") or dtype == "date":
+        return c.cast("timestamp_ntz")
+    if dtype in ("double", "float", "int", "bigint", "smallint", "tinyint") or dtype.startswith("decimal"):
+        return excel_serial_to_ts(c)
+    return (text_parser or parse_ts_mixed)(c)
