@@ -1,8 +1,6 @@
 """Expansion, schema and masking goldens (FIXTURES.md §3)."""
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from tidemark.operators.expand import expand_daily, split_periods
 from tidemark.operators.quality import mask_for_display, risk_rules
 from tidemark.operators.schema import (PERMIT_HEADER_CANDIDATES, drop_columns_by_token, map_headers,

@@ -1,7 +1,6 @@
 """Golden truth tables for the scalar functions (FIXTURES.md §3)."""
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 import tidemark.functions as tf

@@ -3,8 +3,6 @@ import datetime as dt
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from tidemark.operators.schema import column_mapping_report, find_header_row
 from tidemark.operators.window import changed_since
 from tidemark.sources.curated import merge_latest_and_publish, publish, read_curated

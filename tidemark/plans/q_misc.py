@@ -8,17 +8,16 @@ from ..operators.aggregate import filled_ratios, top_n_values, value_counts
 from ..operators.enrich import enrich_missing
 from ..operators.joins import join_on_hull
 from ..operators.merge import merge_report, replace_by_key
-from ..operators.quality import (EXPECTED_TABLES, adaptive_datetime_columns, catalog_profile,
-                                 enrich_stats, rejected_report, table_health)
+from ..operators.quality import (adaptive_datetime_columns, catalog_profile, enrich_stats, rejected_report,
+                                 table_health)
 from ..operators.schema import (PERMIT_HEADER_CANDIDATES, drop_columns_by_token, first_present,
                                 map_headers, normalize_headers, plan_headers, union_reconcile)
 from ..session import scratch_path
-from ..sources.curated import read_curated
 from ..sources.status import latest_status
 from . import sqlfrag as Q
 from .pipelines import PERMIT_KEYS, PLAN_COLUMNS, permit_pipeline, plan_pipeline, visits_pipeline
 from .queries import PERMIT_OUT, SQL_PERMIT_DAILY, register
-from .views import (WORK_CODES, permit_view, read, v_dict, v_fuel_new, v_fuel_old, v_permit,
+from .views import (permit_view, read, v_dict, v_fuel_new, v_fuel_old, v_permit,
                     with_views)
 
 
@@ -388,7 +387,6 @@ def q_stream_permits(spark, sf_dir):
     return spark.read.parquet(f"{root}/ptwlist").select(*PERMIT_OUT)
 
 
-_ = (WORK_CODES, PERMIT_KEYS, EXPECTED_TABLES, catalog_profile, table_health)
 
 
 # ---------------------------------------------------------------------- Q2 / Q3

@@ -16,7 +16,7 @@ from ..operators.joins import lookup_fill, unmapped_keys
 from ..operators.merge import accumulate_keep_last
 from . import sqlfrag as Q
 from .pipelines import PERMIT_COLUMNS, permit_pipeline
-from .views import read, v_dict, v_permit, with_views
+from .views import v_dict, v_permit, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
