@@ -129,3 +129,15 @@ def q_calendar(spark, sf_dir):
     days = days_between(read(spark, sf_dir, "orders").select("o_orderdate"), "o_orderdate")
     days = days.repartition(max(1, spark.sparkContext.defaultParallelism), "date")
     return calendar_from_days(days, fixed_date_holidays(days), fixed_date_company(days))
+
+
+@register("risk_rules", with_views("v_forecast") + "," + sql_daily("v_forecast") + """
+SELECT forecast_date, tmp_min, tmp_max, pop_max, wsd_max, wav_height, keyword, warning FROM daily_v_forecast""")
+def q_risk_rules(spark, sf_dir):
+    """Q7 alone: rule keywords and warnings of each forecast day."""
+    from ..operators.aggregate import daily_forecast
+    from ..operators.quality import risk_rules
+    feed = v_forecast(spark, sf_dir).withColumn("fcst_date", F.try_to_date(F.col("fcstDate"), "yyyyMMdd"))
+    daily = daily_forecast(feed, "fcst_date", "category", "fcstValue", "_seq")
+    return risk_rules(daily).select("forecast_date", "tmp_min", "tmp_max", "pop_max", "wsd_max", "wav_height",
+                                    "keyword", "warning")
