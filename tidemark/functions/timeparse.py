@@ -49,7 +49,7 @@ def _make_ts(y: Column, mo: Column, d: Column, h: Column, mi: Column, sec: Colum
                                     _int(sec).cast("decimal(8,6)"))
 
 
-def parse_datetime(c: Column | str, two_digit_year: bool = False) -> Column:
+def parse_datetime(c: Column | str, two_digit_year: bool = False, gate: Column | None = None) -> Column:
     """Parse the explicit format list (no free-form inference, D8) without exceptions.
 
     Accepted (month/day/hour/minute/second with 1 or 2 digits):
@@ -65,7 +65,7 @@ def parse_datetime(c: Column | str, two_digit_year: bool = False) -> Column:
     c = col_of(c)
     s = strip(c)
     rx = _GENERAL_RX if not two_digit_year else _GENERAL_RX[:-2] + "|" + _YY_RX[1:-1] + ")$"
-    ok = s.rlike(rx)
+    ok = s.rlike(rx) if gate is None else (gate & s.rlike(rx))
     eight = (F.length(s) == 8) & ~s.contains("-") & ~s.contains("/") & ~s.contains(".")
     norm = F.when(eight, F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2))
                   ).otherwise(s)
@@ -110,8 +110,13 @@ _TIME_RX = r"^[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
 
 
 def _ampm_ts(s: Column) -> tuple[Column, Column]:
-    """(matched?, timestamp) for ``date time AM|PM`` and ``date 오전|오후 time`` (prefix match)."""
+    """(matched?, timestamp) for ``date time AM|PM`` and ``date 오전|오후 time`` (prefix match).
+
+    No CASE around the timestamp: validity gates only the year argument, so the
+    token split stays in always-evaluated positions (computed once per row).
+    """
     tail, kr = s.rlike(_TAIL_RX), s.rlike(_KR_RX)
+    matched = tail | kr
     tok = F.split(s, r"\s+")
     date = F.element_at(tok, 1)
     t = F.regexp_extract(F.when(tail, F.try_element_at(tok, F.lit(2))).otherwise(F.try_element_at(tok, F.lit(3))),
@@ -121,9 +126,10 @@ def _ampm_ts(s: Column) -> tuple[Column, Column]:
     pm = F.when(tail, F.upper(F.substring(F.try_element_at(tok, F.lit(3)), 1, 2)) == "PM"
                 ).otherwise(F.try_element_at(tok, F.lit(2)) == "오후")
     hour = (h % 12) + F.when(pm, F.lit(12)).otherwise(F.lit(0))
-    ts = _make_ts(F.substring(date, 1, 4), F.substring(date, 6, 2), F.substring(date, 9, 2),
+    year = F.when(matched & h.between(1, 12), F.substring(date, 1, 4))
+    ts = _make_ts(year, F.substring(date, 6, 2), F.substring(date, 9, 2),
                   hour.cast("string"), F.element_at(tp, 2), F.try_element_at(tp, F.lit(3)))
-    return tail | kr, F.when(h.between(1, 12), ts)
+    return matched, ts
 
 
 def parse_ts_mixed(c: Column | str, numeric: bool = False,
@@ -142,11 +148,14 @@ def parse_ts_mixed(c: Column | str, numeric: bool = False,
         return excel_serial_to_ts(c)
     s = strip(c)
     matched, ampm = _ampm_ts(s)
-    out = F.when(is_blank(c), F.lit(None).cast("timestamp_ntz")).when(matched, ampm)
+    # At most one candidate is non-null; ``greatest`` evaluates both (no branch), which
+    # lets subexpression elimination compute each split once.  Blank text matches no
+    # shape and gives null.
+    out = F.greatest(ampm, parse_datetime(c, False, gate=~matched))
     if accept_text_serial:
-        out = out.when(s.rlike(r"^[0-9]+(\.[0-9]+)?$") & ~s.rlike(r"^[0-9]{8}$"),
-                       excel_serial_to_ts(s.try_cast("double")))
-    return out.otherwise(parse_datetime(c, False))
+        out = F.when(s.rlike(r"^[0-9]+(\.[0-9]+)?$") & ~s.rlike(r"^[0-9]{8}$"),
+                     excel_serial_to_ts(s.try_cast("double"))).otherwise(out)
+    return out
 
 
 def parse_date_flex(c: Column | str, general: Sequence[str] = GENERAL_FORMATS) -> Column:
