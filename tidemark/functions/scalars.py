@@ -55,12 +55,10 @@ def ensure_sn(c: Column | str) -> Column:
     Digits are ASCII ``[0-9]`` (documented deviation D12).
     """
     c = col_of(c)
-    s = F.upper(strip(c))
-    return (F.when(is_blank(c), F.lit(""))
-            .when(s.startswith("SN"), s)
-            .when(s.rlike("^S[0-9]+$"), F.concat(F.lit("SN"), F.substring(s, 2, 1 << 30)))
-            .when(s.rlike("^[0-9]+$"), F.concat(F.lit("SN"), s))
-            .otherwise(s))
+    # One rewrite covers both "S<digits>" and "<digits>"; "SN..." and anything else
+    # do not match and stay as they are (upper-cased).
+    return F.when(is_blank(c), F.lit("")).otherwise(
+        F.regexp_replace(F.upper(strip(c)), r"^S?([0-9]+)$", "SN$1"))
 
 
 def to_number(c: Column | str) -> Column:
