@@ -101,3 +101,17 @@ def test_parse_by_type(spark):
     assert r.t == dt.datetime(2026, 6, 14, 14, 30, 0, 123000)
     assert r.x == dt.datetime(2023, 3, 15, 12, 0)
     assert r.s == dt.datetime(2026, 6, 14, 14, 30)
+
+
+def test_zone_independent_formatting(spark):
+    """A wall-clock time inside a DST gap keeps its text whatever the session zone."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        df = spark.createDataFrame([(dt.datetime(2001, 4, 1, 2, 30),)], "t timestamp_ntz")
+        r = df.select(tf.format_ntz("t", "yyyy-MM-dd HH:mm hh a").alias("s"),
+                      tf.publication_slot("t").alias("p")).collect()[0]
+        assert r.s == "2001-04-01 02:30 02 AM"
+        assert tuple(r.p) == ("20010401", "0200")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

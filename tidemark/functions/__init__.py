@@ -9,7 +9,7 @@ from .jsontext import clean_llm_json, clean_llm_text
 from .masking import mask_name, mask_phone
 from .scalars import (BLANK_TOKENS, COMPASS_16, EXT_TYPE, WEEKDAY_KOR, blank_string_to_null,
                       calendar_parts, code_label, col_of, compass16, contains_any,
-                      date_key, date_prefix_depth, ensure_sn, ext_type, file_ext, first_line,
+                      date_key, date_prefix_depth, format_ntz, ensure_sn, ext_type, file_ext, first_line,
                       int_like_float_to_string, is_blank, item_id, num_text, recency_class,
                       recency_label, round_half_even, snippet, str_or_empty, strip,
                       strip_date_prefixes, suffix_override, to_int_default, to_number)

@@ -101,9 +101,40 @@ def int_like_float_to_string(c: Column | str) -> Column:
             .otherwise(x.cast("string")))
 
 
+_FMT_TOKENS = ("yyyy", "yy", "MM", "M", "dd", "d", "HH", "H", "hh", "h", "mm", "ss", "a")
+
+
+def format_ntz(c: Column | str, pattern: str) -> Column:
+    """Render a ``timestamp_ntz``/``date`` as text from its fields, independent of the
+    session time zone (``date_format`` converts through the session zone, which shifts
+    wall-clock times inside a DST gap).  Supports yyyy yy MM M dd d HH H hh h mm ss a;
+    other characters are literals."""
+    c = col_of(c)
+
+    def pad(x: Column, n: int) -> Column:
+        return F.lpad(x.cast("string"), n, "0")
+
+    h12 = ((F.hour(c) + 11) % 12) + 1
+    comp = {"yyyy": pad(F.year(c), 4), "yy": pad(F.year(c) % 100, 2), "MM": pad(F.month(c), 2),
+            "M": F.month(c).cast("string"), "dd": pad(F.dayofmonth(c), 2), "d": F.dayofmonth(c).cast("string"),
+            "HH": pad(F.hour(c), 2), "H": F.hour(c).cast("string"), "hh": pad(h12, 2), "h": h12.cast("string"),
+            "mm": pad(F.minute(c), 2), "ss": pad(F.second(c), 2),
+            "a": F.when(F.hour(c) < 12, F.lit("AM")).otherwise(F.lit("PM"))}
+    parts, i = [], 0
+    while i < len(pattern):
+        tok = next((t for t in _FMT_TOKENS if pattern.startswith(t, i)), None)
+        if tok:
+            parts.append(comp[tok])
+            i += len(tok)
+        else:
+            parts.append(F.lit(pattern[i]))
+            i += 1
+    return F.concat(*parts)
+
+
 def date_key(c: Column | str) -> Column:
-    """``yy-MM-dd`` text key of a date/timestamp."""
-    return F.date_format(col_of(c), "yy-MM-dd")
+    """``yy-MM-dd`` text key of a date/timestamp (zone-free)."""
+    return format_ntz(c, "yy-MM-dd")
 
 
 def compass16(deg: Column | str) -> Column:
@@ -190,7 +221,7 @@ def recency_label(mtime: Column | str, as_of: Column | str) -> Column:
     """N28 label: 오늘 HH:mm / 어제 / n일 전 / 없음."""
     days = F.datediff(F.to_date(col_of(as_of)), F.to_date(col_of(mtime)))
     return (F.when(col_of(mtime).isNull(), F.lit("없음"))
-            .when(days == 0, F.concat(F.lit("오늘 "), F.date_format(col_of(mtime), "HH:mm")))
+            .when(days == 0, F.concat(F.lit("오늘 "), format_ntz(mtime, "HH:mm")))
             .when(days == 1, F.lit("어제"))
             .otherwise(F.concat(days.cast("string"), F.lit("일 전"))))
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import col_of, is_blank, strip
+from .scalars import col_of, format_ntz, is_blank, strip
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for identical results.
@@ -170,10 +170,10 @@ def publication_slot(ts: Column | str, slots: Sequence[str] = BASE_TIMES,
     Returns ``struct(base_date 'yyyyMMdd', base_time 'HHmm')``.
     """
     u = col_of(ts).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(lag_minutes)} MINUTES")
-    hhmm = F.date_format(u, "HHmm")
+    hhmm = format_ntz(u, "HHmm")
     sl = F.array_max(F.filter(F.array(*[F.lit(x) for x in slots]), lambda x: x <= hhmm))
     day = F.when(sl.isNull(), F.date_sub(F.to_date(u), 1)).otherwise(F.to_date(u))
-    return F.struct(F.date_format(day, "yyyyMMdd").alias("base_date"),
+    return F.struct(format_ntz(day, "yyyyMMdd").alias("base_date"),
                     F.coalesce(sl, F.lit(slots[-1])).alias("base_time"))
 
 

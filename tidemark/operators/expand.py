@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import calendar_parts, col_of, date_key
+from ..functions.scalars import calendar_parts, col_of, date_key, format_ntz
 
 def _one_day():
     return F.expr("INTERVAL 1 DAY")
@@ -118,12 +118,12 @@ COMPANY_HOLIDAYS = ("05-01", "12-31")
 def fixed_date_holidays(days: DataFrame, rules=FIXED_HOLIDAYS) -> DataFrame:
     """Holiday table ``(date, holiday_name)`` for the given days from (MM-dd, name) rules."""
     r = days.sparkSession.createDataFrame(list(rules), "md string, holiday_name string")
-    return days.join(F.broadcast(r), F.date_format("date", "MM-dd") == F.col("md")).select("date", "holiday_name")
+    return days.join(F.broadcast(r), format_ntz("date", "MM-dd") == F.col("md")).select("date", "holiday_name")
 
 
 def fixed_date_company(days: DataFrame, rules=COMPANY_HOLIDAYS) -> DataFrame:
     """Company holiday table ``(date)`` from MM-dd rules."""
-    return days.filter(F.date_format("date", "MM-dd").isin(*rules)).select("date")
+    return days.filter(format_ntz("date", "MM-dd").isin(*rules)).select("date")
 
 
 def days_between(df: DataFrame, date_col: str) -> DataFrame:

@@ -162,8 +162,8 @@ def q_message_headers(spark, sf_dir):
 def v_manifest(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
-    p1 = F.date_format(d, "yyyyMMdd")
-    p2 = F.date_format(F.date_add(F.to_date(d), 1), "yyyyMMdd")
+    p1 = tf.format_ntz(d, "yyyyMMdd")
+    p2 = tf.format_ntz(F.date_add(F.to_date(d), 1), "yyyyMMdd")
     prefix = (F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.concat(p1, F.lit("_")))
               .when(k % 4 == 2, F.concat(p2, F.lit("_"), p1, F.lit("_"))).otherwise(F.lit("_processed_")))
     ext = F.element_at(F.array(*[F.lit(e) for e in (".xlsx", ".xls", ".csv", ".txt", ".XLSX")]),

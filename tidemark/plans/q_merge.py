@@ -76,15 +76,15 @@ def _mixed_text(spark, sf_dir):
     bt = F.timestamp_add("MINUTE", (k % 24) * 60 + (k % 4) * 15, F.col("o_orderdate"))
     o = o.withColumn("_bt", bt)
     b = F.col("_bt")
-    kr = F.concat(F.date_format(b, "yyyy-MM-dd"), F.lit(" "),
+    kr = F.concat(tf.format_ntz(b, "yyyy-MM-dd"), F.lit(" "),
                   F.when(F.hour(b) < 12, F.lit("오전")).otherwise(F.lit("오후")), F.lit(" "),
-                  F.date_format(b, "h:mm:ss"))
-    txt = (F.when(k % 6 == 0, F.date_format(b, "yyyy-MM-dd hh:mm a"))
-           .when(k % 6 == 1, F.lower(F.date_format(b, "yyyy/MM/dd h:mm:ss a")))
+                  tf.format_ntz(b, "h:mm:ss"))
+    txt = (F.when(k % 6 == 0, tf.format_ntz(b, "yyyy-MM-dd hh:mm a"))
+           .when(k % 6 == 1, F.lower(tf.format_ntz(b, "yyyy/MM/dd h:mm:ss a")))
            .when(k % 6 == 2, kr)
-           .when(k % 6 == 3, F.concat(F.date_format(b, "yyyy-MM-dd HH:mm"), F.lit(" PM")))
-           .when(k % 6 == 4, F.date_format(b, "yyyy-MM-dd"))
-           .otherwise(F.element_at(F.array(F.date_format(b, "yyyyMMdd"), F.date_format(b, "yyyy.MM.dd"),
+           .when(k % 6 == 3, F.concat(tf.format_ntz(b, "yyyy-MM-dd HH:mm"), F.lit(" PM")))
+           .when(k % 6 == 4, tf.format_ntz(b, "yyyy-MM-dd"))
+           .otherwise(F.element_at(F.array(tf.format_ntz(b, "yyyyMMdd"), tf.format_ntz(b, "yyyy.MM.dd"),
                                            F.lit("nan"), F.lit("garbage text")), (k % 4 + 1).cast("int"))))
     return o.select(k.alias("_seq"), txt.alias("raw"))
 

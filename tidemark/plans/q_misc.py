@@ -275,9 +275,9 @@ def v_ship_times(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     k = F.col("o_orderkey")
     b = F.timestamp_add("MINUTE", (k % 24) * 60 + (k % 4) * 15, F.col("o_orderdate"))
-    kr = F.concat(F.date_format(b, "yyyy-MM-dd"), F.lit(" "),
+    kr = F.concat(tf.format_ntz(b, "yyyy-MM-dd"), F.lit(" "),
                   F.when(F.hour(b) < 12, F.lit("오전")).otherwise(F.lit("오후")), F.lit(" "),
-                  F.date_format(b, "h:mm:ss"))
+                  tf.format_ntz(b, "h:mm:ss"))
     return o.select(k.alias("o_orderkey"), kr.alias("WORKFINISH"),
                     F.when(k % 10 == 0, kr).otherwise(F.lit("pending")).alias("REMARK"),
                     F.col("o_orderpriority").alias("GRADE"))
@@ -359,7 +359,7 @@ def q_visits_pipeline(spark, sf_dir):
     """C4: Korean headers -> rename, text dates -> N5, department filter, keep-last, N1."""
     from .views import v_visit
     v = v_visit(spark, sf_dir)
-    raw = v.select(*[(F.date_format(F.col(src), "yyyyMMdd") if src in ("visit_start", "visit_end")
+    raw = v.select(*[(tf.format_ntz(F.col(src), "yyyyMMdd") if src in ("visit_start", "visit_end")
                       else F.col(src)).alias(hdr) for hdr, src in _VISIT_RAW.items()], "_seq")
     out = visits_pipeline(raw)
     return out.select("name", "phone", "company", "visit_start", "visit_end", "project", "work_content",
@@ -433,9 +433,9 @@ def v_usage_sheet(spark, sf_dir):
         F.concat(F.lit("SN"), F.col("l_suppkey").cast("string")).alias("PJT"),
         F.col("l_returnflag").alias("일정구분"), F.concat(F.lit("S"), (k % 4).cast("string")).alias("공급처"),
         F.when(ln % 2 == 0, F.lit("수급")).otherwise(F.lit("사용")).alias("수급사용"),
-        F.when(ln % 3 == 0, F.date_format(b, "yyyy-MM-dd hh:mm a")).otherwise(F.date_format(b, "yyyy-MM-dd HH:mm:ss"))
+        F.when(ln % 3 == 0, tf.format_ntz(b, "yyyy-MM-dd hh:mm a")).otherwise(tf.format_ntz(b, "yyyy-MM-dd HH:mm:ss"))
         .alias("Start"),
-        F.when(k % 9 == 0, F.lit("")).otherwise(F.date_format(F.timestamp_add("HOUR", F.lit(30), b), "yyyy/MM/dd HH:mm"))
+        F.when(k % 9 == 0, F.lit("")).otherwise(tf.format_ntz(F.timestamp_add("HOUR", F.lit(30), b), "yyyy/MM/dd HH:mm"))
         .alias("Finish"),
         F.when(ln == 7, F.lit("n/a")).otherwise(frac).alias("HFO(ton)"),
         F.concat(F.lit(" "), (F.col("l_tax") * 1000).cast("long").cast("string"), F.lit(".125 ")).alias("LS HFO (ton)"),

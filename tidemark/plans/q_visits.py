@@ -145,11 +145,11 @@ def q_restore_state(spark, sf_dir):
 def _flex_text(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
-    txt = (F.when(k % 5 == 0, F.date_format(d, "yyyyMMdd"))
-           .when(k % 5 == 1, F.date_format(d, "yyyy-MM-dd"))
-           .when(k % 5 == 2, F.concat(F.date_format(d, "yyyy"), F.lit("13"), F.date_format(d, "dd")))
+    txt = (F.when(k % 5 == 0, tf.format_ntz(d, "yyyyMMdd"))
+           .when(k % 5 == 1, tf.format_ntz(d, "yyyy-MM-dd"))
+           .when(k % 5 == 2, F.concat(tf.format_ntz(d, "yyyy"), F.lit("13"), tf.format_ntz(d, "dd")))
            .when(k % 5 == 3, F.lit(""))
-           .otherwise(F.date_format(d, "yyyy/M/d")))
+           .otherwise(tf.format_ntz(d, "yyyy/M/d")))
     return o.select(k.alias("_seq"), txt.alias("raw"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import functions as tf
+
 # Work codes used by the permit view: the six part types plus two codes that
 # are deliberately missing from the dictionary.
 WORK_CODES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "HOTWORK", "CONFINED")
@@ -57,10 +59,9 @@ def permit_view(orders: DataFrame) -> DataFrame:
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     bt = F.timestamp_add("MINUTE", (k % 10) * 60 + (k % 4) * 15, F.col("o_orderdate"))
     hn = (ck % 40 + 2601).cast("string")
-    fmt = F.element_at(F.array(*[F.lit(f) for f in PERMIT_TEXT_FORMATS]), (ck % 5 + 1).cast("int"))
-    st = F.expr("date_format(_bt, _fmt)")
-    ed = F.date_format(F.timestamp_add("MINUTE", ((k % 6) - 1) * 1440 + 180, F.col("_bt")), "yyyy-MM-dd HH:mm:ss")
-    o = o.withColumns({"_bt": bt, "_fmt": fmt})
+    st = F.element_at(F.array(*[tf.format_ntz("_bt", f) for f in PERMIT_TEXT_FORMATS]), (ck % 5 + 1).cast("int"))
+    ed = tf.format_ntz(F.timestamp_add("MINUTE", ((k % 6) - 1) * 1440 + 180, F.col("_bt")), "yyyy-MM-dd HH:mm:ss")
+    o = o.withColumns({"_bt": bt})
     return o.select(
         k.alias("_seq"),
         F.col("o_orderdate").alias("_odate"),
@@ -232,7 +233,7 @@ def v_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(cat == "VEC", ((i * 37) % 360).cast("string"))
            .when(cat == "PTY", (i % 8).cast("string"))
            .otherwise(_case(i % 3, {0: F.lit("1"), 1: F.lit("3"), 2: F.lit("4")})))
-    return e.select(F.date_format("ts", "yyyyMMdd").alias("fcstDate"), cat.alias("category"),
+    return e.select(tf.format_ntz("ts", "yyyyMMdd").alias("fcstDate"), cat.alias("category"),
                     val.alias("fcstValue"), i.alias("_seq"))
 
 
@@ -266,7 +267,7 @@ def v_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     cid = F.col("conv_id")
     return c.select(
-        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (cid % 30).cast("int")), "yyyy-MM-dd").alias("date"),
+        tf.format_ntz(F.date_add(F.lit("2024-01-01").cast("date"), (cid % 30).cast("int")), "yyyy-MM-dd").alias("date"),
         F.when(F.col("role") == "system", F.lit("")).otherwise(F.col("role")).alias("team"),
         F.col("text").alias("message"),
         F.when(F.col("turn") % 4 == 1, F.lit("link")).alias("ref_type"),
