@@ -114,21 +114,32 @@ def format_ntz(c: Column | str, pattern: str) -> Column:
     def pad(x: Column, n: int) -> Column:
         return F.lpad(x.cast("string"), n, "0")
 
-    h12 = ((F.hour(c) + 11) % 12) + 1
-    comp = {"yyyy": pad(F.year(c), 4), "yy": pad(F.year(c) % 100, 2), "MM": pad(F.month(c), 2),
-            "M": F.month(c).cast("string"), "dd": pad(F.dayofmonth(c), 2), "d": F.dayofmonth(c).cast("string"),
-            "HH": pad(F.hour(c), 2), "H": F.hour(c).cast("string"), "hh": pad(h12, 2), "h": h12.cast("string"),
-            "mm": pad(F.minute(c), 2), "ss": pad(F.second(c), 2),
-            "a": F.when(F.hour(c) < 12, F.lit("AM")).otherwise(F.lit("PM"))}
-    parts, i = [], 0
+    def h12() -> Column:
+        return ((F.hour(c) + 11) % 12) + 1
+
+    # Built lazily: every F.* call is a round trip to the JVM, so only fields the
+    # pattern uses are constructed.
+    build = {"yyyy": lambda: pad(F.year(c), 4), "yy": lambda: pad(F.year(c) % 100, 2),
+             "MM": lambda: pad(F.month(c), 2), "M": lambda: F.month(c).cast("string"),
+             "dd": lambda: pad(F.dayofmonth(c), 2), "d": lambda: F.dayofmonth(c).cast("string"),
+             "HH": lambda: pad(F.hour(c), 2), "H": lambda: F.hour(c).cast("string"),
+             "hh": lambda: pad(h12(), 2), "h": lambda: h12().cast("string"),
+             "mm": lambda: pad(F.minute(c), 2), "ss": lambda: pad(F.second(c), 2),
+             "a": lambda: F.when(F.hour(c) < 12, F.lit("AM")).otherwise(F.lit("PM"))}
+    parts, i, literal = [], 0, ""
     while i < len(pattern):
         tok = next((t for t in _FMT_TOKENS if pattern.startswith(t, i)), None)
         if tok:
-            parts.append(comp[tok])
+            if literal:
+                parts.append(F.lit(literal))
+                literal = ""
+            parts.append(build[tok]())
             i += len(tok)
         else:
-            parts.append(F.lit(pattern[i]))
+            literal += pattern[i]
             i += 1
+    if literal:
+        parts.append(F.lit(literal))
     return F.concat(*parts)
 
 

@@ -59,7 +59,17 @@ def permit_view(orders: DataFrame) -> DataFrame:
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     bt = F.timestamp_add("MINUTE", (k % 10) * 60 + (k % 4) * 15, F.col("o_orderdate"))
     hn = (ck % 40 + 2601).cast("string")
-    st = F.element_at(F.array(*[tf.format_ntz("_bt", f) for f in PERMIT_TEXT_FORMATS]), (ck % 5 + 1).cast("int"))
+    # The five layouts share their fields (computed once); only the year width, the
+    # separator and the seconds differ by layout (yy/, yy/ +s, yyyy/, yyyy-, yyyy- +s).
+    f = ck % 5
+    b = F.col("_bt")
+    year = F.when(f <= 1, F.lpad((F.year(b) % 100).cast("string"), 2, "0")).otherwise(
+        F.lpad(F.year(b).cast("string"), 4, "0"))
+    sep = F.when(f <= 2, F.lit("/")).otherwise(F.lit("-"))
+    secs = F.when(f.isin(1, 4), F.concat(F.lit(":"), F.lpad(F.second(b).cast("string"), 2, "0"))).otherwise(F.lit(""))
+    st = F.concat(year, sep, F.lpad(F.month(b).cast("string"), 2, "0"), sep, F.lpad(F.dayofmonth(b).cast("string"), 2, "0"),
+                  F.lit(" "), F.lpad(F.hour(b).cast("string"), 2, "0"), F.lit(":"),
+                  F.lpad(F.minute(b).cast("string"), 2, "0"), secs)
     ed = tf.format_ntz(F.timestamp_add("MINUTE", ((k % 6) - 1) * 1440 + 180, F.col("_bt")), "yyyy-MM-dd HH:mm:ss")
     o = o.withColumns({"_bt": bt})
     return o.select(
