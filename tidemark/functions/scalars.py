@@ -143,6 +143,35 @@ def format_ntz(c: Column | str, pattern: str) -> Column:
     return F.concat(*parts)
 
 
+def format_ntz_sql(expr: str, pattern: str) -> str:
+    """SQL-text twin of :func:`format_ntz` (same fields, same padding) for ``selectExpr``
+    / ``F.expr`` builders: one JVM round trip instead of one per sub-expression."""
+    def pad(x: str, n: int) -> str:
+        return f"lpad(CAST({x} AS STRING), {n}, '0')"
+    h12 = f"((hour({expr}) + 11) % 12 + 1)"
+    build = {"yyyy": pad(f"year({expr})", 4), "yy": pad(f"year({expr}) % 100", 2), "MM": pad(f"month({expr})", 2),
+             "M": f"CAST(month({expr}) AS STRING)", "dd": pad(f"dayofmonth({expr})", 2),
+             "d": f"CAST(dayofmonth({expr}) AS STRING)", "HH": pad(f"hour({expr})", 2),
+             "H": f"CAST(hour({expr}) AS STRING)", "hh": pad(h12, 2), "h": f"CAST({h12} AS STRING)",
+             "mm": pad(f"minute({expr})", 2), "ss": pad(f"second({expr})", 2),
+             "a": f"CASE WHEN hour({expr}) < 12 THEN 'AM' ELSE 'PM' END"}
+    parts, i, literal = [], 0, ""
+    while i < len(pattern):
+        tok = next((t for t in _FMT_TOKENS if pattern.startswith(t, i)), None)
+        if tok:
+            if literal:
+                parts.append("'" + literal.replace("'", "''") + "'")
+                literal = ""
+            parts.append(build[tok])
+            i += len(tok)
+        else:
+            literal += pattern[i]
+            i += 1
+    if literal:
+        parts.append("'" + literal.replace("'", "''") + "'")
+    return "concat(" + ", ".join(parts) + ")"
+
+
 def date_key(c: Column | str) -> Column:
     """``yy-MM-dd`` text key of a date/timestamp (zone-free)."""
     return format_ntz(c, "yy-MM-dd")

@@ -54,42 +54,37 @@ def v_permit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permit_view(orders: DataFrame) -> DataFrame:
-    """Raw permit sheet rows rendered from order rows (usable on a stream micro-batch)."""
-    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    k, ck = F.col("o_orderkey"), F.col("o_custkey")
-    bt = F.timestamp_add("MINUTE", (k % 10) * 60 + (k % 4) * 15, F.col("o_orderdate"))
-    hn = (ck % 40 + 2601).cast("string")
-    # The five layouts share their fields (computed once); only the year width, the
-    # separator and the seconds differ by layout (yy/, yy/ +s, yyyy/, yyyy-, yyyy- +s).
-    f = ck % 5
-    b = F.col("_bt")
-    year = F.when(f <= 1, F.lpad((F.year(b) % 100).cast("string"), 2, "0")).otherwise(
-        F.lpad(F.year(b).cast("string"), 4, "0"))
-    sep = F.when(f <= 2, F.lit("/")).otherwise(F.lit("-"))
-    secs = F.when(f.isin(1, 4), F.concat(F.lit(":"), F.lpad(F.second(b).cast("string"), 2, "0"))).otherwise(F.lit(""))
-    st = F.concat(year, sep, F.lpad(F.month(b).cast("string"), 2, "0"), sep, F.lpad(F.dayofmonth(b).cast("string"), 2, "0"),
-                  F.lit(" "), F.lpad(F.hour(b).cast("string"), 2, "0"), F.lit(":"),
-                  F.lpad(F.minute(b).cast("string"), 2, "0"), secs)
-    ed = tf.format_ntz(F.timestamp_add("MINUTE", ((k % 6) - 1) * 1440 + 180, F.col("_bt")), "yyyy-MM-dd HH:mm:ss")
-    o = o.withColumns({"_bt": bt})
-    return o.select(
-        k.alias("_seq"),
-        F.col("o_orderdate").alias("_odate"),
-        F.lit("APPROVED").alias("KYULGBN"),
-        F.substring("o_orderpriority", 1, 1).alias("PTW_AGBN"),
-        F.when(k % 3 == 0, F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit(" ")))
-         .otherwise(F.col("o_orderstatus")).alias("TEAMNM"),
-        F.col("o_orderpriority").alias("DEPTNM"),
-        F.when(k % 2 == 0, F.lit("Y")).otherwise(F.lit("N")).alias("IOWKGBNNM"),
-        F.lit("GENERAL").alias("WKGBNNM"),
-        F.when(k % 13 == 0, F.lit("nan")).otherwise(st).alias("STDATE"),
-        F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(ed).alias("EDDATE"),
-        _case(k % 5, {0: hn, 1: F.concat(F.lit("S"), hn), 2: F.concat(F.lit("SN"), hn),
-                      3: F.concat(F.lit(" sn"), hn, F.lit(" ")), 4: F.lit("")}).alias("HULLNO"),
-        F.concat(F.lit("AREA"), (k % 7).cast("string")).alias("AREA_DETAIL"),
-        F.concat(F.lit("W"), (ck % 13).cast("string")).alias("WORK_NM"),
-        F.element_at(F.array(*[F.lit(c) for c in WORK_CODES]), (k % 8 + 1).cast("int")).alias("ACODENM"),
-    )
+    """Raw permit sheet rows rendered from order rows (usable on a stream micro-batch).
+
+    Built from SQL expression strings: a handful of JVM round trips instead of hundreds.
+    """
+    from ..functions.scalars import format_ntz_sql
+    codes = ", ".join(f"'{c}'" for c in WORK_CODES)
+    ed = "timestampadd(MINUTE, ((o_orderkey % 6) - 1) * 1440 + 180, _bt)"
+    two = "o_custkey % 5 <= 1"
+    sep = "CASE WHEN o_custkey % 5 <= 2 THEN '/' ELSE '-' END"
+    st = (f"concat(CASE WHEN {two} THEN lpad(CAST(year(_bt) % 100 AS STRING), 2, '0') "
+          f"ELSE lpad(CAST(year(_bt) AS STRING), 4, '0') END, {sep}, lpad(CAST(month(_bt) AS STRING), 2, '0'), "
+          f"{sep}, lpad(CAST(dayofmonth(_bt) AS STRING), 2, '0'), ' ', lpad(CAST(hour(_bt) AS STRING), 2, '0'), "
+          f"':', lpad(CAST(minute(_bt) AS STRING), 2, '0'), CASE WHEN o_custkey % 5 IN (1, 4) "
+          f"THEN concat(':', lpad(CAST(second(_bt) AS STRING), 2, '0')) ELSE '' END)")
+    hn = "CAST(o_custkey % 40 + 2601 AS STRING)"
+    o = orders.selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority",
+                          "timestampadd(MINUTE, (o_orderkey % 10) * 60 + (o_orderkey % 4) * 15, o_orderdate) AS _bt")
+    return o.selectExpr(
+        "o_orderkey AS _seq", "o_orderdate AS _odate", "'APPROVED' AS KYULGBN",
+        "substring(o_orderpriority, 1, 1) AS PTW_AGBN",
+        "CASE WHEN o_orderkey % 3 = 0 THEN concat(' ', o_orderstatus, ' ') ELSE o_orderstatus END AS TEAMNM",
+        "o_orderpriority AS DEPTNM",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'Y' ELSE 'N' END AS IOWKGBNNM",
+        "'GENERAL' AS WKGBNNM",
+        f"CASE WHEN o_orderkey % 13 = 0 THEN 'nan' ELSE {st} END AS STDATE",
+        f"CASE WHEN o_orderkey % 11 = 0 THEN CAST(NULL AS STRING) ELSE {format_ntz_sql(ed, 'yyyy-MM-dd HH:mm:ss')} END AS EDDATE",
+        f"CASE o_orderkey % 5 WHEN 0 THEN {hn} WHEN 1 THEN concat('S', {hn}) WHEN 2 THEN concat('SN', {hn}) "
+        f"WHEN 3 THEN concat(' sn', {hn}, ' ') ELSE '' END AS HULLNO",
+        "concat('AREA', CAST(o_orderkey % 7 AS STRING)) AS AREA_DETAIL",
+        "concat('W', CAST(o_custkey % 13 AS STRING)) AS WORK_NM",
+        f"element_at(array({codes}), CAST(o_orderkey % 8 + 1 AS INT)) AS ACODENM")
 
 
 SQL_V_PERMIT = f"""
