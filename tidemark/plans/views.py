@@ -130,23 +130,19 @@ def v_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     j = o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
-    k, ck = F.col("o_orderkey"), F.col("o_custkey")
-    vs = F.to_date("o_orderdate")
-    hn = (ck % 40 + 2601).cast("string")
-    return j.select(
-        k.alias("_seq"),
-        F.col("c_name").alias("name"),
-        F.concat(F.lit("010-"), F.lpad((ck % 10000).cast("string"), 4, "0"), F.lit("-"),
-                 F.lpad(((ck * 7) % 10000).cast("string"), 4, "0")).alias("phone"),
-        F.col("c_mktsegment").alias("company"),
-        vs.alias("visit_start"),
-        F.date_add(vs, (k % 17 - 1).cast("int")).alias("visit_end"),
-        _case(k % 3, {0: hn, 1: F.concat(F.lit("S"), hn), 2: F.concat(F.lit("sn"), hn)}).alias("project"),
-        F.concat(F.lit("W"), (k % 5).cast("string")).alias("work_content"),
-        F.concat(F.lit("G"), (ck % 9).cast("string")).alias("greeter"),
-        _case(k % 4, {0: F.lit(VISIT_DEPTS[0]), 1: F.lit(VISIT_DEPTS[1]), 2: F.col("o_orderpriority"),
-                      3: F.lit(VISIT_DEPTS[3])}).alias("dept"),
-    )
+    hn = "CAST(o_custkey % 40 + 2601 AS STRING)"
+    return j.selectExpr(
+        "o_orderkey AS _seq", "c_name AS name",
+        "concat('010-', lpad(CAST(o_custkey % 10000 AS STRING), 4, '0'), '-', "
+        "lpad(CAST((o_custkey * 7) % 10000 AS STRING), 4, '0')) AS phone",
+        "c_mktsegment AS company",
+        "to_date(o_orderdate) AS visit_start",
+        "date_add(to_date(o_orderdate), CAST(o_orderkey % 17 - 1 AS INT)) AS visit_end",
+        f"CASE o_orderkey % 3 WHEN 0 THEN {hn} WHEN 1 THEN concat('S', {hn}) ELSE concat('sn', {hn}) END AS project",
+        "concat('W', CAST(o_orderkey % 5 AS STRING)) AS work_content",
+        "concat('G', CAST(o_custkey % 9 AS STRING)) AS greeter",
+        f"CASE o_orderkey % 4 WHEN 0 THEN '{VISIT_DEPTS[0]}' WHEN 1 THEN '{VISIT_DEPTS[1]}' "
+        f"WHEN 2 THEN o_orderpriority ELSE '{VISIT_DEPTS[3]}' END AS dept")
 
 
 SQL_V_VISIT = f"""
@@ -170,20 +166,17 @@ v_visit AS (
 def _fuel_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey",
                                                 "l_quantity", "l_tax", "l_returnflag", "l_shipdate")
-    k, ln, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
-    qty = F.concat((F.floor("l_quantity")).cast("long").cast("string"), F.lit("."),
-                   F.lpad(ln.cast("string"), 2, "0"))
-    hfo = (F.when(ln == 7, F.lit("n/a")).when(ln == 6, F.concat(F.lit(" "), qty, F.lit(" ")))
-           .when(ln == 5, F.lit("1,200")).otherwise(qty))
-    return li.select(
-        (k * 10 + ln).alias("_seq"),
-        (((k % 3) == 0) & ((sk % 2) == 0)).alias("_is_new"),
-        sk.alias("_sk"),
-        F.col("l_returnflag").alias("일정구분"),
-        hfo.alias("HFO"),
-        (F.round(F.col("l_tax") * 100)).cast("long").cast("string").alias("LDO"),
-        F.to_date("l_shipdate").alias("Start"),
-    )
+    qty = ("concat(CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING), '.', "
+           "lpad(CAST(l_linenumber AS STRING), 2, '0'))")
+    return li.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS _seq",
+        "(l_orderkey % 3 = 0 AND l_suppkey % 2 = 0) AS _is_new",
+        "l_suppkey AS _sk",
+        "l_returnflag AS `일정구분`",
+        f"CASE WHEN l_linenumber = 7 THEN 'n/a' WHEN l_linenumber = 6 THEN concat(' ', {qty}, ' ') "
+        f"WHEN l_linenumber = 5 THEN '1,200' ELSE {qty} END AS HFO",
+        "CAST(CAST(round(l_tax * 100) AS BIGINT) AS STRING) AS LDO",
+        "to_date(l_shipdate) AS Start")
 
 
 def v_fuel_old(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,25 +214,26 @@ v_fuel_new AS (
 
 # ------------------------------------------------------------------ v_forecast
 def v_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.scalars import format_ntz_sql
     e = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    i, v, t = F.col("event_id"), F.col("value"), F.col("event_type")
-    fv = F.floor(v).cast("long")
-    cat = (F.when((t == "view") & (i % 50 == 0), F.lit("TMN")).when((t == "view") & (i % 50 == 1), F.lit("TMX"))
-           .when(t == "view", F.lit("TMP"))
-           .when((t == "click") & (i % 10 == 0), F.lit("WAV")).when(t == "click", F.lit("POP"))
-           .when(t == "signup", F.lit("WSD")).when(t == "purchase", F.lit("VEC"))
-           .when(i % 2 == 0, F.lit("PTY")).otherwise(F.lit("SKY")))
-    val = (F.when(i % 97 == 0, F.lit("x"))
-           .when(cat.isin("TMP", "TMN", "TMX"), (fv - 10).cast("string"))
-           .when(cat == "POP", ((i * 7) % 101).cast("string"))
-           .when(cat == "WAV", F.concat((fv.cast("long") / 10).cast("long").cast("string"), F.lit("."),
-                                        (fv % 10).cast("string")))
-           .when(cat == "WSD", F.floor(v / 4).cast("long").cast("string"))
-           .when(cat == "VEC", ((i * 37) % 360).cast("string"))
-           .when(cat == "PTY", (i % 8).cast("string"))
-           .otherwise(_case(i % 3, {0: F.lit("1"), 1: F.lit("3"), 2: F.lit("4")})))
-    return e.select(tf.format_ntz("ts", "yyyyMMdd").alias("fcstDate"), cat.alias("category"),
-                    val.alias("fcstValue"), i.alias("_seq"))
+    e = e.selectExpr(
+        "event_id", "ts", "value", "CAST(floor(value) AS BIGINT) AS fv",
+        "CASE WHEN event_type = 'view' AND event_id % 50 = 0 THEN 'TMN' "
+        "WHEN event_type = 'view' AND event_id % 50 = 1 THEN 'TMX' WHEN event_type = 'view' THEN 'TMP' "
+        "WHEN event_type = 'click' AND event_id % 10 = 0 THEN 'WAV' WHEN event_type = 'click' THEN 'POP' "
+        "WHEN event_type = 'signup' THEN 'WSD' WHEN event_type = 'purchase' THEN 'VEC' "
+        "WHEN event_id % 2 = 0 THEN 'PTY' ELSE 'SKY' END AS category")
+    return e.selectExpr(
+        f"{format_ntz_sql('ts', 'yyyyMMdd')} AS fcstDate", "category",
+        "CASE WHEN event_id % 97 = 0 THEN 'x' "
+        "WHEN category IN ('TMP', 'TMN', 'TMX') THEN CAST(fv - 10 AS STRING) "
+        "WHEN category = 'POP' THEN CAST((event_id * 7) % 101 AS STRING) "
+        "WHEN category = 'WAV' THEN concat(CAST(CAST(fv / 10 AS BIGINT) AS STRING), '.', CAST(fv % 10 AS STRING)) "
+        "WHEN category = 'WSD' THEN CAST(CAST(floor(value / 4) AS BIGINT) AS STRING) "
+        "WHEN category = 'VEC' THEN CAST((event_id * 37) % 360 AS STRING) "
+        "WHEN category = 'PTY' THEN CAST(event_id % 8 AS STRING) "
+        "ELSE element_at(array('1', '3', '4'), CAST(event_id % 3 + 1 AS INT)) END AS fcstValue",
+        "event_id AS _seq")
 
 
 SQL_V_FORECAST = """
