@@ -30,7 +30,7 @@ DICTIONARY_WORD_BYTES = 64
 #: Longer words are merged with a heap instead of list scans.
 LONG_WORD_BYTES = 256
 #: White space as the rank files' pattern means it (the White_Space property).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

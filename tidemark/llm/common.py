@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import scratch_path, ship_package
 
@@ -26,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with the package shipped to the Python workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
