@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bitslice, bpe, linededup, mixing, quality, toxicity
 from tidemark.llm.common import read_table
 
 
@@ -17,7 +18,45 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(byte_bpe_of(read_table(spark, sf_dir, "documents")))
 
 
+#: Shares of the tokens.  One source holds a third of all documents; it gets less here.
+MIXTURE = {
+    "source": {"src0": 0.24, **{f"src{i}": 0.04 for i in range(1, 20)}},
+    "lang": {"en": 0.60, "de": 0.14, "fr": 0.14, "es": 0.10},
+    "topic": {"note": 0.02, "article": 0.34, "longform": 0.54, "listing": 0.10},
+}
+
+
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.with_probability(read_table(spark, sf_dir, "documents"), MIXTURE).select(
+        "doc_id", "row.source", "row.lang", "topic", "n_tokens", "probability", "kept")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
+
+
 QUERIES = {
+    "op1_mixture": op1_mixture,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
+    "op10_bitslice_topk": op10_bitslice_topk,
+}
+ORACLES: dict[str, str] = {
+    "op1_mixture": mixing.mixture_sql(MIXTURE),
+    "op3_line_dedup": linededup.LINE_DEDUP_SQL,
 }
-ORACLES: dict[str, str] = {}
