@@ -84,3 +84,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def seeded_words(seed: int, n: int) -> np.ndarray:
     """``n`` fixed pseudo-random 64-bit words."""
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, n, np.uint64) * U64(2) + U64(1)
+
+
+def spans(inside: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and owners of the runs of True, cut where the owner (ascending document numbers) changes."""
+    if not len(inside):
+        return (np.zeros(0, np.int64),) * 3
+    change = np.concatenate([[False], owner[1:] != owner[:-1]])
+    before = np.concatenate([[False], inside[:-1]])
+    after = np.concatenate([inside[1:], [False]])
+    starts = np.flatnonzero(inside & (~before | change))
+    ends = np.flatnonzero(inside & (~after | np.concatenate([change[1:], [True]]))) + 1
+    return starts, ends, owner[starts]
+
+
+_SPAN_BASE = 0x9E3779B97F4A7C15
+_SPAN_TABLE = seeded_words(9, 256)
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, from prefix sums of a polynomial: linear in the buffer, whatever the spans."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    powers = lambda base: np.cumprod(np.concatenate([[U64(1)], np.full(len(data), U64(base))]), dtype=np.uint64)
+    total = np.concatenate([[U64(0)], np.cumsum(_SPAN_TABLE[data] * powers(_SPAN_BASE)[:-1], dtype=np.uint64)])
+    inverse = powers(pow(_SPAN_BASE, -1, 1 << 64))
+    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import flat_utf8, mix64, seeded_words
+from tidemark.llm.common import flat_utf8, span_hash, spans
 from tidemark.llm.training import adam, fit_in_task, fold_of, labelled_sample, score_documents, sigmoid
 
 WORD_SLOTS = 2048
@@ -36,21 +36,6 @@ STATISTICS = {
 SLOTS = WORD_SLOTS + sum(len(bounds) + 1 for bounds in STATISTICS.values())
 
 
-def _spans(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True."""
-    edge = np.diff(mark.astype(np.int8), prepend=0, append=0)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def _span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    table = seeded_words(9, 256)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(0x9E3779B97F4A7C15))]), dtype=np.uint64)
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))]), dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(table[data] * power[:-1], dtype=np.uint64)])
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
 def features(texts: pa.Array) -> np.ndarray:
     """A dense row of ``SLOTS`` features for each text: word weights of unit length, then one-hot statistics."""
     data, offsets = flat_utf8(texts)
@@ -60,17 +45,6 @@ def features(texts: pa.Array) -> np.ndarray:
     # white space parts words; a document's end does so too
     part = (data == 32) | ((data >= 9) & (data <= 13))
 
-    def spans(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of bytes outside ``stop``, cut at document ends."""
-        grown = np.zeros(len(data) + n + 1, bool)
-        at = np.arange(len(data)) + owner
-        grown[at] = ~stop
-        a, b = _spans(grown)
-        back = np.zeros(len(grown) + 1, np.int64)
-        back[at] = np.arange(len(data))
-        a, b = back[a], back[b - 1] + 1
-        return a, b, owner[a] if len(a) else np.zeros(0, np.int64)
-
     def distinct(of: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Distinct keys of each document."""
         if not len(of):
@@ -79,11 +53,11 @@ def features(texts: pa.Array) -> np.ndarray:
         new = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (key[order][1:] != key[order][:-1])])
         return np.bincount(of[order][new], minlength=n)
 
-    start, end, of = spans(part)
+    start, end, of = spans(~part, owner)
     lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    word = _span_hash(lower, start, end)
-    line_start, line_end, line_of = spans(data == 10)
-    line = _span_hash(data, line_start, line_end)
+    word = span_hash(lower, start, end)
+    line_start, line_end, line_of = spans(data != 10, owner)
+    line = span_hash(data, line_start, line_end)
     words, lines = np.bincount(of, minlength=n), np.bincount(line_of, minlength=n)
     share = lambda mark, by: np.bincount(owner, mark, minlength=n) / np.maximum(by, 1)
     letter = ((lower >= 97) & (lower <= 122)) | (data >= 128)
