@@ -100,7 +100,7 @@ def build_index(rows: DataFrame, low: int, bits: int, block_rows: int, n_rows: i
     """(block, ids, rows, attributes, width, slices): the values less ``low`` as bit slices, ids ascending."""
     blocks = max(1, -(-n_rows // block_rows))
 
-    def build(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
         values = np.stack(frame["q"].to_numpy()).astype(np.int64) - low
         maps = bitmaps(values, bits)

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, bpe, linededup, mixing, quality, toxicity
+from tidemark.llm import bitslice, bpe, covertree, linededup, minmax, mixing, quality, toxicity
 from tidemark.llm.common import read_table
 
 
@@ -36,6 +36,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
+def op6_minmax_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(read_table(spark, sf_dir, "documents"), percent=75)
+
+
+def op7_covertree_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(read_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -52,6 +60,8 @@ QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op6_minmax_near": op6_minmax_near,
+    "op7_covertree_near": op7_covertree_near,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_bitslice_topk": op10_bitslice_topk,
