@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, bpe, covertree, linededup, minmax, mixing, quality, toxicity
+from tidemark.llm import bitslice, bpe, covertree, linededup, minmax, mixing, quality, tokenbin, toxicity
 from tidemark.llm.common import read_table
 
 
@@ -36,6 +36,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.token_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op6_minmax_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read_table(spark, sf_dir, "documents"), percent=75)
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_shards": op4_token_shards,
     "op6_minmax_near": op6_minmax_near,
     "op7_covertree_near": op7_covertree_near,
     "op8_toxicity": op8_toxicity,
