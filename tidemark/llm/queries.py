@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, bpe, covertree, linededup, minmax, mixing, quality, tokenbin, toxicity
+from tidemark.llm import bitslice, bpe, covertree, linededup, minmax, mixing, quality, suffix, tokenbin, toxicity
 from tidemark.llm.common import read_table
 
 
@@ -40,6 +40,10 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeats(read_table(spark, sf_dir, "documents"), length=100))
+
+
 def op6_minmax_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read_table(spark, sf_dir, "documents"), percent=75)
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_shards": op4_token_shards,
+    "op5_suffix_repeats": op5_suffix_repeats,
     "op6_minmax_near": op6_minmax_near,
     "op7_covertree_near": op7_covertree_near,
     "op8_toxicity": op8_toxicity,
