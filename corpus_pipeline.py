@@ -1,29 +1,54 @@
-"""Document preparation: each stage reads what the previous one kept."""
+"""Document preparation: each stage works on all that the previous one kept.
+
+Toxic documents go, repeated lines are cut, one document of each near-duplicate group stays, the rest is sampled to the
+target mixture, and what is left is encoded.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
-from tidemark.llm.queries import byte_bpe_of
+from tidemark.llm import bpe, linededup, minmax, mixing, toxicity
+from tidemark.llm.common import read_table
+from tidemark.llm.queries import MIXTURE, byte_bpe_of
 from tidemark.session import scratch_path
 
 
-def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: doc_id, n_tokens and the digests of ids and decoded bytes of every document kept."""
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.without_repeated_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minmax.one_of_each(docs, percent=75)
+
+
+def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sample_mixture(docs, MIXTURE)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document that is left."""
     return bpe.digests(byte_bpe_of(docs))
 
 
 STAGES = [
-    ("byte_bpe", encode_stage),
+    ("toxicity", reject_toxic),
+    ("line_dedup", cut_repeated_lines),
+    ("minmax_near", drop_near_duplicates),
+    ("mixture", sample_mixture),
+    ("byte_bpe", encode),
 ]
 
-#: Models, hashing and a tokenizer take part: no SQL.
+#: A trained model, signatures and a tokenizer take part: no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
