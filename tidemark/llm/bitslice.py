@@ -92,7 +92,7 @@ def best_rows(total: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, q): floor(scale * x) of every component, for sound vectors."""
     v = F.col(vector_col)
-    return (vectors.where(sound(v)).select(F.col(id_col).cast("long").alias("id"),
+    return (vectors.where(sound(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"),
                                            F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("q")))
 
 
@@ -142,8 +142,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     """query_id, rank (from 1), vec_id, score: each query's k rows of highest integer inner product.
 
     ``is_query`` is a condition on the column ``id``.  Candidates are all rows but those with the query's own id; ties go to
-    smaller ids; fewer than k rows if there are fewer.  Vectors that are null, or hold null or non-finite components, take no
-    part; a query meets vectors of its own length only.  Repeated candidate rows are candidates each; a repeated query id is
+    smaller ids; fewer than k rows if there are fewer.  Vectors that are null, hold null or non-finite components, or have a
+    null id take no part; a query meets vectors of its own length only.  Repeated candidate rows are candidates each; a repeated query id is
     searched once, with the smallest of its vectors.  Other columns are ignored; an empty table gives an empty result.
     """
     rows = written(quantised(vectors, id_col, vector_col, scale), "bitslice-rows")

@@ -93,7 +93,7 @@ def fit(texts: pa.Array, y: np.ndarray, epochs: int = 8, batch: int = 64, rate:
     rng = np.random.Generator(np.random.PCG64(9))
     good = y.mean() if len(y) else 0.5
     w, v, bias = np.zeros(SLOTS), rng.normal(0, 0.05, (SLOTS, RANK)), np.array([np.log((good + 1e-6) / (1 - good + 1e-6))])
-    if not 0 < good < 1:
+    if not len(y) or not 0 < good < 1:
         return np.concatenate([w, 0 * v.ravel(), bias]).tobytes()
     x = np.concatenate([features(texts[i:i + CHUNK]) for i in range(0, len(texts), CHUNK)])
     step = adam([w.shape, v.shape, bias.shape])
