@@ -86,3 +86,88 @@ def test_archive_processed_files(spark):
     archived = [f for _, _, fs in os.walk(archive) for f in fs if f.endswith(".parquet")]
     assert "f0.parquet" in archived
     assert not os.path.exists(f"{landing}/f0.parquet")
+
+
+def _land(spark, folder, name, rows, schema):
+    """One parquet file of the landing folder."""
+    d = tempfile.mkdtemp(prefix="tm-src-")
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(d)
+    part = [f for f in os.listdir(d) if f.endswith(".parquet")][0]
+    os.makedirs(folder, exist_ok=True)
+    os.rename(f"{d}/{part}", f"{folder}/{name}.parquet")
+
+
+def test_two_streams_and_a_batch_publish_lose_nothing(spark):
+    from tidemark.sources.curated import merge_latest_and_publish, prune_versions
+    root = tempfile.mkdtemp(prefix="tm-two-")
+    schema = "k string, v string, _seq long"
+    merge = lambda b, st, i: accumulate_keep_last(st, b, ["k"]).drop("_batch")
+    for name in ("one", "two"):
+        for i in range(3):
+            _land(spark, f"{root}/land-{name}", f"f{i}", [(f"{name}{i}", "v", i)], schema)
+        s = watch_landing(spark, f"{root}/land-{name}", schema, "parquet", glob="*.parquet", max_files_per_trigger=1)
+        stream_merge(s, root, "t", merge, f"{root}/_chk-{name}")
+    assert len(committed_versions(spark, root, "t")) == 6
+    more = spark.createDataFrame([("batch", "v", 1)], schema)
+    merge_latest_and_publish(spark, root, "t", lambda st: accumulate_keep_last(st, more, ["k"]).drop("_batch"))
+    want = sorted([f"{n}{i}" for n in ("one", "two") for i in range(3)] + ["batch"])
+    assert sorted(r.k for r in read_curated(spark, root, "t").collect()) == want
+    assert len(prune_versions(spark, root, "t", keep=2)) == 5
+    assert sorted(r.k for r in read_curated(spark, root, "t").collect()) == want
+
+
+def test_commit_between_read_and_write_is_merged_again(spark):
+    from tidemark.sources.curated import merge_latest_and_publish
+    root = tempfile.mkdtemp(prefix="tm-race-")
+    schema = "k string, _seq long"
+    publish(spark.createDataFrame([("a", 1)], schema), root, "t")
+    calls = []
+
+    def merge(stored):
+        if not calls:  # another writer commits while this one merges
+            publish(stored.unionByName(spark.createDataFrame([("other", 2)], schema)), root, "t")
+        calls.append(1)
+        return stored.unionByName(spark.createDataFrame([("mine", 3)], schema))
+
+    merge_latest_and_publish(spark, root, "t", merge)
+    assert len(calls) == 2
+    assert sorted(r.k for r in read_curated(spark, root, "t").collect()) == ["a", "mine", "other"]
+
+
+def test_unfinished_commit_counts_for_nothing(spark):
+    root = tempfile.mkdtemp(prefix="tm-half-")
+    df = spark.createDataFrame([(1,)], "k int")
+    v1 = publish(df, root, "t")
+    open(f"{root}/t/_commits/{int(v1) + 1:012d}", "w").close()
+    assert committed_versions(spark, root, "t") == [v1]
+    v3 = publish(df, root, "t")
+    assert int(v3) == int(v1) + 2
+
+
+def test_partition_merge_keeps_columns_and_null_partitions(spark):
+    from tidemark.streaming.watch import merge_into_partitions
+    path = tempfile.mkdtemp(prefix="tm-part2-") + "/t"
+    merge_into_partitions(spark.createDataFrame([("a", "d1", "x", 1), ("n", None, "x", 2)], "k string, d string, extra string, _seq long"),
+                          path, ["k"], "d")
+    merge_into_partitions(spark.createDataFrame([("b", "d1", "new", 3), ("m", None, "new", 4)], "k string, d string, other string, _seq long"),
+                          path, ["k"], "d")
+    rows = spark.read.option("mergeSchema", True).parquet(path).select("k", "d", "extra", "other").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(
+        [("a", "d1", "x", None), ("b", "d1", None, "new"), ("n", None, "x", None), ("m", None, None, "new")], key=str)
+
+
+def test_failing_batch_reports_its_whole_error(spark):
+    from tidemark.sources.status import read_status
+    root = tempfile.mkdtemp(prefix="tm-fail-")
+    schema = "k string, _seq long"
+    assert read_status(spark, root).count() == 0
+    _land(spark, f"{root}/land", "f0", [("a", 1)], schema)
+    s = watch_landing(spark, f"{root}/land", schema, "parquet", glob="*.parquet")
+
+    def merge(batch, stored, batch_id):
+        raise ValueError("x" * 2000)
+
+    with pytest.raises(Exception):
+        stream_merge(s, root, "t", merge, f"{root}/_chk", job="j")
+    row = read_status(spark, root).first()
+    assert not row["ok"] and "x" * 2000 in row["error"]

@@ -1,22 +1,22 @@
-"""Curated tables: versioned parquet + commit markers (S3, K1, K4, K6, M8).
+"""Curated tables: immutable data directories and numbered commits (S3, K1, K4, K6, M8).
 
 Layout of a table ``<root>/<table>``::
 
-    v=<version>/part-*.parquet     immutable data of one publish
-    _commits/<version>             empty marker, created after the data is written
+    v=<unique name>/part-*.parquet   data of one publish, never changed
+    _commits/<number>                one commit: JSON with the data directory and the load's id
 
-A publish writes a fresh version directory and then creates its marker (an
-atomic file create): readers resolve the greatest committed version, so they
-never see partial data and a reader of the old version is never broken by the
-writer (overwriting a path that is being read fails in Spark).  Versions are
-zero-padded so lexical order is publish order.
+Commits are numbered one after another.  A writer commits by creating the marker that follows the newest one, which
+fails if another writer has created it meanwhile; so two writers never both follow the same version.  Readers take the
+marker of the largest number.  A marker without content is a commit that never finished and counts for nothing.
 """
 from __future__ import annotations
 
-import time
+import json
 import uuid
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -25,62 +25,135 @@ class EmptyLoadError(ValueError):
     """K6: refusing to replace a table with an empty result."""
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+class ConcurrentCommitError(RuntimeError):
+    """Another writer has committed the number this one was to have."""
+
+
+@dataclass(frozen=True)
+class Commit:
+    version: str          # zero-padded number
+    data: str             # data directory
+    load: str | None      # id of the load, for replays
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the Hadoop API."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def new_version() -> str:
-    return f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists; faults of the file system are raised."""
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p)
 
 
-def committed_versions(spark: SparkSession, root: str, table: str) -> list[str]:
-    fs, p = _fs(spark, f"{root}/{table}/_commits")
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = hadoop_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _marker(root: str, table: str, number: int) -> str:
+    return f"{root}/{table}/_commits/{number:012d}"
+
+
+def commits(spark: SparkSession, root: str, table: str) -> list[Commit]:
+    """All finished commits, oldest first."""
+    fs, p = hadoop_path(spark, f"{root}/{table}/_commits")
     if not fs.exists(p):
         return []
-    return sorted(st.getPath().getName() for st in fs.listStatus(p))
+    out = []
+    for name in sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getLen() > 0):
+        if name.isdigit():
+            content = read_text(spark, f"{root}/{table}/_commits/{name}")
+            try:
+                entry = json.loads(content)
+            except ValueError:  # being written
+                continue
+            out.append(Commit(name, entry["data"], entry.get("load")))
+    return out
+
+
+def _last_number(spark: SparkSession, root: str, table: str) -> int:
+    """The largest number taken, finished or not."""
+    fs, p = hadoop_path(spark, f"{root}/{table}/_commits")
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return max([0, *(int(n) for n in names if n.isdigit())])
+
+
+def _commit(spark: SparkSession, root: str, table: str, number: int, data: str, load: str | None) -> str:
+    fs, p = hadoop_path(spark, _marker(root, table, number))
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError:
+        if fs.exists(p):
+            raise ConcurrentCommitError(f"{table}: commit {number} is taken") from None
+        raise
+    try:
+        out.write(bytearray(json.dumps({"data": data, "load": load}).encode()))
+    finally:
+        out.close()
+    return f"{number:012d}"
+
+
+def committed_versions(spark: SparkSession, root: str, table: str) -> list[str]:
+    return [c.version for c in commits(spark, root, table)]
 
 
 def current_version(spark: SparkSession, root: str, table: str) -> str | None:
-    v = committed_versions(spark, root, table)
-    return v[-1] if v else None
+    versions = committed_versions(spark, root, table)
+    return versions[-1] if versions else None
 
 
 def read_curated(spark: SparkSession, root: str, table: str, schema: T.StructType | str | None = None,
                  version: str | None = None) -> DataFrame | None:
     """S3: the current (or given) committed version; absent -> empty frame with ``schema``
     (or None when no schema is given)."""
-    v = version or current_version(spark, root, table)
-    if v is None:
+    found = [c for c in commits(spark, root, table) if version is None or c.version == version]
+    if not found:
+        if version is not None:
+            raise ValueError(f"{table}: version {version} is not committed")
         return spark.createDataFrame([], schema) if schema is not None else None
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(f"{root}/{table}/v={v}")
+    r = spark.read.schema(schema) if schema is not None else spark.read
+    return r.parquet(f"{root}/{table}/{found[-1].data}")
+
+
+def _write_data(df: DataFrame, root: str, table: str, refuse_empty: bool, partitions: int | None) -> str:
+    data = f"v={uuid.uuid4().hex}"
+    path = f"{root}/{table}/{data}"
+    (df.repartition(partitions) if partitions else df).write.parquet(path)
+    # K6 after the write: the check reads the written files instead of computing the plan a second time
+    if refuse_empty and df.sparkSession.read.schema(df.schema).parquet(path).isEmpty():
+        delete_path(df.sparkSession, path)
+        raise EmptyLoadError(f"refusing to publish an empty result to {table}")
+    return data
 
 
 def publish(df: DataFrame, root: str, table: str, version: str | None = None,
             refuse_empty: bool = True, partitions: int | None = None) -> str | None:
-    """K1 (+K6): write a new version and commit it.  Returns the version, or None when the
-    version was already committed (an idempotent replay, e.g. a re-run stream batch)."""
+    """K1 (+K6): write the data and commit it as the next version, whatever was committed before.
+
+    ``version`` names the load (an id that no other load has, such as a stream's checkpoint and batch id); publishing a load
+    or a version that is already committed is a replay: nothing is written and None returned.
+    """
     spark = df.sparkSession
-    v = version or new_version()
-    fs, marker = _fs(spark, f"{root}/{table}/_commits/{v}")
-    if fs.exists(marker):
+    if version is not None and any(version in (c.version, c.load) for c in commits(spark, root, table)):
         return None
-    out = df.repartition(partitions) if partitions else df
-    path = f"{root}/{table}/v={v}"
-    # An uncommitted directory of the same version is garbage from a failed attempt.
-    out.write.mode("overwrite").parquet(path)
-    # K6 after the write: the emptiness check reads the written files (row counts come
-    # from parquet metadata) instead of computing the plan a second time.
-    if refuse_empty and spark.read.parquet(path).isEmpty():
-        dfs, p = _fs(spark, path)
-        dfs.delete(p, True)
-        raise EmptyLoadError(f"refusing to publish an empty result to {table}")
-    fs.create(marker, False).close()
-    return v
+    data = _write_data(df, root, table, refuse_empty, partitions)
+    while True:
+        try:
+            return _commit(spark, root, table, _last_number(spark, root, table) + 1, data, version)
+        except ConcurrentCommitError:
+            continue  # a whole table replaces whatever came in between
 
 
 def publish_many(frames: Mapping[str, Callable[[], DataFrame]], root: str) -> DataFrame | None:
@@ -92,41 +165,33 @@ def publish_many(frames: Mapping[str, Callable[[], DataFrame]], root: str) -> Da
         try:
             df = build()
             spark = df.sparkSession
-            v = publish(df, root, name)
-            rows.append((name, "ok", v, ""))
+            rows.append((name, "ok", publish(df, root, name), ""))
         except EmptyLoadError as e:
             rows.append((name, "skipped", None, str(e)))
         except Exception as e:  # noqa: BLE001 - isolation per table is the contract
-            rows.append((name, "failed", None, f"{type(e).__name__}: {e}"[:500]))
+            rows.append((name, "failed", None, f"{type(e).__name__}: {e}"))
     spark = spark or SparkSession.getActiveSession()
     return spark.createDataFrame(rows, "table string, status string, version string, message string")
 
 
 def merge_latest_and_publish(spark: SparkSession, root: str, table: str,
                              merge: Callable[[DataFrame | None], DataFrame], retries: int = 3) -> str | None:
-    """M8: re-read the latest version right before writing, merge, publish; if another
-    writer committed in between, retry on top of the newer version."""
+    """M8: merge onto the newest version and commit as the one right after it; if another writer has committed in
+    between, the merge runs again on top of that."""
     for _ in range(retries):
-        base_v = current_version(spark, root, table)
-        base = read_curated(spark, root, table, version=base_v) if base_v else None
-        out = merge(base)
-        v = new_version()
-        path = f"{root}/{table}/v={v}"
-        out.write.mode("overwrite").parquet(path)
-        if current_version(spark, root, table) == base_v:
-            fs, marker = _fs(spark, f"{root}/{table}/_commits/{v}")
-            fs.create(marker, False).close()
-            return v
+        number = _last_number(spark, root, table)
+        data = _write_data(merge(read_curated(spark, root, table)), root, table, False, None)
+        try:
+            return _commit(spark, root, table, number + 1, data, None)
+        except ConcurrentCommitError:
+            delete_path(spark, f"{root}/{table}/{data}")
     raise RuntimeError(f"{table}: concurrent publishers, gave up after {retries} attempts")
 
 
 def prune_versions(spark: SparkSession, root: str, table: str, keep: int = 7) -> list[str]:
-    """Delete data and markers of all but the newest ``keep`` committed versions."""
-    vs = committed_versions(spark, root, table)
-    gone = vs[:-keep] if keep > 0 else vs
-    for v in gone:
-        fs, p = _fs(spark, f"{root}/{table}/v={v}")
-        fs.delete(p, True)
-        fs2, m = _fs(spark, f"{root}/{table}/_commits/{v}")
-        fs2.delete(m, False)
-    return gone
+    """Delete data and markers of all but the newest ``keep`` (at least one) commits."""
+    old = commits(spark, root, table)[:-max(1, keep)]
+    for c in old:
+        delete_path(spark, f"{root}/{table}/{c.data}")
+        delete_path(spark, _marker(root, table, int(c.version)))
+    return [c.version for c in old]

@@ -62,5 +62,5 @@ def mirror_all(spark: SparkSession, tables: Mapping[str, DataFrame], url: str, p
             mirror_jdbc(df, url, name, prefix, properties)
             rows.append((name, n, True, ""))
         except Exception as e:  # noqa: BLE001 - per-table isolation
-            rows.append((name, None, False, f"{type(e).__name__}: {e}"[:500]))
+            rows.append((name, None, False, f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(rows, "table string, rows long, ok boolean, msg string")

@@ -6,12 +6,15 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .curated import path_exists
+
 STATUS_SCHEMA = "job string, ok boolean, ts timestamp_ntz, summary string, error string"
 
 
 def append_status(spark: SparkSession, root: str, job: str, ok: bool, summary: str = "",
                   error: str = "", ts: dt.datetime | None = None) -> None:
-    row = [(job, ok, ts or dt.datetime.now(), summary, error)]
+    """Append one row; the time is UTC unless given, whatever the zone of the driver."""
+    row = [(job, ok, ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), summary, error)]
     spark.createDataFrame(row, STATUS_SCHEMA).write.mode("append").parquet(f"{root}/_job_status")
 
 
@@ -25,7 +28,7 @@ def latest_status(status: DataFrame, job: str = "job", ts: str = "ts",
 
 
 def read_status(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(STATUS_SCHEMA).parquet(f"{root}/_job_status")
-    except Exception:  # noqa: BLE001 - no status yet
+    """All status rows; none if no job has reported yet."""
+    if not path_exists(spark, f"{root}/_job_status"):
         return spark.createDataFrame([], STATUS_SCHEMA)
+    return spark.read.schema(STATUS_SCHEMA).parquet(f"{root}/_job_status")

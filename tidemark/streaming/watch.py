@@ -4,20 +4,24 @@
   children, glob filter, ``_`` files hidden); the checkpoint's file log makes
   every file count exactly once, across restarts (T3 catch-up).
 * T2 ``stream_merge``: ``foreachBatch`` runs the same merge as the batch
-  pipeline against the latest published version and publishes a new version
-  whose name is derived from the batch id, so a replayed batch is a no-op.
+  pipeline against the latest published version and publishes the next one.  The
+  load is named by the checkpoint's own id and the batch id, so a replayed batch is
+  a no-op, and another stream or a new checkpoint never clashes with it.  It writes
+  the whole table each batch: for large tables use :func:`stream_merge_partitioned`.
 * T4: ``cleanSource=archive`` moves processed files (done lazily by Spark).
 * T5: ``availableNow`` run (process everything present, then stop) + status row.
 * T7: the dictionary is re-read in every batch (stream-static lookup).
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.curated import publish, read_curated
+from ..sources.curated import path_exists, prune_versions, publish, read_curated, read_text
 from ..sources.status import append_status
 
 
@@ -39,36 +43,47 @@ def watch_landing(spark: SparkSession, path: str, schema: T.StructType | str, fm
     return r.load(path)
 
 
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark has given to the stream of this checkpoint folder (it stays over restarts)."""
+    return json.loads(read_text(spark, f"{checkpoint}/metadata"))["id"]
+
+
+def _start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool):
+    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    q = w.start()
+    if available_now:
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return q
+
+
 def stream_merge(stream: DataFrame, root: str, table: str,
                  merge: Callable[[DataFrame, DataFrame | None, int], DataFrame],
                  checkpoint: str, available_now: bool = True, job: str | None = None,
-                 output_columns: list[str] | None = None):
-    """For each micro-batch ``merge(batch, stored, batch_id)`` then publish
-    version ``b<batch_id>``.  Returns the (finished, when ``available_now``) query."""
+                 output_columns: list[str] | None = None, keep_versions: int | None = None):
+    """For each micro-batch ``merge(batch, stored, batch_id)``, then publish.
+    ``keep_versions`` prunes older versions after each batch.  Returns the (finished, when
+    ``available_now``) query."""
     spark = stream.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stored = read_curated(spark, root, table)
-        out = merge(batch, stored, batch_id)
-        if output_columns:
-            out = out.select(*output_columns)
         try:
-            publish(out, root, table, version=f"b{batch_id:012d}", refuse_empty=False)
-            if job:
-                append_status(spark, root, job, True, f"batch {batch_id}")
+            out = merge(batch, read_curated(spark, root, table), batch_id)
+            if output_columns:
+                out = out.select(*output_columns)
+            publish(out, root, table, version=f"{checkpoint_id(spark, checkpoint)}:{batch_id}", refuse_empty=False)
+            if keep_versions:
+                prune_versions(spark, root, table, keep_versions)
         except Exception as e:  # noqa: BLE001 - record, then let the query fail/retry
             if job:
-                append_status(spark, root, job, False, f"batch {batch_id}", f"{type(e).__name__}: {e}"[:500])
+                append_status(spark, root, job, False, f"batch {batch_id}", f"{type(e).__name__}: {e}")
             raise
+        if job:
+            append_status(spark, root, job, True, f"batch {batch_id}")
 
-    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    q = w.start()
-    if available_now:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-    return q
+    return _start(stream, run, checkpoint, available_now)
 
 
 def merge_into_partitions(batch: DataFrame, path: str, keys: list[str], partition_col: str,
@@ -76,9 +91,9 @@ def merge_into_partitions(batch: DataFrame, path: str, keys: list[str], partitio
     """Incremental M2 for a table partitioned by a column that is a function of the key
     (e.g. the month of a date key), so keep-last per key is exact inside a partition.
 
-    Only the partitions the batch touches are read (a left-semi join on the batch's
-    partition values lets dynamic partition pruning skip the rest), merged with
-    keep-last, cut from their lineage with a reliable checkpoint (the write must not
+    Only the partitions the batch touches are read (a null-safe left-semi join on the batch's
+    partition values), with all the columns stored; columns that one side lacks are null.  They are
+    merged with keep-last, cut from their lineage with a reliable checkpoint (the write must not
     read its own target) and written back with dynamic partition overwrite.  Cost is
     O(batch + touched partitions), not O(table).  Re-running a batch gives the same
     result (idempotent).  Partitions are replaced one by one at commit: readers that
@@ -91,23 +106,20 @@ def merge_into_partitions(batch: DataFrame, path: str, keys: list[str], partitio
     keys = list(dict.fromkeys([*keys, partition_col]))   # functionally dependent: same groups
     spark = batch.sparkSession
     b = with_batch(batch, 1)
-    try:
-        fs_jvm = spark.sparkContext._jvm
-        p = fs_jvm.org.apache.hadoop.fs.Path(path)
-        exists = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    except Exception:  # noqa: BLE001
-        exists = False
-    if exists:
-        stored = spark.read.schema(batch.schema).parquet(path)
-        touched = b.select(partition_col).distinct()
-        affected = stored.join(touched, partition_col, "left_semi")
+    if path_exists(spark, path):
+        # the partition column keeps the batch's type: a path alone would be guessed at
+        fields = [batch.schema[partition_col] if f.name == partition_col else f
+                  for f in spark.read.option("mergeSchema", True).parquet(path).schema.fields]
+        stored = spark.read.schema(T.StructType(fields)).parquet(path)
+        touched = b.select(F.col(partition_col).alias("_touched")).distinct()
+        affected = stored.join(touched, F.col(partition_col).eqNullSafe(F.col("_touched")), "left_semi")
         merged = keep_last(union_reconcile([with_batch(affected, 0), b]), keys, order)
         work_dir(spark)
         merged = merged.drop("_batch").checkpoint(eager=True)
     else:   # first load: nothing is read from the target, no lineage to cut
         merged = keep_last(b, keys, order).drop("_batch")
-    # One writer task per touched partition -> one file per partition, no small-file fan-out.
-    (merged.repartition(partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # rows of a partition together, but a large partition in several tasks and files
+    (merged.hint("rebalance", F.col(partition_col)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))
 
 
@@ -120,11 +132,4 @@ def stream_merge_partitioned(stream: DataFrame, path: str, keys: list[str], part
     def run(batch: DataFrame, batch_id: int) -> None:
         merge_into_partitions(prepare(batch, batch_id), path, keys, partition_col)
 
-    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    q = w.start()
-    if available_now:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-    return q
+    return _start(stream, run, checkpoint, available_now)
