@@ -137,11 +137,10 @@ def daily_forecast(feed: DataFrame, date_col: str = "fcst_date", cat_col: str =
 
 
 def value_counts(df: DataFrame, col: str, blank_label: str | None = EMPTY_LABEL) -> DataFrame:
-    """Count per value (as text; blanks labelled)."""
-    v = F.col(col).cast("string")
+    """Count per stripped value (as text; blanks labelled)."""
+    v = strip(F.col(col).cast("string"))
     if blank_label is not None:
-        s = strip(v)
-        v = F.when(v.isNull() | s.isin("", "None", "nan"), F.lit(blank_label)).otherwise(v)
+        v = F.when(v.isNull() | v.isin("", "None", "nan"), F.lit(blank_label)).otherwise(v)
     return df.groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,9 +1,8 @@
 """Join-shaped operators (J1..J11).
 
-All joins are equi-joins.  Dimension sides are de-duplicated first; they are
-broadcast only behind a size check (:func:`bounded_broadcast`) — beyond the
-bound the join is left to AQE, which picks broadcast or sort-merge from the
-real shuffle statistics.
+All joins are equi-joins.  Dimension sides are de-duplicated first and carry no hint: the planner
+and AQE pick broadcast or sort-merge from sizes in bytes (``spark.sql.autoBroadcastJoinThreshold``),
+and no job runs while a plan is built.
 """
 from __future__ import annotations
 
@@ -14,25 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import strip
 
-# Upper bound of rows for an explicit broadcast hint (~25 MB at ~100 bytes per row; the
-# table is shipped to every executor, so the bound is kept well below executor memory).
-DEFAULT_BROADCAST_ROWS = 250_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      bound: DataFrame | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The check runs ``limit(max_rows + 1).count()`` so it never scans more than the
-    bound; above it the frame is returned unhinted (AQE decides from runtime sizes).
-    ``bound`` may name a cheaper frame with at least as many rows (e.g. the raw
-    dictionary before de-duplication), so the aggregate is not computed twice.
-    """
-    if max_rows <= 0:
-        return df
-    n = (bound if bound is not None else df).limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def dedup_dictionary(dim: DataFrame, key: str, values: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Dictionary rows: trimmed non-blank key; the last row per key (by ``order``) wins;
@@ -46,7 +26,7 @@ def dedup_dictionary(dim: DataFrame, key: str, values: Sequence[str], order: Seq
 
 def lookup_fill(df: DataFrame, key: str, dim: DataFrame, dim_key: str = "work",
                 fill: Mapping[str, str] | None = None, order: Sequence[str] = ("_seq",),
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, dedup: bool = True) -> DataFrame:
+                dedup: bool = True) -> DataFrame:
     """Left lookup on the trimmed key.
 
     On a hit the target columns are overwritten by the dictionary values; on a
@@ -56,7 +36,6 @@ def lookup_fill(df: DataFrame, key: str, dim: DataFrame, dim_key: str = "work",
     fill = dict(fill or {"risk_keywords": "keyword", "warning": "warning"})
     d = dedup_dictionary(dim, dim_key, list(dict.fromkeys(fill.values())), order) if dedup else dim
     d = d.select(F.col(dim_key).alias("_dk"), *[F.col(v).alias(f"_dv_{v}") for v in set(fill.values())])
-    d = bounded_broadcast(d, max_broadcast_rows, bound=dim)
     j = df.join(d, strip(F.col(key)) == F.col("_dk"), "left")
     hit = F.col("_dk").isNotNull()
     cols = {}
@@ -153,14 +132,14 @@ def holiday_flags(days: DataFrame, holidays: DataFrame | None,
     out = days
     if holidays is not None:
         h = holidays.groupBy(F.col(date_col).alias("_hd")).agg(F.min("holiday_name").alias("_hn"))
-        out = out.join(bounded_broadcast(h), F.col(date_col) == F.col("_hd"), "left")
+        out = out.join(h, F.col(date_col) == F.col("_hd"), "left")
         out = out.withColumn("is_holiday", F.col("_hd").isNotNull()).withColumn(
             "holiday_name", F.coalesce(F.col("_hn"), F.lit(""))).drop("_hd", "_hn")
     else:
         out = out.withColumn("is_holiday", F.lit(False)).withColumn("holiday_name", F.lit(""))
     if company_holidays is not None:
         c = company_holidays.select(F.col(date_col).alias("_cd")).distinct()
-        out = out.join(bounded_broadcast(c), F.col(date_col) == F.col("_cd"), "left")
+        out = out.join(c, F.col(date_col) == F.col("_cd"), "left")
         out = out.withColumn("is_company_holiday", F.col("_cd").isNotNull()).drop("_cd")
     else:
         out = out.withColumn("is_company_holiday", F.lit(False))
@@ -182,8 +161,9 @@ def manifest_exists(files: DataFrame, archive: DataFrame, keys: Sequence[str],
 
 def join_on_hull(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                  how: str = "inner") -> DataFrame:
-    """Join two curated tables on the hull key after canonicalisation."""
+    """Join two curated tables on the hull key after canonicalisation.
+    Null and blank keys match nothing."""
     from ..functions.scalars import ensure_sn
-    l2 = left.withColumn("_hull", ensure_sn(F.col(left_key)))
-    r2 = right.withColumn("_hull_r", ensure_sn(F.col(right_key)))
+    l2 = left.withColumn("_hull", F.nullif(ensure_sn(F.col(left_key)), F.lit("")))
+    r2 = right.withColumn("_hull_r", F.nullif(ensure_sn(F.col(right_key)), F.lit("")))
     return l2.join(r2, F.col("_hull") == F.col("_hull_r"), how).drop("_hull_r")

@@ -67,14 +67,17 @@ def upsert_by_key(existing: DataFrame, new: DataFrame, key: str = "forecast_date
     return union_reconcile([with_batch(kept, 0), with_batch(new, 1)])
 
 
-def full_replace(load: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
-    """M4: the fresh source when it answers, else the stored table (and ok=False)."""
+def full_replace(load: Callable[[], DataFrame], fallback: Callable[[], DataFrame],
+                 write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, bool, str]:
+    """M4: write the fresh source; if it fails, while it is opened or while its rows are written, the stored table stays.
+
+    ``write`` stores a frame and returns the stored one (e.g. publishes it and reads it back), so the outcome is known from
+    the finished write.  Returns (table, ok, error).
+    """
     try:
-        df = load()
-        df.schema  # force analysis so a missing source fails here
-        return df, True
-    except Exception:  # noqa: BLE001 - keep-on-failure is the contract
-        return fallback(), False
+        return write(load()), True, ""
+    except Exception as e:  # noqa: BLE001 - keep-on-failure is the contract
+        return fallback(), False, f"{type(e).__name__}: {e}"
 
 
 # Assessment-card state columns, restored on re-derivation.

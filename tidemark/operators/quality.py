@@ -32,7 +32,8 @@ def analyze_diff(new: DataFrame, existing: DataFrame, key: str,
 
     Keys are distinct per side and compared as text; a FULL OUTER join of the
     two distinct key sets classifies them (added = only new, changed = both,
-    kept = only old).  Row counts come from the same aggregate.
+    kept = only old).  Row counts come from the same aggregate.  An empty load compares nothing:
+    all key counts are 0.
     """
     if legacy_key and key not in existing.columns and legacy_key in existing.columns:
         existing = existing.withColumnRenamed(legacy_key, key)
@@ -40,8 +41,8 @@ def analyze_diff(new: DataFrame, existing: DataFrame, key: str,
     ok = existing.groupBy(F.col(key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("er"))
     j = nk.join(ok, nk["k"].eqNullSafe(ok["k"]), "full")
     hasn, haso = F.col("nr").isNotNull(), F.col("er").isNotNull()
-    return j.agg(F.count_if(hasn & ~haso).alias("added"), F.count_if(hasn & haso).alias("changed"),
-                 F.count_if(~hasn & haso).alias("kept"),
+    kept = F.when(F.count_if(hasn) > 0, F.count_if(~hasn & haso)).otherwise(F.lit(0).cast("long"))
+    return j.agg(F.count_if(hasn & ~haso).alias("added"), F.count_if(hasn & haso).alias("changed"), kept.alias("kept"),
                  F.coalesce(F.sum("nr"), F.lit(0)).cast("long").alias("new_rows"),
                  F.coalesce(F.sum("er"), F.lit(0)).cast("long").alias("exist_rows"))
 

@@ -43,17 +43,20 @@ def keep_latest_n(files: DataFrame, group: str, n: int = 7, mtime: str = "modifi
                   name: str = "file_name", out_col: str = "action") -> DataFrame:
     """Per group keep the newest ``n`` files (mtime desc, then name); the rest -> 'delete'.
 
-    ``row_number() <= n`` lets Spark insert a partial window-group-limit before
-    the shuffle, so every task forwards at most ``n`` rows per group; the small
-    keep-set (n x groups, size-checked) is then joined back to all files.
+    Ranked by (mtime, name) with nulls last, nulls being a group of their own; files equal in both
+    share their place, so all of them are kept or deleted.  The n-th newest of each group comes from
+    ``row_number() <= n``, which Spark turns into a partial window-group-limit before the shuffle;
+    one bounded list per group is joined back.
     """
-    from .joins import bounded_broadcast
-    w = Window.partitionBy(group).orderBy(F.col(mtime).desc_nulls_last(), F.col(name))
-    keep = (files.select(group, name, mtime).withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= n).select(F.col(group).alias("_g"), F.col(name).alias("_n"), "rank"))
-    j = files.join(bounded_broadcast(keep), (F.col(group) == F.col("_g")) & (F.col(name) == F.col("_n")), "left")
-    return (j.withColumn(out_col, F.when(F.col("rank").isNotNull(), F.lit("keep")).otherwise(F.lit("delete")))
-            .drop("_g", "_n"))
+    first = Window.partitionBy(group).orderBy(F.col("_m").desc_nulls_last(), F.col("_n"))
+    distinct = files.select(F.col(group), F.col(mtime).alias("_m"), F.col(name).alias("_n")).distinct()
+    newest = distinct.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n)
+    keep = newest.select(F.col(group).alias("_g"), "_m", "_n", "rank")
+    same = (F.col(group).eqNullSafe(F.col("_g")) & F.col(name).eqNullSafe(F.col("_n"))
+            & F.col(mtime).eqNullSafe(F.col("_m")))
+    return (files.join(keep, same, "left")
+            .withColumn(out_col, F.when(F.col("rank").isNotNull(), F.lit("keep")).otherwise(F.lit("delete")))
+            .drop("_g", "_n", "_m"))
 
 
 def date_header_change(df: DataFrame, date_col: str, partition: Sequence[str],
@@ -68,9 +71,9 @@ def date_header_change(df: DataFrame, date_col: str, partition: Sequence[str],
     """
     if not partition:
         raise ValueError("date_header_change needs a partition column")
-    keys = [*partition, date_col]
     if not tiebreak:
-        return df.withColumn(out_col, F.lit(True))
+        raise ValueError("date_header_change needs tiebreak columns: rows have no order of their own")
+    keys = [*partition, date_col]
     tb = F.struct(*[F.col(t) for t in tiebreak])
     firsts = df.groupBy(*keys).agg(F.min(tb).alias("_first")).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as tf
-from ..operators.expand import explode_items
+from ..operators.documents import accident_items, guide_items
 from ..operators.filters import search_any
 from ..operators.joins import skip_done
 from ..operators.quality import archive_plan, doc_progress
@@ -14,8 +14,6 @@ from .queries import register
 from .views import read, v_message, with_views
 
 # ---------------------------------------------------------------------- documents
-_ITEM_SCHEMA = ("struct<guides:array<struct<standard_id:string,title:string,keywords:string>>,"
-                "standard_id:string,title:string,keywords:string>")
 _SQL_ITEM_SCHEMA = ('{"guides":[{"standard_id":"VARCHAR","title":"VARCHAR","keywords":"VARCHAR"}],'
                     '"standard_id":"VARCHAR","title":"VARCHAR","keywords":"VARCHAR"}')
 
@@ -74,27 +72,10 @@ drows AS (SELECT coalesce(nullif(trim(coalesce(it.standard_id, ''), ' ' || chr(9
 _ITEM_COLS = ("id", "standard_id", "seq", "title", "keywords", "text", "pdf_filename")
 
 
-def doc_items(docs):
-    """N19 + E4 + N27: answer -> JSON -> items (list, single object, or one default row)."""
-    js = F.from_json(tf.clean_llm_json("answer"), _ITEM_SCHEMA)
-    d = docs.withColumn("_o", js)
-    o = F.col("_o")
-    single = F.array(F.struct(o["standard_id"].alias("standard_id"), o["title"].alias("title"),
-                              o["keywords"].alias("keywords")))
-    default = F.struct(F.lit("").alias("standard_id"), F.col("stem").alias("title"), F.lit("").alias("keywords"))
-    items = (F.when(F.coalesce(F.size(o["guides"]), F.lit(0)) > 0, o["guides"])
-             .when(F.coalesce(o["title"], F.lit("")) != "", single))
-    x = explode_items(d, items, default, "seq", "it")
-    sid = tf.strip(F.coalesce(F.col("it.standard_id"), F.lit("")))
-    return x.select(tf.item_id(sid, "stem", "seq").alias("id"), sid.alias("standard_id"), "seq",
-                    F.coalesce(F.nullif(F.col("it.title"), F.lit("")), F.col("stem")).alias("title"),
-                    F.col("it.keywords").alias("keywords"), "text", "pdf_filename")
-
-
 @register("docs_items", "WITH " + SQL_V_DOCS + "," + SQL_DOC_ITEMS.replace("{src}", "v_docs")
           + f"\nSELECT {', '.join(_ITEM_COLS)} FROM drows")
 def q_docs_items(spark, sf_dir):
-    return doc_items(v_docs(spark, sf_dir))
+    return guide_items(v_docs(spark, sf_dir))
 
 
 @register("docs_append", "WITH " + SQL_V_DOCS + "," + SQL_DOC_ITEMS.replace("{src}", "v_docs") + f"""
@@ -103,9 +84,9 @@ SELECT {', '.join(_ITEM_COLS)}, CASE WHEN pdf_filename IN (SELECT pdf_filename F
 def q_docs_append(spark, sf_dir):
     """M6: documents in English were processed before; only the others are processed now."""
     docs = v_docs(spark, sf_dir)
-    stored = doc_items(docs.filter(F.col("lang") == "en")).withColumn("origin", F.lit("stored"))
+    stored = guide_items(docs.filter(F.col("lang") == "en")).withColumn("origin", F.lit("stored"))
     todo = skip_done(docs, stored, "pdf_filename")
-    return stored.unionByName(doc_items(todo).withColumn("origin", F.lit("new")))
+    return stored.unionByName(guide_items(todo).withColumn("origin", F.lit("new")))
 
 
 @register("doc_progress", "WITH " + SQL_V_DOCS + "," + SQL_DOC_ITEMS.replace("{src}", "v_docs") + """
@@ -115,11 +96,68 @@ FROM v_docs v LEFT JOIN (SELECT pdf_filename, count(*) AS items FROM drows WHERE
 def q_doc_progress(spark, sf_dir):
     """Q10: items per document (fallback-only documents count as not parsed)."""
     docs = v_docs(spark, sf_dir)
-    items = doc_items(docs).filter((F.col("seq") > 1) | (F.col("standard_id") != ""))
+    items = guide_items(docs).filter((F.col("seq") > 1) | (F.col("standard_id") != ""))
     return doc_progress(docs.select("pdf_filename"), items).select(
         "pdf_filename", F.col("items").cast("long"), "parsed")
 
 
+_ACC = ("summary", "cause", "result", "countermeasure", "accident_type", "keywords")
+_SQL_ACC = ",".join(f'"{f}":"VARCHAR"' for f in _ACC)
+RUN_DATE = "2024-05-01"
+
+
+def v_reports(spark, sf_dir):
+    """Accident reports with a model answer made from the whole text: two items, one item, an empty list, or none."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    n, i = F.length("text").cast("string"), F.col("doc_id").cast("string")
+    words = F.size(F.split("text", " ")).cast("string")
+    ans = (F.when(F.col("doc_id") % 5 == 0, F.concat(
+                F.lit('{"accidents": [{"summary": "S'), i, F.lit('", "cause": "chars '), n, F.lit('", "result": null}, {"summary": "", "accident_type": "fire", "keywords": "words '),
+                words, F.lit('"}]}')))
+           .when(F.col("doc_id") % 5 == 1, F.concat(F.lit('```json\n{"summary": "single '), n, F.lit('", "countermeasure": "check"}\n```')))
+           .when(F.col("doc_id") % 5 == 2, F.lit('{"accidents": []}'))
+           .when(F.col("doc_id") % 5 == 3, F.lit("no json")).otherwise(F.lit('{"summary": "", "cause": "lost"}')))
+    return d.select(F.concat(F.lit("acc_"), i, F.lit(".pdf")).alias("pdf_filename"), F.concat(F.lit("acc_"), i).alias("stem"), "text", ans.alias("answer"))
+
+
+SQL_ACCIDENTS = f"""
+v_reports AS (SELECT 'acc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS pdf_filename, 'acc_' || CAST(doc_id AS VARCHAR) AS stem, text,
+  CASE doc_id % 5
+   WHEN 0 THEN '{{"accidents": [{{"summary": "S' || CAST(doc_id AS VARCHAR) || '", "cause": "chars ' || CAST(length(text) AS VARCHAR)
+        || '", "result": null}}, {{"summary": "", "accident_type": "fire", "keywords": "words ' || CAST(len(string_split(text, ' ')) AS VARCHAR) || '"}}]}}'
+   WHEN 1 THEN '{{"summary": "single ' || CAST(length(text) AS VARCHAR) || '", "countermeasure": "check"}}'
+   WHEN 2 THEN '{{"accidents": []}}' WHEN 3 THEN NULL ELSE '{{"summary": "", "cause": "lost"}}' END AS js FROM documents),
+robj AS (SELECT *, from_json(js, '{{"accidents":[{{{_SQL_ACC}}}],{_SQL_ACC}}}') AS o FROM v_reports),
+ritems AS (SELECT *, CASE WHEN len(o.accidents) > 0 THEN o.accidents
+    WHEN coalesce(o.summary, '') <> '' THEN [{{{', '.join(f"'{f}': o.{f}" for f in _ACC)}}}]
+    ELSE [{{'summary': left(split_part(text, chr(10), 1), 100), {', '.join(f"'{f}': ''" for f in _ACC[1:])}}}] END AS items FROM robj),
+rexp AS (SELECT pdf_filename, stem, text, unnest(items) AS it, unnest(range(1, len(items) + 1)) AS seq FROM ritems)
+SELECT stem || '#' || CAST(seq AS VARCHAR) AS id, CAST(seq AS INTEGER) AS seq, '{RUN_DATE}' AS date,
+  {', '.join(f"coalesce(it.{f}, '') AS {f}" for f in _ACC)}, text, pdf_filename AS source, pdf_filename FROM rexp"""
+
+
+@register("docs_accidents", "WITH " + SQL_ACCIDENTS)
+def q_docs_accidents(spark, sf_dir):
+    """E4 for accident reports: list under ``accidents``, a single object, or the default row."""
+    return accident_items(v_reports(spark, sf_dir), RUN_DATE)
+
+
+@register("documents_run", """
+SELECT 'N' || CAST(length(text) AS VARCHAR) AS id, 'N' || CAST(length(text) AS VARCHAR) AS standard_id, 1 AS seq,
+  CASE WHEN length(text) > 1000 THEN 'long' ELSE 'doc_' || CAST(doc_id AS VARCHAR) END AS title, CAST(NULL AS VARCHAR) AS keywords, text,
+  'doc_' || CAST(doc_id AS VARCHAR) || '.pdf' AS pdf_filename FROM documents""")
+def q_documents_run(spark, sf_dir):
+    """C9 as a whole in two runs: the second processes only documents that the first has not stored (M6)."""
+    from .pipelines import documents_pipeline
+
+    def model(texts):  # stands in for the model: an answer from the whole text
+        return ['{"guides": [{"standard_id": "N%d", "title": "%s"}]}' % (len(t or ""), "long" if len(t or "") > 1000 else "") for t in texts]
+
+    docs = v_docs(spark, sf_dir).select("pdf_filename", "stem", "text", "lang")
+    first = documents_pipeline(docs.filter("lang = 'en'").drop("lang"), None, model)
+    return documents_pipeline(docs.drop("lang"), first, model)
+
+
 # ---------------------------------------------------------------------- messages
 _MSG_COLS = ("date", "team", "content", "ref_type", "ref_path")
 _SQL_MIGRATED = """
@@ -208,3 +246,20 @@ SELECT section, file_name, modification_time, CASE WHEN rn <= 7 THEN 'keep' ELSE
 def q_keep_latest(spark, sf_dir):
     m = v_manifest(spark, sf_dir).select("section", "file_name", "modification_time")
     return keep_latest_n(m, "section", 7)
+
+
+@register("keep_latest_mixed", "WITH " + SQL_V_MANIFEST + """,
+m AS (SELECT _seq, CASE WHEN _seq % 5 = 0 THEN NULL ELSE section END AS section, 'file' || CAST(_seq % 40 AS VARCHAR) AS file_name,
+        CAST(CAST(modification_time AS DATE) AS TIMESTAMP) AS modification_time FROM v_manifest),
+r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY modification_time DESC, file_name) AS rn
+      FROM (SELECT DISTINCT section, file_name, modification_time FROM m))
+SELECT m._seq, m.section, m.file_name, m.modification_time, CASE WHEN rn <= 7 THEN 'keep' ELSE 'delete' END AS action,
+  CASE WHEN rn <= 7 THEN CAST(rn AS INTEGER) END AS rank
+FROM m JOIN r ON m.section IS NOT DISTINCT FROM r.section AND m.file_name = r.file_name AND m.modification_time = r.modification_time""")
+def q_keep_latest_mixed(spark, sf_dir):
+    """W2 with names that come back at other times, equal files and files without a folder."""
+    m = v_manifest(spark, sf_dir).select(
+        "_seq", F.when(F.col("_seq") % 5 != 0, F.col("section")).alias("section"),
+        F.concat(F.lit("file"), (F.col("_seq") % 40).cast("string")).alias("file_name"),
+        F.to_date("modification_time").cast("timestamp_ntz").alias("modification_time"))
+    return keep_latest_n(m, "section", 7)

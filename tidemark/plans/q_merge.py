@@ -39,6 +39,15 @@ def q_analyze_diff(spark, sf_dir):
     return analyze_diff(new, v_fuel_old(spark, sf_dir), "PJT")
 
 
+@register("analyze_empty", with_views("v_fuel") + """
+SELECT CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS kept, CAST(0 AS BIGINT) AS new_rows,
+       count(*) AS exist_rows FROM v_fuel_old""")
+def q_analyze_empty(spark, sf_dir):
+    """Q1 with a load whose rows all fail the filter: nothing is compared."""
+    new = v_fuel_new(spark, sf_dir).filter(F.col("PJT") == "no such hull")
+    return analyze_diff(new, v_fuel_old(spark, sf_dir), "PJT")
+
+
 @register("tag_new", with_views("v_permit") + f""",
 stored AS (SELECT DISTINCT 'SN' || CAST(s_suppkey + 2620 AS VARCHAR) AS k FROM supplier)
 SELECT _seq, {Q.ensure_sn('HULLNO')} AS PJT,

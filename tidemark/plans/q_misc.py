@@ -200,6 +200,21 @@ def q_join_on_hull(spark, sf_dir):
     return join_on_hull(p, s, "HULLNO", "PJT").select("_seq", "_hull", "s_suppkey", "s_name")
 
 
+@register("join_blank_hull", """
+SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_orderkey % 7 <> 0 AND s_suppkey % 3 <> 0
+  AND CAST(o_orderkey % 50 AS BIGINT) = s_suppkey""")
+def q_join_blank_hull(spark, sf_dir):
+    """J11 where a seventh of the left and a third of the right keys are null, empty or blank: they match nothing."""
+    def key(part, every):
+        blank = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.lit("  ")), (part % 3 + 1).cast("int"))
+        return F.when(part % every == 0, blank)
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(
+        key(F.col("o_orderkey"), 7), F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 50).cast("string"))).alias("HULLNO"))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce(
+        key(F.col("s_suppkey"), 3), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey").cast("string"))).alias("PJT"))
+    return join_on_hull(o, s, "HULLNO", "PJT").select("o_orderkey", "s_suppkey")
+
+
 # ---------------------------------------------------------------------- A7 / A8 / A9 / Q5
 @register("value_counts", with_views("v_permit") + """
 SELECT CASE WHEN DEPTNM IS NULL OR trim(DEPTNM) IN ('', 'None', 'nan') THEN '(빈값)' ELSE DEPTNM END AS value,
@@ -220,6 +235,22 @@ def q_value_counts_top(spark, sf_dir):
     return top_n_values(p.filter(tf.strip("TEAMNM") != "F"), "ACODENM", 5)
 
 
+@register("value_counts_team", with_views("v_permit") + """
+SELECT CASE WHEN TEAMNM IS NULL OR trim(TEAMNM) IN ('', 'None', 'nan') THEN '(빈값)' ELSE trim(TEAMNM) END AS value,
+       count(*) AS n FROM v_permit GROUP BY 1""")
+def q_value_counts_team(spark, sf_dir):
+    """A7 on padded team names: equal after stripping."""
+    return value_counts(v_permit(spark, sf_dir), "TEAMNM")
+
+
+@register("value_counts_team_top", with_views("v_permit") + """
+SELECT trim(TEAMNM) AS value, count(*) AS n FROM v_permit WHERE trim(TEAMNM) <> 'F' GROUP BY 1 ORDER BY n DESC, value LIMIT 5""")
+def q_value_counts_team_top(spark, sf_dir):
+    """A8 on padded team names of the rows the team filter rejects."""
+    p = v_permit(spark, sf_dir)
+    return top_n_values(p.filter(tf.strip("TEAMNM") != "F"), "TEAMNM", 5)
+
+
 _FR_COLS = ("KYULGBN", "STDATE", "EDDATE", "HULLNO", "ACODENM")
 
 
@@ -496,7 +527,7 @@ def q_landing_permits(spark, sf_dir):
     v = v_permit(spark, sf_dir).drop("_odate").withColumnRenamed("_seq", "order_key")
     (v.write.option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/ptw"))
-    raw = read_landing(spark, f"{root}/ptw", "csv", glob="*.csv").drop("_seq", "_file", "_mtime")
+    raw = read_landing(spark, f"{root}/ptw", "csv", glob="*.csv").drop("_seq", "_file", "_mtime", "_block")
     raw = raw.withColumn("_seq", F.col("order_key").cast("long")).drop("order_key")
     return permit_pipeline(raw, None, v_dict(spark, sf_dir)).select(*PERMIT_OUT)
 

@@ -23,18 +23,8 @@ VISIT_DEPTS = ("시운전1부", "해운1과", None, "")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cluster when the scan is under-partitioned."""
-    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the scan yields fewer splits than the cluster
-    has cores (e.g. a small file with one row group).  Large inputs already have
-    many splits, so at scale this is a no-op and adds no shuffle."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n)
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _sql_list(values) -> str:

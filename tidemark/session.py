@@ -1,7 +1,10 @@
 """Session helpers: a configured SparkSession and the shared work folder."""
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -37,8 +40,8 @@ def get_spark(app: str = "tidemark", master: str | None = None,
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, published tables and stream state.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a private temp folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the
+    master is local (tests) a private temp folder is made; it goes when the process ends.
     """
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
@@ -47,9 +50,12 @@ def work_dir(spark: SparkSession) -> str:
         d = spark.sparkContext.getCheckpointDir()
     if d:
         return d.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL_WORK:
         _LOCAL_WORK[key] = tempfile.mkdtemp(prefix="tidemark-work-")
+        atexit.register(shutil.rmtree, _LOCAL_WORK[key], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_LOCAL_WORK[key])
     return _LOCAL_WORK[key]
 

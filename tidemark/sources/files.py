@@ -14,6 +14,10 @@ PERMIT_FILE_GLOBS = ("*ptwlist*.xlsx", "*ptwlist*.xls", "밀폐구역*.xlsx", "
 VISIT_FILE_GLOBS = ("outside_*.xlsx", "사외작업자 출입관리 정보_*.xlsx")
 
 
+#: Order of landed rows for keep-last merges: stored rows first, then by file time, file, block and row.
+FILE_ORDER = ("_batch", "_mtime", "_file", "_block", "_seq")
+
+
 def glob_regex(globs: Sequence[str]) -> str:
     """Case-insensitive regex equivalent of any-of-globs on a base name (``*``, ``?``)."""
     def one(g: str) -> str:
@@ -29,24 +33,26 @@ def match_files(names: Column | str, globs: Sequence[str]) -> Column:
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Order columns right after a file scan: ``_file``, ``_mtime`` and ``_seq``
-    (file block start + monotonically increasing id: row order inside a file)."""
+    """Order columns right after a file scan: ``_mtime``, ``_file``, ``_block`` and ``_seq`` (see ``FILE_ORDER``).
+
+    ``_seq`` is a long like that of every other source, so a load can be merged with a stored table; it orders the rows of
+    one block, the other columns order blocks and files.
+    """
     return (df.withColumn("_file", F.col("_metadata.file_name"))
             .withColumn("_mtime", F.col("_metadata.file_modification_time"))
-            .withColumn("_seq", F.struct(F.col("_metadata.file_modification_time"),
-                                         F.col("_metadata.file_name"),
-                                         F.col("_metadata.file_block_start"),
-                                         F.monotonically_increasing_id())))
+            .withColumn("_block", F.col("_metadata.file_block_start"))
+            .withColumn("_seq", F.monotonically_increasing_id()))
 
 
 def read_landing(spark: SparkSession, path: str, fmt: str = "csv", glob: str | None = None,
-                 header: bool = True, encoding: str = "UTF-8") -> DataFrame:
+                 header: bool = True, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """Raw tabular files -> all-string columns (no inference) + order columns.
-    ``_``-prefixed files are hidden by Spark's file index."""
+    ``_``-prefixed files are hidden by Spark's file index.  ``multi_line`` reads CSV cells that hold
+    line ends; such files cannot be split, so it is off by default."""
     r = spark.read.format(fmt)
     if fmt == "csv":
         r = r.option("header", header).option("inferSchema", False).option("encoding", encoding) \
-             .option("multiLine", True)
+             .option("multiLine", multi_line)
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path)
