@@ -2,10 +2,11 @@
 
 Every byte covered by a string of ``length`` bytes that also starts earlier goes.  A string (window) of ``length`` bytes is
 keyed by the smallest hash of its 24-byte substrings, so equal windows have equal keys wherever they stand; runs of
-windows with one key are regions.  A key that stands at a single place cannot repeat.  The other regions are dealt into shards by key,
-equal ones reduced to the first before the shuffle, and every shard is sorted by external induced sorting
-(:mod:`tidemark.llm.induced`): neighbours whose common prefix reaches ``length`` are equal windows, the first stays, the
-others cover their bytes.  Keys with very many regions are dealt by a longer second key as well.
+windows with one key are regions.  Equal regions are reduced to the first, already by the tasks that find them; windows of
+the others are later ones.  A key that then stands at a single place cannot repeat.  The regions of the other keys are dealt
+into shards by key and every shard is sorted by external induced sorting (:mod:`tidemark.llm.induced`): neighbours whose
+common prefix reaches ``length`` are equal windows, the first stays, the others cover their bytes.  Keys with very many
+regions are dealt by a longer second key as well.
 """
 from __future__ import annotations
 
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, flat_utf8, map_arrow, mix64, seeded_words, text_of
+from tidemark.llm.common import U64, chunks, flat_utf8, map_arrow, mix64, seeded_words, span_hash, text_of
 from tidemark.llm.induced import suffix_blocks
 
 LENGTH = 100
@@ -26,10 +27,10 @@ GRAM = 24
 HOT_REGIONS = 2000
 HOT_GRAM = 80
 SLICE = 1 << 20
-#: Bytes of regions sorted together; a single key may exceed it, which the sorter's queues take to disk.
-SHARD_BYTES = 24 << 20
-#: Regions a task holds to find equal ones before the shuffle.
-HELD = 60_000
+#: Bytes of regions sorted together; a single key may exceed it, and the sorter's queues then go to disk.
+SHARD_BYTES = 4 << 20
+#: Places of regions that a task remembers to find equal ones before the shuffle.
+REMEMBERED = 1 << 17
 NULL_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = seeded_words(5, 256)
@@ -88,15 +89,41 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(keys)]]))
 
 
+class FirstPlaces:
+    """The smallest place seen lately of each region, in a table of bounded size: tells later copies within a task."""
+
+    def __init__(self, slots: int):
+        self.slots = slots
+        self.held = [np.zeros(slots, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int64)]
+        self.held[4][:] = -1
+
+    def later(self, key: np.ndarray, body: np.ndarray, doc: np.ndarray, version: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """True where an equal region of a smaller place is known; the others are remembered."""
+        slot = (mix64(key ^ body) % U64(self.slots)).astype(np.int64)
+        k, b, d, v, p = (x[slot] for x in self.held)
+        same = (p >= 0) & (k == key) & (b == body)
+        after = (d < doc) | ((d == doc) & ((v < version) | ((v == version) & (p < lo))))
+        found = same & after
+        for table, values in zip(self.held, (key, body, doc, version, lo)):
+            table[slot[~found]] = values[~found]
+        return found
+
+
 def regions(docs: DataFrame, length: int) -> DataFrame:
-    """(key, places, doc, version, lo, windows): the regions of every text."""
+    """(key, body, doc, version, lo, shape) of the regions of every text.
+
+    ``body`` hashes the region's bytes.  ``shape`` is 4 * windows, plus 2 if the key stands at several places of the region,
+    plus 1 if the region is known to be a later copy: that needs no partner any more, so its key is its own.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = FirstPlaces(REMEMBERED)
         for batch in batches:
             data, offsets = flat_utf8(batch.column(2))
             doc, version = (batch.column(i).to_numpy() for i in (0, 1))
             # slices of bounded size, whatever the documents' sizes; a region may be cut in two, its key stays
             for at in range(0, len(data), SLICE):
-                keys, hashes = window_keys(data[at:at + SLICE + length - 1], length, GRAM)
+                some = data[at:at + SLICE + length - 1]
+                keys, hashes = window_keys(some, length, GRAM)
                 if not len(keys):
                     continue
                 place = at + np.arange(len(keys))
@@ -107,69 +134,68 @@ def regions(docs: DataFrame, length: int) -> DataFrame:
                 # valid windows of a document come before its invalid ones
                 group = np.cumsum(new) - 1
                 count = np.bincount(group[valid], minlength=group[-1] + 1)[group[starts]]
-                places = places_of_key(keys, hashes, starts, starts + count - 1)
+                several = places_of_key(keys, hashes, starts, starts + count - 1) - 1
+                key, body = keys[starts], span_hash(some, starts, starts + count + length - 1)
+                own = doc[owner[starts]], version[owner[starts]], place[starts] - offsets[owner[starts]]
+                later = first.later(key, body, *own)
+                key = np.where(later, mix64(key ^ mix64(own[0].view(np.uint64) + U64(31) * own[2].view(np.uint64))), key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[starts].view(np.int64)), pa.array(places), pa.array(doc[owner[starts]]), pa.array(version[owner[starts]]),
-                     pa.array(place[starts] - offsets[owner[starts]]), pa.array(count.astype(np.int32))],
-                    ["key", "places", "doc", "version", "lo", "windows"])
+                    [pa.array(key.view(np.int64)), pa.array(body.view(np.int64)), *map(pa.array, own),
+                     pa.array((4 * count + 2 * several + later).astype(np.int32))], ["key", "body", "doc", "version", "lo", "shape"])
 
-    return map_arrow(docs, run, "key long, places int, doc long, version int, lo long, windows int")
+    return map_arrow(docs, run, "key long, body long, doc long, version int, lo long, shape int")
 
 
-_PLACED = "part long, doc long, version int, lo long, windows int, key long, region binary"
+def repeated_regions(found: DataFrame) -> DataFrame:
+    """(doc, version, lo, windows, key, later, hot): later copies of regions, and the firsts of keys that stand at several places."""
+    copies = Window.partitionBy("key", "body").orderBy("doc", "version", "lo")
+    known = F.col("shape").bitwiseAND(1) == 1
+    first = found.withColumn("copy", F.rank().over(copies) > 1).withColumn("later", F.col("copy") | known)
+    # rows of one place (repeated input rows) count once
+    first = first.withColumn("nth", F.row_number().over(copies))
+    places = F.when(F.col("nth") == 1, 1 + F.floor(F.col("shape").bitwiseAND(2) / 2)).otherwise(0)
+    keyed = first.withColumn("places", F.sum(places).over(Window.partitionBy("key")))
+    return (keyed.where(F.col("later") | (F.col("places") > 1))
+            .select("doc", "version", "lo", F.floor(F.col("shape") / 4).cast("int").alias("windows"), "key", "later",
+                    (F.col("places") > HOT_REGIONS).alias("hot")))
 
 
-def placed_regions(work: DataFrame, length: int) -> DataFrame:
-    """Regions with their bytes, to be dealt by ``part``; equal regions of a task only once.
+_PLACED = "part long, doc long, version int, lo long, end long, key long, region binary"
 
-    The others of a task are rows without bytes: their windows are later ones, whatever the other tasks hold.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 7
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
-                ["part", "doc", "version", "lo", "windows", "key", "region"])
-            out.clear()
-            return batch
-
-        def release() -> None:
-            out.extend((key, *place, len(region) - length + 1, key, region) for (key, region), place in held.items())
-            held.clear()
-
-        def put(key: int, region: bytes, place: tuple[int, int, int]) -> None:
-            first = held.setdefault((key, region), place)
-            if first != place:
-                later = max(first, place)
-                held[key, region] = min(first, place)
-                out.append((later[0] * 31 + later[2] & (1 << 62) - 1, *later, len(region) - length + 1, None, None))
 
-        for batch in batches:
-            for doc, version, text, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for x in found:
-                    lo = x["lo"]
-                    region = text[lo:lo + x["windows"] + length - 1]
-                    if not x["hot"]:
-                        put(x["key"], region, (doc, version, lo))
-                        continue
-                    keys, _ = window_keys(np.frombuffer(region, np.uint8), length, HOT_GRAM)
-                    for start, count in zip(*(r.tolist() for r in runs(keys))):
-                        put(int(mix64(keys[start:start + 1] ^ U64(x["key"] & (1 << 64) - 1)).view(np.int64)[0]),
-                            region[start:start + count + length - 1], (doc, version, lo + start))
-                if len(held) >= HELD:
-                    release()
-                if len(out) >= HELD:
-                    yield flush()
-        release()
-        yield flush()
+def placed_regions(work: DataFrame, length: int) -> DataFrame:
+    """Rows to be dealt by ``part``: first regions with their bytes, and merged ranges of later ones without."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for whole in batches:
+            for batch in chunks(iter([whole]), "text", 1 << 20):
+                out: list[tuple] = []
+                for doc, version, text, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    gone: list[list[int]] = []
+                    for x in sorted(found, key=lambda x: x["lo"]):
+                        lo, end = x["lo"], x["lo"] + x["windows"] + length - 1
+                        if x["later"]:
+                            if gone and lo <= gone[-1][1]:
+                                gone[-1][1] = max(gone[-1][1], end)
+                            else:
+                                gone.append([lo, end])
+                        elif not x["hot"]:
+                            out.append((x["key"], doc, version, lo, end, x["key"], text[lo:end]))
+                        else:
+                            keys, _ = window_keys(np.frombuffer(text[lo:end], np.uint8), length, HOT_GRAM)
+                            for start, count in zip(*(r.tolist() for r in runs(keys))):
+                                key = int(mix64(keys[start:start + 1] ^ U64(x["key"] & (1 << 64) - 1)).view(np.int64)[0])
+                                a = lo + start
+                                out.append((key, doc, version, a, a + count + length - 1, key, text[a:a + count + length - 1]))
+                    out += [(doc * 31 + version & (1 << 62) - 1, doc, version, lo, end, None, None) for lo, end in gone]
+                columns = list(zip(*out)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
+                                                 ["part", "doc", "version", "lo", "end", "key", "region"])
 
     return map_arrow(work, run, _PLACED)
 
 
-def later_windows(places: list[tuple], texts: list[bytes], length: int, memory: int = 64 << 20) -> list[tuple[int, int, int]]:
+def later_windows(texts: list[bytes], length: int, memory: int = 64 << 20) -> list[tuple[int, int, int]]:
     """(number of the region, first, end) of the runs of windows that stand earlier too.
 
     Regions are given in ascending order of their places, each with the bytes of its windows; equal regions are there once.
@@ -215,7 +241,7 @@ def sorted_shards(parts: DataFrame, length: int) -> DataFrame:
                     gone = max(first, row)
                     out.append((gone[0], gone[1], gone[2], gone[2] + len(gone[3])))
             unique = sorted(once.values())
-            for i, a, b in later_windows([r[:3] for r in unique], [r[3] for r in unique], length):
+            for i, a, b in later_windows([r[3] for r in unique], length):
                 doc, version, lo, _ = unique[i]
                 out.append((doc, version, lo + a, lo + b + length - 1))
             return ranges(out)
@@ -225,8 +251,7 @@ def sorted_shards(parts: DataFrame, length: int) -> DataFrame:
             known = batch.column("region").is_valid()
             own = batch.filter(pc.invert(known))
             if own.num_rows:
-                end = pc.add(own.column("lo"), pc.add(own.column("windows").cast(pa.int64()), length - 1))
-                yield pa.RecordBatch.from_arrays([own.column("doc"), own.column("version"), own.column("lo"), end], ["doc", "version", "first", "end"])
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in ("doc", "version", "lo", "end")], ["doc", "version", "first", "end"])
             held.append(batch.filter(known).select(["key", "doc", "version", "lo", "region"]))
         table = pa.Table.from_batches(held) if held else None
         if table is None or not table.num_rows:
@@ -256,10 +281,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = text_of().cast("binary")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(text).alias("version"), text.alias("text"))
-    found = regions(texts, length)
-    repeated = found.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1")
-    lists = (found.join(repeated, "key").groupBy("doc", "version")
-             .agg(F.collect_list(F.struct("lo", "windows", "key", (F.col("n") > HOT_REGIONS).alias("hot"))).alias("found")))
+    found = regions(texts, length).repartition(n, "key")  # one shuffle for both windows
+    lists = (repeated_regions(found).groupBy("doc", "version")
+             .agg(F.collect_list(F.struct("lo", "windows", "key", "later", "hot")).alias("found")))
     work = texts.join(lists, ["doc", "version"]).select("doc", "version", "text", "found")
     parts = placed_regions(work, length).repartition(n, "part")
     covered = (sorted_shards(parts, length).groupBy("doc", "version")
