@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masking import mask_name, mask_phone
@@ -84,31 +84,31 @@ def risk_rules(df: DataFrame, rules: Mapping[str, float] = WEATHER_RULES) -> Dat
     return df.withColumn("keyword", F.nullif(kw, F.lit(""))).withColumn("warning", F.nullif(wn, F.lit("")))
 
 
-def rejected_report(raw: DataFrame, kept: DataFrame, group_col: str, expanded: DataFrame | None = None,
+def rejected_report(raw: DataFrame, keep: Column, group_col: str, start_col: str, start: Column, end: Column,
                     unmapped: Sequence[str] = (), top: int = 5) -> DataFrame:
-    """Q5: rows in / kept / expanded / dropped, the top dropped values of ``group_col``
-    (``value (n)``, a top-k report) and the unmapped headers — ONE aggregate over a
-    tagged union, no join."""
+    """Q5: rows in / kept / expanded / dropped, kept rows whose non-blank start time is not understood, the top dropped
+    values of ``group_col`` (``value (n)``, a top-k report) and the unmapped headers.
+
+    ``keep`` is the filter, ``start`` and ``end`` the parsed times: one aggregate over the raw rows and one for the top
+    values; nothing is joined back.
+    """
     from .aggregate import top_n_values
-    dropped = raw.join(kept.select("_seq"), "_seq", "left_anti")
-    tops = top_n_values(dropped, group_col, top)
-    parts = [raw.select(F.lit(0).alias("_t"), F.lit(None).cast("string").alias("_v"), F.lit(None).cast("long").alias("_n")),
-             kept.select(F.lit(1).alias("_t"), F.lit(None).cast("string").alias("_v"), F.lit(None).cast("long").alias("_n")),
-             tops.select(F.lit(3).alias("_t"), F.col("value").alias("_v"), F.col("n").cast("long").alias("_n"))]
-    if expanded is not None:
-        parts.append(expanded.select(F.lit(2).alias("_t"), F.lit(None).cast("string").alias("_v"),
-                                     F.lit(None).cast("long").alias("_n")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    t = F.col("_t")
+    kept = F.coalesce(keep, F.lit(False))
+    days = F.datediff(F.greatest(F.to_date(start), F.coalesce(F.to_date(end), F.to_date(start))), F.to_date(start)) + 1
+    r = raw.select(kept.alias("_kept"), days.alias("_days"),
+                   (start.isNull() & (F.coalesce(strip(F.col(start_col).cast("string")), F.lit("")) != "")).alias("_bad"))
+    counts = r.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if("_kept").alias("rows_kept"),
+                   F.coalesce(F.sum(F.when(F.col("_kept"), F.col("_days"))), F.lit(0)).cast("long").alias("rows_expanded"),
+                   F.count_if(F.col("_kept") & F.col("_bad")).alias("rows_unparsed"))
+    tops = top_n_values(raw.filter(~kept), group_col, top)
+    tagged = counts.select("*", F.lit(None).cast("string").alias("_v"), F.lit(None).cast("long").alias("_n")).unionByName(
+        tops.select(F.col("value").alias("_v"), F.col("n").cast("long").alias("_n")), allowMissingColumns=True)
     top_list = F.transform(
-        F.sort_array(F.collect_list(F.when(t == 3, F.struct((-F.col("_n")).alias("neg"), F.col("_v").alias("value"))))),
+        F.sort_array(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct((-F.col("_n")).alias("neg"), F.col("_v").alias("value"))))),
         lambda x: F.concat(x["value"], F.lit(" ("), (-x["neg"]).cast("string"), F.lit(")")))
-    c = u.agg(F.count_if(t == 0).alias("rows_in"), F.count_if(t == 1).alias("rows_kept"),
-              F.count_if(t == 2).alias("rows_expanded"), top_list.alias("top_dropped"))
-    return (c.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept"))
-            .withColumn("unmapped", F.array(*[F.lit(u_) for u_ in unmapped]).cast("array<string>")))
+    one = tagged.agg(*[F.max(c).alias(c) for c in ("rows_in", "rows_kept", "rows_expanded", "rows_unparsed")], top_list.alias("top_dropped"))
+    return (one.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept"))
+            .withColumn("unmapped", F.array(*[F.lit(u) for u in unmapped]).cast("array<string>")))
 
 
 def adaptive_datetime_columns(df: DataFrame, pattern: str = "오전|오후", max_loss: float = 0.5,
@@ -149,14 +149,30 @@ def catalog_profile(tables: Mapping[str, DataFrame], keys: Mapping[str, str] | N
     return out.withColumn("status", F.when(F.col("rows") == 0, F.lit("empty")).otherwise(F.lit("saved")))
 
 
-def table_health(spark: SparkSession, profile: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Q3: expected tables left-joined to the profile: PASS rows x cols / WARN missing."""
-    exp = spark.createDataFrame([(t,) for t in expected], "table string")
+def catalog_metadata(tables: Mapping[str, DataFrame], keys: Mapping[str, str], files: DataFrame, as_of: str,
+                     approx: bool = False) -> DataFrame:
+    """Q2 in full: the profile with recency and the status empty / auto / saved.
+
+    ``files`` gives (table, modified, auto), as a file manifest does; ``as_of`` is the date of the report.
+    """
+    from ..functions.scalars import recency_class
+    prof = catalog_profile(tables, keys, approx).drop("status").join(files, "table", "left")
+    status = (F.when(F.col("rows") == 0, F.lit("empty")).when(F.coalesce(F.col("auto"), F.lit(False)), F.lit("auto"))
+              .otherwise(F.lit("saved")))
+    return prof.select("table", "rows", "cols", "keys", status.alias("status"), recency_class("modified", F.lit(as_of)).alias("recency"))
+
+
+def table_health(spark: SparkSession, profile: DataFrame, expected: Sequence[str],
+                 unreadable: Mapping[str, str] | None = None) -> DataFrame:
+    """Q3: expected tables left-joined to the profile: PASS rows x cols / WARN missing / FAIL with the reason, for tables
+    that the caller could not read."""
+    reasons = dict(unreadable or {})
+    exp = spark.createDataFrame([(t, reasons.get(t)) for t in expected], "table string, reason string")
     j = exp.join(profile, "table", "left")
-    return j.select("table", F.when(F.col("rows").isNull(), F.lit("WARN")).otherwise(F.lit("PASS")).alias("check"),
-                    F.when(F.col("rows").isNull(), F.lit("missing")).otherwise(
-                        F.concat(F.col("rows").cast("string"), F.lit(" x "), F.col("cols").cast("string")))
-                    .alias("detail"))
+    size = F.concat(F.col("rows").cast("string"), F.lit(" x "), F.col("cols").cast("string"))
+    failed, missing = F.col("reason").isNotNull(), F.col("rows").isNull()
+    return j.select("table", F.when(failed, F.lit("FAIL")).when(missing, F.lit("WARN")).otherwise(F.lit("PASS")).alias("check"),
+                    F.when(failed, F.col("reason")).when(missing, F.lit("missing")).otherwise(size).alias("detail"))
 
 
 def archive_plan(files: DataFrame, archive: DataFrame, section: str = "section",
@@ -183,6 +199,18 @@ def enrich_stats(enriched: DataFrame, key: str, hit_col: str = "risk_keywords")
     return d.agg(F.count_if(~F.col("h")).alias("unmapped"), F.count_if(F.col("h")).alias("ok"))
 
 
+def enrich_outcome(answers: DataFrame, known: DataFrame, key: str, value: str, error: str) -> DataFrame:
+    """Q8 in full: distinct keys asked, answered and failed, the answered ones not known before, and the first error
+    in key order."""
+    per = answers.groupBy(key).agg(F.max(F.col(value)).alias("_v"), F.min(error).alias("_e"))
+    old = known.select(F.col(key).alias("_k")).distinct().withColumn("_old", F.lit(True))
+    j = per.join(old, F.col(key) == F.col("_k"), "left")
+    ok = F.col("_v").isNotNull()
+    return j.agg(F.count(F.lit(1)).alias("keys"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"),
+                 F.count_if(ok & F.col("_old").isNull()).alias("added"),
+                 F.min_by("_e", F.when(F.col("_e").isNotNull(), F.col(key))).alias("first_error"))
+
+
 def doc_progress(manifest: DataFrame, items: DataFrame, file_col: str = "pdf_filename") -> DataFrame:
     """Q10: per document, the number of extracted items (0 when not parsed yet)."""
     c = items.groupBy(file_col).agg(F.count(F.lit(1)).alias("items"))
@@ -190,9 +218,10 @@ def doc_progress(manifest: DataFrame, items: DataFrame, file_col: str = "pdf_fil
         .withColumn("parsed", F.col("items") > 0)
 
 
-def diff_preview(new: DataFrame, stored: DataFrame, key: str, n: int = 200) -> DataFrame:
-    """Q9: masked head of the load tagged new / replace (J7 + Q4 + O2)."""
+def diff_preview(new: DataFrame, stored: DataFrame, key: str, n: int = 200, order: Sequence[str] = ("_seq",)) -> DataFrame:
+    """Q9: masked head of the load, by its order, tagged new / replace (J7 + Q4 + O2)."""
     from .joins import tag_new_or_replaced
-    return mask_for_display(tag_new_or_replaced(new, stored, key)).limit(n)
+    head = new.orderBy(*order).limit(n)
+    return mask_for_display(tag_new_or_replaced(head, stored, key))
 
 

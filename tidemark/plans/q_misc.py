@@ -265,25 +265,23 @@ def q_filled_ratio(spark, sf_dir):
 @register("rejected_report", with_views("v_permit") + "," + """
 permit_parsed AS (SELECT *, """ + Q.parse_permit("STDATE") + """ AS st, """ + Q.parse_permit("EDDATE") + """ AS ed FROM v_permit),
 kept AS (SELECT * FROM permit_parsed WHERE trim(TEAMNM) = 'F'),
-exp AS (SELECT count(*) AS n FROM (SELECT unnest(generate_series(CAST(st AS DATE), greatest(CAST(st AS DATE),
-          coalesce(CAST(ed AS DATE), CAST(st AS DATE))), INTERVAL 1 DAY)) FROM kept WHERE st IS NOT NULL) x),
 top AS (SELECT string_agg(value || ' (' || CAST(n AS VARCHAR) || ')', ' | ' ORDER BY n DESC, value) AS t FROM (
-  SELECT CASE WHEN DEPTNM IS NULL OR trim(DEPTNM) IN ('', 'None', 'nan') THEN '(빈값)' ELSE DEPTNM END AS value,
-         count(*) AS n FROM v_permit WHERE trim(TEAMNM) <> 'F' GROUP BY 1 ORDER BY n DESC, value LIMIT 5) y)
+  SELECT CASE WHEN TEAMNM IS NULL OR trim(TEAMNM) IN ('', 'None', 'nan') THEN '(빈값)' ELSE trim(TEAMNM) END AS value,
+         count(*) AS n FROM v_permit WHERE coalesce(trim(TEAMNM) <> 'F', true) GROUP BY 1 ORDER BY n DESC, value LIMIT 5) y)
 SELECT (SELECT count(*) FROM v_permit) AS rows_in, (SELECT count(*) FROM kept) AS rows_kept,
-  (SELECT n FROM exp) AS rows_expanded, (SELECT count(*) FROM v_permit) - (SELECT count(*) FROM kept) AS rows_dropped,
+  (SELECT CAST(coalesce(sum(date_diff('day', CAST(st AS DATE), greatest(CAST(st AS DATE), coalesce(CAST(ed AS DATE), CAST(st AS DATE)))) + 1), 0) AS BIGINT)
+   FROM kept WHERE st IS NOT NULL) AS rows_expanded,
+  (SELECT count(*) FROM kept WHERE st IS NULL AND trim(coalesce(STDATE, '')) <> '') AS rows_unparsed,
+  (SELECT count(*) FROM v_permit) - (SELECT count(*) FROM kept) AS rows_dropped,
   (SELECT t FROM top) AS top_dropped, 'IOWKGBNNM | WKGBNNM' AS unmapped""")
 def q_rejected_report(spark, sf_dir):
-    """Q5 for the permit load: rows in / kept / expanded / dropped, top dropped
-    departments, and the standard columns the header mapping could not fill."""
-    from ..operators.expand import expand_daily
+    """Q5 for the permit load: rows in / kept / expanded / dropped, start times not understood, the teams most
+    often dropped, and the standard columns the header mapping could not fill."""
     raw = v_permit(spark, sf_dir).drop("IOWKGBNNM", "WKGBNNM")
     plan = plan_headers([c for c in raw.columns if not c.startswith("_")], PERMIT_HEADER_CANDIDATES)
-    kept = raw.filter(tf.strip("TEAMNM") == "F")
-    exp = expand_daily(kept.withColumns({"STDATE": tf.parse_ts_formats("STDATE"),
-                                         "EDDATE": tf.parse_ts_formats("EDDATE")}))
-    r = rejected_report(raw, kept, "DEPTNM", exp, plan.unmapped)
-    return r.select("rows_in", "rows_kept", "rows_expanded", "rows_dropped",
+    r = rejected_report(raw, tf.strip("TEAMNM") == "F", "TEAMNM", "STDATE", tf.parse_ts_formats("STDATE"),
+                        tf.parse_ts_formats("EDDATE"), plan.unmapped)
+    return r.select("rows_in", "rows_kept", "rows_expanded", "rows_unparsed", "rows_dropped",
                     F.concat_ws(" | ", "top_dropped").alias("top_dropped"),
                     F.concat_ws(" | ", "unmapped").alias("unmapped"))
 
