@@ -171,3 +171,18 @@ def test_failing_batch_reports_its_whole_error(spark):
         stream_merge(s, root, "t", merge, f"{root}/_chk", job="j")
     row = read_status(spark, root).first()
     assert not row["ok"] and "x" * 2000 in row["error"]
+
+
+def test_dictionary_fault_leaves_the_save_intact(spark):
+    from tidemark.streaming.watch import merge_then_refill
+    path = tempfile.mkdtemp(prefix="tm-dict-") + "/t"
+    batch = spark.createDataFrame([("a", "d1", "w", None, 1)], "k string, d string, work_code string, hint string, _seq long")
+
+    def broken():
+        raise OSError("no dictionary")
+
+    error = merge_then_refill(batch, path, ["k"], "d", "work_code", broken, None, "work", {"hint": "keyword"})
+    assert "no dictionary" in error and spark.read.parquet(path).count() == 1
+    words = spark.createDataFrame([("w", "word", 1)], "work string, keyword string, _seq long")
+    assert merge_then_refill(batch, path, ["k"], "d", "work_code", lambda: words, None, "work", {"hint": "keyword"}) == ""
+    assert spark.read.parquet(path).first()["hint"] == "word"

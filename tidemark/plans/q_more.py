@@ -13,7 +13,7 @@ from ..operators.schema import first_present, front_columns, lower_headers, nfc_
 from ..operators.window import changed_since, preview, sort_nulls_last, union_all
 from ..sources.files import PERMIT_FILE_GLOBS, match_files
 from . import sqlfrag as Q
-from .pipelines import sheet_pipeline
+from .pipelines import PLAN_COLUMNS, PLAN_FLOAT_COLS, forecast_pipeline, plan_pipeline_from_cells, sheet_pipeline, unreadable_forecast_rows
 from .q_docs import SQL_V_MANIFEST, _SQL_MIGRATED, _migrated, v_manifest
 from .queries import register
 from .views import read, v_fuel_new, v_fuel_old, with_views
@@ -242,3 +242,56 @@ def q_enrich_outcome(spark, sf_dir):
     known = read(spark, sf_dir, "orders").filter(k % 2 != 0).select(F.lpad(k.cast("string"), 8, "0").alias("work"))
     return enrich_outcome(answers, known, "work", "keyword", "error")
 
+
+
+# ---------------------------------------------------------------------- T7: stored rows refilled when the dictionary grows
+@register("dictionary_growth", with_views("v_permit", "v_dict") + """,
+d AS (SELECT trim(work) AS work, coalesce(arg_max(keyword, _seq), '') AS keyword, coalesce(arg_max(warning, _seq), '') AS warning
+      FROM v_dict WHERE trim(work) <> '' GROUP BY 1)
+SELECT p._seq, p.ACODENM, CASE WHEN p._seq % 17 = 0 THEN NULL ELSE 'm' || CAST(p._seq % 12 AS VARCHAR) END AS part,
+  d.keyword AS risk_keywords, d.warning FROM v_permit p LEFT JOIN d ON trim(p.ACODENM) = d.work""")
+def q_dictionary_growth(spark, sf_dir):
+    """The first batch is saved with a third of the dictionary; the second brings the rest, also for rows of the first."""
+    from ..session import scratch_path
+    from ..streaming.watch import merge_then_refill
+    from .views import v_dict, v_permit
+    rows = v_permit(spark, sf_dir).select(
+        "_seq", "ACODENM", F.when(F.col("_seq") % 17 != 0, F.concat(F.lit("m"), (F.col("_seq") % 12).cast("string"))).alias("part"),
+        F.lit(None).cast("string").alias("risk_keywords"), F.lit(None).cast("string").alias("warning"))
+    full = v_dict(spark, sf_dir)
+    some = full.filter(F.col("work") < "M")
+    path, fill = scratch_path(spark, "growth"), {"risk_keywords": "keyword", "warning": "warning"}
+    for batch, now, before in ((rows.filter("_seq % 2 = 0"), some, None), (rows.filter("_seq % 2 = 1"), full, some)):
+        error = merge_then_refill(batch, path, ["_seq"], "part", "ACODENM", lambda now=now: now, before, "work", fill)
+        if error:
+            raise RuntimeError(error)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+# ---------------------------------------------------------------------- C3 with P9, C6 with the call's time
+@register("plan_from_cells", """
+SELECT 'SN' || CAST(o_custkey % 40 + 2601 AS VARCHAR) AS "PJT", CAST(year(o_orderdate) AS INTEGER) AS "인도년",
+  CAST(month(o_orderdate) AS INTEGER) AS "인도월", """ + ", ".join(f'CAST(0.0 AS DOUBLE) AS "{c}"' for c in PLAN_FLOAT_COLS) + """
+FROM orders WHERE o_custkey % 20 <> 19 AND year(o_orderdate) >= 1995""")
+def q_plan_from_cells(spark, sf_dir):
+    """C3 from sheets without column names: header row found per file (P9), columns in another order in every second file."""
+    from .q_ops import header_less_sheets
+    cells = header_less_sheets(spark, sf_dir)
+    swap = F.col("file").rlike("[02468]$")
+    moved = cells.select("file", "seq", F.when(swap, F.col("c2")).otherwise(F.col("c0")).alias("c0"), "c1",
+                         F.when(swap, F.col("c0")).otherwise(F.col("c2")).alias("c2"))
+    return plan_pipeline_from_cells(moved, "file", "seq", ["c0", "c1", "c2"], 1995).select(*PLAN_COLUMNS)
+
+
+@register("forecast_fetched", with_views("v_forecast") + """
+SELECT CAST(strptime(fcstDate, '%Y%m%d') AS DATE) AS forecast_date, TIMESTAMP '2024-05-01 05:10:00' AS fetched_at FROM v_forecast
+WHERE fcstDate IS NOT NULL GROUP BY 1
+UNION ALL SELECT NULL, NULL FROM v_forecast WHERE _seq % 97 = 0""")
+def q_forecast_fetched(spark, sf_dir):
+    """C6 with the time of the call; rows with an unreadable date make no day and are reported apart (here as empty rows)."""
+    from .views import v_forecast
+    feed = v_forecast(spark, sf_dir)
+    days = forecast_pipeline(feed, fetched_at="2024-05-01 05:10:00").select("forecast_date", "fetched_at")
+    broken = feed.filter(F.col("_seq") % 97 == 0).withColumn("fcstDate", F.concat(F.lit("x"), "fcstDate"))
+    none = unreadable_forecast_rows(feed.unionByName(broken))
+    return days.unionByName(none.select(F.lit(None).cast("date").alias("forecast_date"), F.lit(None).cast("timestamp_ntz").alias("fetched_at")))

@@ -133,3 +133,57 @@ def stream_merge_partitioned(stream: DataFrame, path: str, keys: list[str], part
         merge_into_partitions(prepare(batch, batch_id), path, keys, partition_col)
 
     return _start(stream, run, checkpoint, available_now)
+
+
+def changed_entries(dictionary: DataFrame, previous: DataFrame | None, key: str, values: list[str],
+                    order: tuple[str, ...] = ("_seq",)) -> DataFrame:
+    """Dictionary entries (last row per key) that are new or have other values than before."""
+    from ..operators.joins import dedup_dictionary
+    now = dedup_dictionary(dictionary, key, values, order)
+    if previous is None:
+        return now
+    return now.join(dedup_dictionary(previous, key, values, order), [key, *values], "left_anti")
+
+
+def refill_partitions(spark: SparkSession, path: str, key: str, changed: DataFrame, dim_key: str, fill: dict[str, str],
+                      partition_col: str, partition_type: T.DataType | None = None) -> None:
+    """T7/J10 on the stored table: rows whose key has a new or changed dictionary entry get its values.
+
+    Only partitions that hold such a key are read whole and rewritten; they are cut from their lineage by a checkpoint
+    before the dynamic overwrite, as in :func:`merge_into_partitions`.
+    """
+    from ..functions.scalars import strip
+    from ..operators.joins import lookup_fill
+    from ..session import work_dir
+    schema = T.StructType([T.StructField(f.name, partition_type or T.StringType()) if f.name == partition_col else f
+                           for f in spark.read.option("mergeSchema", True).parquet(path).schema.fields])
+    stored = spark.read.schema(schema).parquet(path)
+    keys = changed.select(F.col(dim_key).alias("_changed"))
+    touched = (stored.select(partition_col, strip(F.col(key)).alias("_k")).join(keys, F.col("_k") == F.col("_changed"), "left_semi")
+               .select(F.col(partition_col).alias("_touched")).distinct())
+    affected = stored.join(touched, F.col(partition_col).eqNullSafe(F.col("_touched")), "left_semi")
+    work_dir(spark)
+    filled = lookup_fill(affected, key, changed, dim_key, fill, dedup=False).select(*stored.columns).checkpoint(eager=True)
+    (filled.hint("rebalance", F.col(partition_col)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(path))
+
+
+def merge_then_refill(batch: DataFrame, path: str, keys: list[str], partition_col: str, key: str,
+                      dictionary: Callable[[], DataFrame], previous: DataFrame | None, dim_key: str, fill: dict[str, str]) -> str:
+    """Save a batch, then fill it and the stored rows from the dictionary.  The save stands whatever happens to the
+    dictionary: returns the error of the refill, '' if there was none."""
+    merge_into_partitions(batch, path, keys, partition_col)
+    try:
+        spark = batch.sparkSession
+        now = dictionary()
+        values = list(dict.fromkeys(fill.values()))
+        kind = batch.schema[partition_col].dataType
+        refill_partitions(spark, path, key, changed_entries(now, previous, dim_key, values), dim_key, fill, partition_col, kind)
+        if previous is not None:  # rows of this batch whose entries have not changed
+            from ..operators.joins import dedup_dictionary
+            own = batch.select(F.col(key).alias("_own")).distinct()
+            entries = dedup_dictionary(now, dim_key, values, ("_seq",)).join(own, F.col(dim_key) == F.trim("_own"), "left_semi")
+            refill_partitions(spark, path, key, entries, dim_key, fill, partition_col, kind)
+        return ""
+    except Exception as e:  # noqa: BLE001 - keep the save, report the fault
+        return f"{type(e).__name__}: {e}"
