@@ -81,16 +81,6 @@ def group_cards(df: DataFrame, keys: Sequence[str], order: str = "_seq",
     return step2
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                     *[F.col(c) for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, "left").drop(*[f"_r_{k}" for k in keys])
-
-
 def mode_of(c: Column | str) -> Column:
     """A4: most frequent value; ties -> the smallest."""
     return F.mode(col_of(c), deterministic=True)
@@ -149,15 +139,6 @@ def top_n_values(df: DataFrame, col: str, n: int = 5, blank_label: str | None =
     return value_counts(df, col, blank_label).orderBy(F.col("n").desc(), F.col("value")).limit(n)
 
 
-def table_stats(df: DataFrame, key: str | None = None, approx: bool = False) -> DataFrame:
-    """Rows, columns, distinct keys and per-column fill ratios in ONE aggregate."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    if key is not None:
-        aggs.append((F.approx_count_distinct(key) if approx else F.count_distinct(key)).alias("keys"))
-    out = df.agg(*aggs)
-    return out.withColumn("cols", F.lit(len(df.columns)))
-
-
 def filled_ratios(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Non-null share of each column, one aggregate pass, long format (column, filled, rows, ratio)."""
     cols = list(cols or df.columns)
@@ -173,13 +154,6 @@ def count_true(c: Column | str) -> Column:
     return F.count_if(col_of(c))
 
 
-def merge_counts(merged: DataFrame, batch: str = "_batch") -> DataFrame:
-    """Rows taken from the stored table (batch 0) and from the load (batch 1)."""
-    return merged.agg(F.count_if(F.col(batch) == 0).alias("kept_rows"),
-                      F.count_if(F.col(batch) == 1).alias("new_rows"),
-                      F.count(F.lit(1)).alias("after_rows"))
-
-
 def convertible_columns(df: DataFrame, candidates: Sequence[str], convert,
                         max_loss: float = 0.5) -> DataFrame:
     """Per candidate column, non-null count before and after conversion in ONE aggregate;
@@ -194,10 +168,14 @@ def convertible_columns(df: DataFrame, candidates: Sequence[str], convert,
                         ((F.col("before") - F.col("after")) <= F.col("before") * max_loss)))
 
 
+def any_match_columns(cols: Sequence[str], pattern: str) -> list[Column]:
+    """A13 as aggregate expressions, named like the columns: does any non-null value match ``pattern``?"""
+    return [F.coalesce(F.bool_or(F.col(f"`{c}`").cast("string").rlike(pattern)), F.lit(False)).alias(c) for c in cols]
+
+
 def any_match(df: DataFrame, cols: Sequence[str], pattern: str) -> DataFrame:
     """For every column, does any non-null value match ``pattern``? (one aggregate)."""
-    return df.agg(*[F.coalesce(F.bool_or(F.col(f"`{c}`").cast("string").rlike(pattern)), F.lit(False))
-                    .alias(c) for c in cols])
+    return df.agg(*any_match_columns(cols, pattern))
 
 
 def result_summary(results: DataFrame, status: str = "status") -> DataFrame:
@@ -213,17 +191,14 @@ def category_counts(items: DataFrame, categories: DataFrame, cat: str = "categor
     return categories.join(c, cat, "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
 
 
-def mixed_text_probe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A16 (value side): text column holding both numeric-looking and other values."""
-    aggs = []
-    for c in cols:
-        isnum = F.when(F.col(f"`{c}`").isNotNull(), strip(F.col(f"`{c}`")).try_cast("double").isNotNull())
-        aggs.append((F.coalesce(F.max(isnum.cast("int")) != F.min(isnum.cast("int")), F.lit(False))).alias(c))
-    return df.agg(*aggs)
-
-
-def numeric_type(dt: T.DataType) -> bool:
-    return isinstance(dt, (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType,
-                           T.DecimalType))
+def mixed_text_columns(cols: Sequence[str]) -> list[Column]:
+    """A16 (value side) as aggregate expressions, named like the columns."""
+    def mixed(c: str) -> Column:
+        isnum = F.when(F.col(f"`{c}`").isNotNull(), strip(F.col(f"`{c}`")).try_cast("double").isNotNull()).cast("int")
+        return F.coalesce(F.max(isnum) != F.min(isnum), F.lit(False)).alias(c)
+    return [mixed(c) for c in cols]
 
 
+def mixed_text_probe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A16 (value side): text column holding both numeric-looking and other values."""
+    return df.agg(*mixed_text_columns(cols))

@@ -126,11 +126,17 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def key_classes(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """(key, in_new, in_old) of every distinct key, from one aggregate over both sides; nulls are a key."""
+    side = lambda df, is_new: df.select(F.col(key).alias("key"), F.lit(is_new).alias("in_new"), F.lit(not is_new).alias("in_old"))
+    return side(new, True).unionByName(side(old, False)).groupBy("key").agg(F.max("in_new").alias("in_new"), F.max("in_old").alias("in_old"))
+
+
 def key_sets(new: DataFrame, old: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new - old, new ∩ old, old - new) on distinct keys."""
-    nk = new.select(F.col(key).alias("key")).distinct()
-    ok = old.select(F.col(key).alias("key")).distinct()
-    return nk.exceptAll(ok), nk.intersect(ok), ok.exceptAll(nk)
+    c = key_classes(new, old, key)
+    return (c.filter("in_new and not in_old").select("key"), c.filter("in_new and in_old").select("key"),
+            c.filter("in_old and not in_new").select("key"))
 
 
 def distinct_first_seen(df: DataFrame, cols: Sequence[str], order: str = "_seq") -> DataFrame:

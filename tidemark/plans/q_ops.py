@@ -4,11 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as tf
-from ..operators.aggregate import (any_match, category_counts, convertible_columns, mixed_text_probe,
-                                   result_summary)
+from ..operators.aggregate import any_match_columns, category_counts, mixed_text_columns, result_summary
 from ..operators.expand import split_multi
 from ..operators.merge import delete_matching
-from ..operators.window import distinct_first_seen, key_sets, latest_name
+from ..operators.window import distinct_first_seen, key_classes, latest_name
 from . import sqlfrag as Q
 from .q_docs import SQL_V_MANIFEST, _migrated, v_manifest
 from .queries import register
@@ -21,14 +20,12 @@ SELECT (SELECT count(*) FROM n WHERE k NOT IN (SELECT k FROM o)) AS only_new,
        (SELECT count(*) FROM n WHERE k IN (SELECT k FROM o)) AS both,
        (SELECT count(*) FROM o WHERE k NOT IN (SELECT k FROM n)) AS only_old""")
 def q_key_sets(spark, sf_dir):
-    """New − old, new ∩ old, old − new on distinct keys, counted in one aggregate."""
+    """New − old, new ∩ old, old − new on distinct keys, counted from one key aggregate."""
     new = v_fuel_new(spark, sf_dir).withColumn("PJT", tf.ensure_sn("PJT"))
-    a, b, c = key_sets(new, v_fuel_old(spark, sf_dir), "PJT")
-    u = (a.select(F.lit(0).alias("t")).unionByName(b.select(F.lit(1).alias("t")))
-         .unionByName(c.select(F.lit(2).alias("t"))))
-    t = F.col("t")
-    return u.agg(F.count_if(t == 0).alias("only_new"), F.count_if(t == 1).alias("both"),
-                 F.count_if(t == 2).alias("only_old"))
+    c = key_classes(new, v_fuel_old(spark, sf_dir), "PJT")
+    return c.agg(F.count_if(F.col("in_new") & ~F.col("in_old")).alias("only_new"),
+                 F.count_if(F.col("in_new") & F.col("in_old")).alias("both"),
+                 F.count_if(F.col("in_old") & ~F.col("in_new")).alias("only_old"))
 
 
 @register("distinct_first_seen", with_views("v_permit") + """
@@ -95,24 +92,11 @@ FROM (SELECT * FROM v_fuel_old UNION ALL SELECT * FROM v_fuel_new) u""")
 def q_value_probes(spark, sf_dir):
     """A13 (any value matches), A12 (loss check before/after conversion), A16 (mixed text)."""
     u = v_fuel_old(spark, sf_dir).unionByName(v_fuel_new(spark, sf_dir))
-    a = any_match(u, list(_PROBE_COLS), "/").select(F.col("HFO").alias("any_slash_hfo"),
-                                                  F.col("LDO").alias("any_slash_ldo"),
-                                                  F.col("일정구분").alias("any_slash_flag"))
-    c = convertible_columns(u, ["HFO", "LDO"], tf.to_number)
-    m = mixed_text_probe(u, ["HFO"]).select(F.col("HFO").alias("hfo_mixed"))
-    flat = c.groupBy().pivot("column", ["HFO", "LDO"]).agg(F.first("before").alias("before"),
-                                                           F.first("after").alias("after"))
-    flat = flat.select(F.col("HFO_before").alias("hfo_before"), F.col("HFO_after").alias("hfo_after"),
-                       F.col("LDO_before").alias("ldo_before"), F.col("LDO_after").alias("ldo_after"))
-    # three single-row aggregates side by side: one union + one aggregate, no join
-    cols = ["any_slash_hfo", "any_slash_ldo", "any_slash_flag", "hfo_before", "hfo_after", "ldo_before",
-            "ldo_after", "hfo_mixed"]
-    parts = []
-    for df in (a, flat, m):
-        parts.append(df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(
-            "boolean" if c.startswith("any") or c.endswith("mixed") else "long").alias(c) for c in cols]))
-    u2 = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u2.agg(*[F.max(c).alias(c) for c in cols])
+    names = dict(zip(_PROBE_COLS, ("any_slash_hfo", "any_slash_ldo", "any_slash_flag")))
+    counts = [f(v).alias(f"{c.lower()}_{when}") for c in ("HFO", "LDO") for when, v, f in
+              (("before", c, F.count), ("after", tf.to_number(c), F.count))]
+    return u.agg(*[e.alias(names[c]) for c, e in zip(_PROBE_COLS, any_match_columns(_PROBE_COLS, "/"))], *counts,
+                 mixed_text_columns(["HFO"])[0].alias("hfo_mixed"))
 
 
 @register("category_counts", with_views("v_permit") + """
