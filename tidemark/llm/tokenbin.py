@@ -138,28 +138,36 @@ class WordEncoder:
     """The library's tokenizer, asked once for each distinct blank-separated word while its bounded memo lasts.
 
     The tokenizer drops white space before it merges, and neither its pattern nor its normaliser reaches across a blank or
-    line feed, so the ids of a text are those of its words in turn.
+    line feed, so the ids of a text are those of its words in turn.  The memo has two generations of ``memo_words`` words:
+    when the young one is full it becomes the old one, from which words that come again move back.
     """
 
-    def __init__(self, path: str, memo_words: int = 200_000):
+    def __init__(self, path: str, memo_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.memo_words = memo_words
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        if len(self.young) >= self.memo_words:
+            self.old, self.young = self.young, {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.memo.keys())
-        if len(self.memo) + len(new) > self.memo_words:
-            self.memo.clear()
-            new = list(set().union(*split))
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.memo[word] = np.array(found.ids, f"<u{self.width}").tobytes()
-        end = np.array([end_id], f"<u{self.width}").tobytes()
-        return [b"".join(map(self.memo.__getitem__, words)) + end for words in split]
+        young, old, new = self.young, self.old, []
+        for word in set().union(*split):
+            if word not in young:
+                if word in old:
+                    young[word] = old[word]
+                else:
+                    new.append(word)
+        kind = f"<u{self.width}"
+        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            young[word] = np.array(found.ids, kind).tobytes()
+        end = np.array([end_id], kind).tobytes()
+        return [b"".join(map(young.__getitem__, words)) + end for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
