@@ -188,6 +188,14 @@ def test_one_of_each(make_docs, corpus):
     assert ids == sorted({i for i, r in roots.items() if i == r}) and out.where("doc_id is null").count() == 1
 
 
+def test_slots_hold_every_id(spark):
+    ids = spark.range(0, 40_000_000, 1999).selectExpr("id - 7 AS id")
+    flags = minmax.slots_of(ids, "id")
+    slots = {r[0] for r in ids.select(minmax.slot("id")).collect()}
+    assert set(np.flatnonzero(flags).tolist()) == slots
+    assert not minmax.slots_of(ids.limit(0), "id").any()
+
+
 def test_signature_values_estimate_similarity():
     import pyarrow as pa
     base = [f"w{i}" for i in range(400)]

@@ -3,8 +3,9 @@
 Each permutation of a document's shingle set gives two signature values, its minimum and its maximum: half the hash
 evaluations for the same number of values.  Bands of the signature select candidates; links are confirmed on the full
 sets.  Documents with equal sets are one representative throughout.  Within a band bucket, each member is first compared
-with the one pivot it shares most bands with; only members of a bucket that are still in different components are then
-compared pair by pair, so a large group of copies or near copies never makes all its pairs.
+with one central member; only what is in different components after that is compared pair by pair, inside tasks and in
+blocks of bounded size, and only pairs that can be links leave a task: a large group of copies or near copies never makes
+all its pairs.
 """
 from __future__ import annotations
 
@@ -21,8 +22,15 @@ from tidemark.llm.components import components
 WORDS = 5
 PERMUTATIONS = 64
 ROWS = 4
-#: Candidate pairs whose estimate from all signature values is this far below the threshold (over six standard errors) are dropped.
+#: Candidate pairs of the last round whose estimate from all signature values is this far below the threshold (over six
+#: standard errors) are dropped.
 SLACK = 0.25
+CELLS = 256
+FULL = 65535
+#: Flags of the filter by which texts are kept for their sets (2 MB).
+SLOTS = 1 << 24
+#: Members of a bucket compared with each other in one task.
+BLOCK = 512
 _MULTIPLIERS = seeded_words(61, PERMUTATIONS)
 _PLACES = seeded_words(62, WORDS + 1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -93,43 +101,135 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2, bands, signature): set size, 128-bit set fingerprint, band keys and 16 bits of each value."""
+    """(doc_id, n, f1, f2, bands): set size, 128-bit set fingerprint and band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             hashes, offsets = shingles(batch.column("text"))
             sets, signature = distinct_sets(hashes, offsets), signatures(hashes, offsets)
             prints = [np.array([np.sum(mix64(s ^ U64(seed)), dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for seed in (1, 2)]
-            small = (mix64(signature) & U64(0xFFFF)).astype("<u2")
             keys = band_keys(signature)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
+            bands = list_rows(keys)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, prints), bands,
-                 pa.array([row.tobytes() for row in small], pa.binary())], ["doc_id", "n", "f1", "f2", "bands", "signature"])
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, prints), bands], ["doc_id", "n", "f1", "f2", "bands"])
 
-    return map_arrow(docs, run, "doc_id long, n long, f1 long, f2 long, bands array<long>, signature binary")
+    return map_arrow(docs, run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(rep, shingles): the sorted distinct hashes of each document as bytes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            sets = distinct_sets(*shingles(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
+def list_rows(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow list array."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel()))
+
+
+def slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS)) + 1  # bitmap positions start at 1
+
 
-    return map_arrow(docs, run, "rep long, shingles binary")
+def slots_of(ids: DataFrame, column: str) -> np.ndarray:
+    """A table of SLOTS flags, set where an id falls: a filter of bounded size that never loses an id."""
+    rows = ids.select(slot(column).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()  # SLOTS / 32768 rows of 4 KB at most
+    flags = np.zeros(SLOTS + 32768 + 1, bool)
+    for row in rows:
+        start = (row["bucket"] - 1) * 32768 + 1
+        flags[start:start + 32768] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")[:32768]
+    return flags
 
 
-def estimate_passes(pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in enough values; sa and sb are the 16-bit signatures."""
-    least = (threshold - SLACK) * 2 * PERMUTATIONS
+def full_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(rep, shingles, bands, signature, spread) of the documents whose slot is wanted: the sorted distinct hashes, the band
+    keys, 16 bits of each signature value, and the number of shingles in each of CELLS cells of the hash space (16 bits each)."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(shared.value).astype(bool)
+        for whole in batches:
+            whole = whole.filter(pa.array(flags[whole.column("slot").to_numpy()]))
+            yield from sets_of(chunks(iter([whole]), "text"))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.stack([np.frombuffer(x, "<u2") for x in batch.column(c).to_pylist()]) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= least))
+            hashes, offsets = shingles(batch.column("text"))
+            sets, signature = distinct_sets(hashes, offsets), signatures(hashes, offsets)
+            small = (mix64(signature) & U64(0xFFFF)).astype("<u2")
+            cells = np.minimum(np.stack([np.bincount((s >> U64(56)).astype(np.int64), minlength=CELLS) for s in sets]), FULL).astype("<u2")
+            raw = lambda rows: pa.array([row.tobytes() for row in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), raw(sets), list_rows(band_keys(signature)), raw(small), raw(cells)],
+                                             ["rep", "shingles", "bands", "signature", "spread"])
+
+    return map_arrow(docs.where("doc_id is not null").withColumn("slot", slot("doc_id")), run,
+                     "rep long, shingles binary, bands array<long>, signature binary, spread binary")
+
 
-    return map_arrow(pairs, run, "a long, b long")
+def possible_pairs(a: dict, b: dict, same: bool, key: int, percent: int) -> np.ndarray:
+    """(2, pairs) places of the pairs of two blocks of a bucket that can be links between different components.
+
+    A pair is left to the first band in which it agrees.  The cells give an upper bound of the intersection, so that test
+    loses nothing; the signatures' estimate must not be over six standard errors too low.
+    """
+    n, m = a["n"][:, None], b["n"][None, :]
+    open_ = (a["c"][:, None] != b["c"][None, :]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+    left, right = np.nonzero(np.triu(open_) if same else open_)
+    band = int(np.argmax(a["bands"][0] == key))
+    out = []
+    for at in range(0, len(left), 1 << 14):
+        i, j = left[at:at + (1 << 14)], right[at:at + (1 << 14)]
+        earlier = (a["bands"][i, :band] == b["bands"][j, :band]).any(1)
+        i, j = i[~earlier], j[~earlier]
+        near = (a["signature"][i] == b["signature"][j]).sum(1) >= (percent / 100 - SLACK) * 2 * PERMUTATIONS
+        i, j = i[near], j[near]
+        x, y = a["spread"][i], b["spread"][j]
+        common = np.minimum(x, y).sum(1, dtype=np.int64)
+        fits = (100 * common >= percent * (a["n"][i] + b["n"][j] - common)) | ((x == FULL) & (y == FULL)).any(1)
+        out.append(np.stack([i[fits], j[fits]]))
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+
+def compared_blocks(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of a bucket's members in different components that can be links, found block by block in tasks."""
+    spark = apart.sparkSession
+    sizes = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = apart.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    paired = (dealt.select("key", "rep", "n", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "c"))
+    full = paired.join(sets.select("rep", "bands", "signature", "spread"), "rep")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["key", "i", "j", "block", "rep", "n", "c", "bands", "signature", "spread"]
+    tasks = full.select(*columns).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
+
+    def solve(group: pa.Table) -> pa.RecordBatch:
+        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+        block = group.column("block").to_numpy()
+
+        def side(which: int) -> dict:
+            some = group.filter(pa.array(block == which))
+            return {"rep": some.column("rep").to_numpy(), "n": some.column("n").to_numpy(), "c": some.column("c").to_numpy(),
+                    "bands": np.array(some.column("bands").to_pylist(), np.int64).reshape(len(some), -1),
+                    **{c: np.frombuffer(b"".join(some.column(c).to_pylist()), "<u2").reshape(len(some), -1) for c in ("signature", "spread")}}
+        a = side(i)
+        b = a if i == j else side(j)
+        empty = not len(a["rep"]) or not len(b["rep"])
+        left, right = np.zeros((2, 0), np.int64) if empty else possible_pairs(a, b, i == j, key, percent)
+        return pa.RecordBatch.from_arrays([pa.array(a["rep"][left]), pa.array(b["rep"][right])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                if at == end:
+                    continue
+                now = tuple(marks[:, at])
+                if held and now != last:
+                    yield solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = now
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return map_arrow(tasks, run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,6 +248,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb"), run, "u long, v long")
 
 
+def members_apart(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, rep, n, c): the members, with their components, of buckets that hold several components."""
+    component = written(component, "minmax-components")
+    state = members.join(component, members["rep"] == component["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    open_keys = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    return written(state.join(open_keys, "key"), "minmax-apart")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each input row.
 
@@ -156,43 +264,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     linked with nothing.  Rows that share a doc_id are one node; rows with a null doc_id are linked with nothing, have a null
     component and are kept.  Other columns are ignored; an empty table gives an empty result.
     """
-    threshold = percent / 100
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     described = written(describe(texts), "minmax-signatures")
     usable = described.where("n > 0 and doc_id is not null")
     classes = written(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "minmax-classes")
     own = usable.join(classes, ["n", "f1", "f2"]).where("doc_id = rep").dropDuplicates(["rep", "n", "f1", "f2"])
-    reps = own.select("rep", "n", "bands", "signature")
-    # candidates: the members of band buckets of two or more
+    reps = written(own.select("rep", "n", "bands"), "minmax-reps")
+    # candidates: the members of band buckets of two or more, each with its weight, the sum of its buckets' sizes
     keys = reps.select("rep", "n", F.explode("bands").alias("key"))
-    pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("key", "pivot")
-    members = written(keys.join(pivots, "key"), "minmax-members")
-    needed = members.select("rep").distinct()
-    sets = full_sets(texts.join(needed, texts["doc_id"] == needed["rep"], "left_semi"))
-    sets = written(sets.join(reps.select("rep", "n"), "rep").where(F.length("shingles") == F.col("n") * 8).select("rep", "shingles"), "minmax-sets")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(keys.join(sizes, "key"), "minmax-members")
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    members = written(members.join(weights, "rep").select("key", "rep", "n", "weight"), "minmax-weighted")
+    # the sets of the members; the texts are filtered where they are read, not shuffled
+    sets = full_sets(texts, slots_of(members, "rep"))
+    sets = written(sets.join(reps.select("rep", "n"), "rep").where(F.length("shingles") == F.col("n") * 8).drop("n"), "minmax-sets")
     # rows that share a doc_id are one node
     placed = usable.join(classes, ["n", "f1", "f2"]).select("doc_id", "rep")
     split = placed.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v <> last")
     same_id = placed.join(split, "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v")
-    votes = members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("shared"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return written(confirmed(pairs, sets, percent), "minmax-links")
+
+    # first: each member with one pivot, the most central member of its buckets that it shares most bands with
+    central = members.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("pivot"))
+    votes = members.join(central, "key").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("shared"))
     chosen = votes.groupBy("rep").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
-    first = written(confirmed(chosen.select(F.col("rep").alias("b"), F.col("pivot").alias("a")), sets, percent), "minmax-links")
-    component = written(components(first), "minmax-components")
-    # second: what is still apart within a bucket
-    state = members.join(component, members["rep"] == component["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    open_keys = (state.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key")
-                 .agg(F.max_by("c", F.struct("size", -F.col("c"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main"))
-    apart = written(state.join(open_keys, "key"), "minmax-apart")
-    few = apart.where("c <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    every = apart.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main")
-    sizes = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = (few.join(every, "key").where((F.col("ca") != F.col("cb")) & sizes & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-             .select("a", "b").distinct())
-    signature = reps.select("rep", "signature")
-    pairs = (pairs.join(signature.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
-             .join(signature.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b"))
-    second = confirmed(estimate_passes(pairs, threshold), sets, percent)
-    links = first.unionByName(second).unionByName(same_id)
+    links = checked(chosen.select(F.col("rep").alias("b"), F.col("pivot").alias("a")))
+    # then, where a bucket still holds several components, what is apart in it, block by block
+    apart = members_apart(members, components(links))
+    links = links.unionByName(checked(compared_blocks(apart, sets, percent)))
+    links = links.unionByName(same_id)
     component = components(links)
     result = (described.join(classes, ["n", "f1", "f2"], "left")
               .join(component, F.col("rep") == F.col("node"), "left"))
