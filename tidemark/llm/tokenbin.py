@@ -221,7 +221,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
     return map_arrow(rows, run, "shard int, file string, doc_id long, nth long, n_tokens long")
 
 
-def read_by_key(keys: DataFrame, folder: str) -> DataFrame:
+def read_by_key(keys: DataFrame, folder: str, tasks: int) -> DataFrame:
     """(shard, doc_id, nth, start, n_tokens, ids_crc32) for keys (shard, file, doc_id, nth), looked up in the shards' indexes.
 
     ``start`` counts within the shard; a key that its shard does not hold raises.
@@ -238,7 +238,8 @@ def read_by_key(keys: DataFrame, folder: str) -> DataFrame:
                              "ids_crc32": np.array(crc, np.int64)})
 
     ship_package(keys.sparkSession)
-    return keys.groupBy("shard").applyInPandas(run, "shard int, doc_id long, nth long, start long, n_tokens long, ids_crc32 long")
+    # keys are small and payloads are not: a stated number of tasks, which is not reduced by the size of the keys
+    return keys.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, "shard int, doc_id long, nth long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None, shards: int | None = None) -> DataFrame:
@@ -250,12 +251,13 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-shards")
-    keys = written(write_shards(docs, tokenizer_path, folder, end_id, shards or int(spark.conf.get("spark.sql.shuffle.partitions"))), "token-keys")
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = written(write_shards(docs, tokenizer_path, folder, end_id, shards), "token-keys")
     totals = sorted((r["shard"], r["n"]) for r in keys.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())  # a row a file
     before, base = 0, []
     for shard, n in totals:
         base.append((shard, before))
         before += n
     offsets = spark.createDataFrame(base, "shard int, base long")
-    found = read_by_key(keys.select("shard", "file", "doc_id", "nth"), folder)
+    found = read_by_key(keys.select("shard", "file", "doc_id", "nth"), folder, shards)
     return found.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
