@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, text_of, written
+from tidemark.llm.common import chunks, map_arrow, text_of, written
 
 NO_MERGE = 1 << 30
 BUCKETS = 1 << 16
@@ -124,7 +124,7 @@ def count_words(docs: DataFrame, pattern: str, flush: int = 150_000) -> DataFram
             kept = [(w, n) for w, n in seen.items() if len(w.encode()) <= DICTIONARY_WORD_BYTES]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()),
                                                pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             for text in batch.column(0).to_pylist():
                 seen.update(find(text))
                 if len(seen) >= flush:
@@ -256,7 +256,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, dictionary_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             ids, decoded = [], []
             for text in batch.column(1).to_pylist():
                 ids.append(codec.encode(text))

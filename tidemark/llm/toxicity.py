@@ -59,7 +59,7 @@ def fit(texts: pa.Array, y: np.ndarray, epochs: int = 6, batch: int = 256, rate:
     weights[-1] = np.log((toxic + 1e-6) / (1 - toxic + 1e-6))
     if not 0 < toxic < 1:
         return weights.tobytes()
-    rows = list(distinct_slots(texts))
+    rows = [own for i in range(0, len(texts), 256) for own in distinct_slots(texts[i:i + 256])]
     count = [np.ones(1 << BITS), np.ones(1 << BITS)]
     for own, label in zip(rows, y):
         count[int(label)][own] += 1

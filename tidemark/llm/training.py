@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import map_arrow, packed, text_of, written
+from tidemark.llm.common import chunks, map_arrow, packed, text_of, written
 
 
 def fold_of(doc_id: str, parts: int) -> Column:
@@ -45,7 +45,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Array, np.ndarray], bytes])
 def score_documents(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], threshold: float, held_out: Column) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; ``scorer`` maps an Arrow text array to scores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             scores = np.clip(scorer(batch.column(2)), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
@@ -58,7 +58,7 @@ def score_documents(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], t
 def score_rows(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """Every input row as the struct ``row``, and its ``score``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(scorer(batch.column(1)), 0.0, 1.0))], ["row", "score"])
 
     rows = packed(docs).withColumn("text", text_of("row.text"))
