@@ -59,13 +59,14 @@ def fit(texts: pa.Array, y: np.ndarray, epochs: int = 6, batch: int = 256, rate:
     weights[-1] = np.log((toxic + 1e-6) / (1 - toxic + 1e-6))
     if not 0 < toxic < 1:
         return weights.tobytes()
-    rows = [own for i in range(0, len(texts), 256) for own in distinct_slots(texts[i:i + 256])]
+    slots_of_texts = lambda: (own for i in range(0, len(texts), 256) for own in distinct_slots(texts[i:i + 256]))
     count = [np.ones(1 << BITS), np.ones(1 << BITS)]
-    for own, label in zip(rows, y):
+    for own, label in zip(slots_of_texts(), y):
         count[int(label)][own] += 1
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
     # ratios within the noise of their counts carry no evidence; long texts would add up thousands of them
     ratio[np.abs(ratio) < Z * np.sqrt(1 / count[0] + 1 / count[1])] = 0.0
+    rows = [own[ratio[own] != 0] for own in slots_of_texts()]  # the other features are 0 anyway
     w, bias = np.zeros(1 << BITS), weights[-1:].astype(np.float64)
     step, rng = adam([w.shape, bias.shape]), np.random.Generator(np.random.PCG64(8))
     for _ in range(epochs):
