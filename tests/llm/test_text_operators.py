@@ -67,6 +67,21 @@ def test_shards_round_trip(make_docs, corpus):
     assert got == want
 
 
+def test_shards_special_strings_as_in_the_library(make_docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    specials = ["<|endoftext|>", "<|startoftext|>"]
+    texts = [t for s in specials for t in (s, f"hello {s} world", f"glued{s}", f"{s}glued", f"a{s}b{s}", f"{s}{s}\n{s} x", s.upper(), s[:-1])]
+    texts.append("<|startoftext|>one<|endoftext|> <|startoftext|>\ntwo<|endoftext|>")
+    got = sorted(rows_of(tokenbin.token_shards(make_docs(list(enumerate(texts))), path, 2, shards=3)))
+    start, want = 0, []
+    for doc_id, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+
+
 def test_perfect_hash_is_minimal_and_tells_foreign_keys(tmp_path):
     keys = tokenbin.key_hash(np.arange(5000), np.zeros(5000, bool), np.zeros(5000, np.int64))
     assert sorted(tokenbin.PerfectHash(tokenbin.build_hash(keys)).slots(keys).tolist()) == list(range(5000))

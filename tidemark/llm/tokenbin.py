@@ -138,7 +138,8 @@ class WordEncoder:
     """The library's tokenizer, asked once for each distinct blank-separated word while its bounded memo lasts.
 
     The tokenizer drops white space before it merges, and neither its pattern nor its normaliser reaches across a blank or
-    line feed, so the ids of a text are those of its words in turn.  The memo has two generations of ``memo_words`` words:
+    line feed, so the ids of a text are those of its words in turn.  The strings of its special tokens hold neither and keep
+    their own ids, as the library gives them by default.  The memo has two generations of ``memo_words`` words:
     when the young one is full it becomes the old one, from which words that come again move back.
     """
 
@@ -146,7 +147,6 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
