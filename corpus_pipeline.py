@@ -12,6 +12,9 @@ from tidemark.llm.common import read_table
 from tidemark.llm.queries import MIXTURE, byte_bpe_of
 from tidemark.session import scratch_path
 
+#: The part of the tokens that the mixture keeps, whatever cells are scarce.
+SIZE = 0.4
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, read_table(spark, sf_dir, "labels"))
@@ -26,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sample_mixture(docs, MIXTURE)
+    return mixing.sample_mixture(docs, MIXTURE, size=SIZE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,6 +252,40 @@ def test_mixture_stage(make_docs, corpus):
     assert out.schema == docs.schema and 0 < out.count() <= len(corpus)
 
 
+def skewed_docs(spark, nulls=0):
+    """4,000 documents, a third of them of src0, most English; and some English ones of null source."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(4000):
+        source = "src0" if rng.random() < 1 / 3 else f"src{rng.integers(1, 20)}"
+        lang = str(rng.choice(["en", "de", "fr", "es"], p=[.7, .1, .1, .1]))
+        lines, words = [(1, 50), (1, 300), (1, 700), (20, 10)][rng.integers(0, 4)]
+        rows.append((i, "\n".join([" ".join(["w"] * words)] * lines), lang, source))
+    rows += [(10_000 + i, " ".join(["w"] * 150), "en", None) for i in range(nulls)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_few_null_sources_barely_change_the_pipeline_sample(spark):
+    import corpus_pipeline
+    counts = [corpus_pipeline.sample_mixture(spark, skewed_docs(spark, n), "").count() for n in (0, 1, 5)]
+    assert counts[0] > 500 and all(abs(c - counts[0]) < 0.03 * counts[0] for c in counts), counts
+
+
+def test_scarce_cells_are_kept_whole_and_the_others_meet_the_shares():
+    rng = np.random.default_rng(4)
+    table = rng.uniform(500, 1500, (4, 3, 5))
+    table[3] = 0
+    table[3, 0, 0] = 0.5
+    targets = [np.array([.3, .4, .29, .01]), np.array([.5, .3, .2]), np.full(5, .2)]
+    kept = mixing.calibrated(table, targets, 0.3) * table
+    assert mixing.calibrated(table, targets).flat[0] < 1e-2 and kept[3, 0, 0] == 0.5
+    assert np.isclose(kept.sum(), 0.3 * table.sum()) and (kept <= table * (1 + 1e-9)).all()
+    for axis, others in enumerate([(1, 2), (0, 2), (0, 1)]):
+        got = kept.sum(others) / kept.sum()
+        want = targets[axis] if axis else np.array([.3, .4, .29, 0]) / .99
+        assert np.allclose(got, want, atol=2e-3)
+
+
 # ---------------------------------------------------------------- empty tables
 
 def test_empty_tables(make_docs):

@@ -51,18 +51,41 @@ def rake(weights: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -
     return fitted
 
 
+def calibrated(table: np.ndarray, targets: list[np.ndarray], size: float | None = None) -> np.ndarray:
+    """The probability of each cell, proportional to fitted over present weight; 1 for cells without weight.
+
+    Without ``size`` the largest ratio becomes 1, however small its cell.  ``size`` is the part of all weight to be kept:
+    cells that cannot give their part of it are kept whole, and the others are fitted again to what is then missing of
+    each share, until every cell can give its part.
+    """
+    fitted = rake(table, targets)
+    ratio = np.divide(fitted, table, out=np.zeros_like(fitted), where=table > 0)
+    if size is None:
+        return np.where(table > 0, ratio / max(ratio.max(initial=0.0), 1e-300), 1.0)
+    wanted = size * table.sum()
+    kept, whole = fitted * wanted, np.zeros(table.shape, bool)
+    while (over := ~whole & (kept > table * (1 + 1e-9))).any():
+        whole |= over
+        given = np.where(whole, table, 0.0)
+        missing = [np.maximum(0.0, wanted * t - given.sum(axis=tuple(a for a in range(table.ndim) if a != axis)))
+                   for axis, t in enumerate(targets)]
+        kept = given + rake(np.where(whole, 0.0, table), missing) * max(0.0, wanted - given.sum())
+    return np.where(table > 0, np.minimum(1.0, np.divide(kept, table, out=np.zeros_like(kept), where=table > 0)), 1.0)
+
+
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) from the id alone: 52 bits of an MD5; null ids share one."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]], size: float | None = None) -> DataFrame:
     """``row`` (the document), ``topic``, ``n_tokens``, ``probability`` and ``kept``.
 
     ``targets`` gives shares of the tokens for each of source, lang and topic; what they leave to 1 is the share of the
     rest.  Probabilities are proportional to fitted over present weight in each cell, the largest being 1, so the
-    expected token shares are the fitted ones.  Documents without tokens have the probability of their cell, 1 if the
+    expected token shares are the fitted ones; with ``size``, the part of all tokens to keep, scarce cells are kept whole
+    instead of setting the scale (:func:`calibrated`).  Documents without tokens have the probability of their cell, 1 if the
     cell has no tokens at all.  A null source or lang belongs to the rest; repeated ids are decided alike; an empty
     table gives an empty result.
     """
@@ -78,9 +101,8 @@ def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]]) -> D
     # at most the product of the target sizes
     for r in base.groupBy(*cells).agg(F.sum("n_tokens").alias("w")).collect():
         table[tuple(k.index(r[c]) for k, c in zip(kinds, cells))] = r["w"]
-    fitted = rake(table, [np.array([*targets[n].values(), max(0.0, 1.0 - sum(targets[n].values()))]) for n in names])
-    ratio = np.divide(fitted, table, out=np.zeros_like(fitted), where=table > 0)
-    probability = np.where(table > 0, ratio / max(ratio.max(initial=0.0), 1e-300), 1.0)
+    shares = [np.array([*targets[n].values(), max(0.0, 1.0 - sum(targets[n].values()))]) for n in names]
+    probability = calibrated(table, shares, size)
     spark = docs.sparkSession
     rows = [(*(kinds[a][i] for a, i in enumerate(at)), round(float(p), 9)) for at, p in np.ndenumerate(probability)]
     known = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cells) + ", probability double")
@@ -89,9 +111,9 @@ def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]]) -> D
                          (uniform(F.col("doc_id")) < F.col("probability")).alias("kept"))
 
 
-def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]], size: float | None = None) -> DataFrame:
     """The documents kept, with all their columns as they are."""
-    return unpacked(with_probability(docs, targets).where("kept"), docs.columns)
+    return unpacked(with_probability(docs, targets, size).where("kept"), docs.columns)
 
 
 def mixture_sql(targets: dict[str, dict[str, float]], documents: str = "documents", rounds: int = ROUNDS) -> str:
