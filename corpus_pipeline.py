@@ -14,6 +14,8 @@ from tidemark.session import scratch_path
 
 #: The part of the tokens that the mixture keeps, whatever cells are scarce.
 SIZE = 0.4
+#: The least share of sources and languages that the targets do not name, nulls among them.
+REST = 0.01
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sample_mixture(docs, MIXTURE, size=SIZE)
+    return mixing.sample_mixture(docs, MIXTURE, size=SIZE, rest=REST)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -259,7 +259,7 @@ def skewed_docs(spark, nulls=0):
     for i in range(4000):
         source = "src0" if rng.random() < 1 / 3 else f"src{rng.integers(1, 20)}"
         lang = str(rng.choice(["en", "de", "fr", "es"], p=[.7, .1, .1, .1]))
-        lines, words = [(1, 50), (1, 300), (1, 700), (20, 10)][rng.integers(0, 4)]
+        lines, words = [(1, 50), (1, 300), (1, 700), (20, 15)][rng.choice(4, p=[.1, .2, .05, .65])]
         rows.append((i, "\n".join([" ".join(["w"] * words)] * lines), lang, source))
     rows += [(10_000 + i, " ".join(["w"] * 150), "en", None) for i in range(nulls)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -286,6 +286,25 @@ def test_scarce_cells_are_kept_whole_and_the_others_meet_the_shares():
         assert np.allclose(got, want, atol=2e-3)
 
 
+def test_pipeline_keeps_null_and_unlisted_languages(spark):
+    import corpus_pipeline
+    some = skewed_docs(spark)
+    few = some.selectExpr("doc_id", "text", "CASE WHEN doc_id < 10 THEN NULL ELSE lang END AS lang", "source")
+    kept = corpus_pipeline.sample_mixture(spark, few, "").where("lang IS NULL").count()
+    assert kept >= 5
+    many = some.selectExpr("doc_id", "text", "CASE WHEN doc_id % 5 = 0 THEN 'it' ELSE lang END AS lang", "source")
+    assert corpus_pipeline.sample_mixture(spark, many, "").where("lang = 'it'").count() > 0
+    odds = mixing.with_probability(many, MIXTURE, corpus_pipeline.SIZE, corpus_pipeline.REST)
+    held = {r[0]: r[1] for r in odds.selectExpr("row.lang", "n_tokens * probability AS w").groupBy("lang").sum("w").collect()}
+    assert abs(held["it"] / sum(held.values()) - corpus_pipeline.REST) < 1e-3
+
+
+def test_rest_share_is_what_targets_leave_or_the_least():
+    assert np.allclose(mixing.shares_of({"a": .6, "b": .4}), [.6, .4, 0])
+    assert np.allclose(mixing.shares_of({"a": .6, "b": .4}, .1), [.54, .36, .1])
+    assert np.allclose(mixing.shares_of({"a": .5, "b": .3}, .1), [.5, .3, .2])
+
+
 # ---------------------------------------------------------------- empty tables
 
 def test_empty_tables(make_docs):

@@ -51,6 +51,13 @@ def rake(weights: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -
     return fitted
 
 
+def shares_of(target: dict[str, float], rest: float = 0.0) -> np.ndarray:
+    """The named shares and that of the rest: what they leave to 1, but ``rest`` at least, taken from all in proportion."""
+    named = np.array([*target.values()])
+    left = max(0.0, 1.0 - sum(target.values()))
+    return np.array([*named, left]) if left >= rest else np.array([*(named * (1 - rest) / named.sum()), rest])
+
+
 def calibrated(table: np.ndarray, targets: list[np.ndarray], size: float | None = None) -> np.ndarray:
     """The probability of each cell, proportional to fitted over present weight; 1 for cells without weight.
 
@@ -79,11 +86,12 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]], size: float | None = None) -> DataFrame:
+def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]], size: float | None = None,
+                     rest: float = 0.0) -> DataFrame:
     """``row`` (the document), ``topic``, ``n_tokens``, ``probability`` and ``kept``.
 
-    ``targets`` gives shares of the tokens for each of source, lang and topic; what they leave to 1 is the share of the
-    rest.  Probabilities are proportional to fitted over present weight in each cell, the largest being 1, so the
+    ``targets`` gives shares of the tokens for each of source, lang and topic; what they leave to 1, but ``rest``
+    at least, is the share of the rest.  Probabilities are proportional to fitted over present weight in each cell, the largest being 1, so the
     expected token shares are the fitted ones; with ``size``, the part of all tokens to keep, scarce cells are kept whole
     instead of setting the scale (:func:`calibrated`).  Documents without tokens have the probability of their cell, 1 if the
     cell has no tokens at all.  A null source or lang belongs to the rest; repeated ids are decided alike; an empty
@@ -101,8 +109,7 @@ def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]], size
     # at most the product of the target sizes
     for r in base.groupBy(*cells).agg(F.sum("n_tokens").alias("w")).collect():
         table[tuple(k.index(r[c]) for k, c in zip(kinds, cells))] = r["w"]
-    shares = [np.array([*targets[n].values(), max(0.0, 1.0 - sum(targets[n].values()))]) for n in names]
-    probability = calibrated(table, shares, size)
+    probability = calibrated(table, [shares_of(targets[n], rest) for n in names], size)
     spark = docs.sparkSession
     rows = [(*(kinds[a][i] for a, i in enumerate(at)), round(float(p), 9)) for at, p in np.ndenumerate(probability)]
     known = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cells) + ", probability double")
@@ -111,9 +118,10 @@ def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]], size
                          (uniform(F.col("doc_id")) < F.col("probability")).alias("kept"))
 
 
-def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]], size: float | None = None) -> DataFrame:
+def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]], size: float | None = None,
+                   rest: float = 0.0) -> DataFrame:
     """The documents kept, with all their columns as they are."""
-    return unpacked(with_probability(docs, targets, size).where("kept"), docs.columns)
+    return unpacked(with_probability(docs, targets, size, rest).where("kept"), docs.columns)
 
 
 def mixture_sql(targets: dict[str, dict[str, float]], documents: str = "documents", rounds: int = ROUNDS) -> str:
