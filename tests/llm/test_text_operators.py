@@ -166,6 +166,22 @@ def test_repeats_plain(make_docs, corpus, monkeypatch, hot):
     assert sum(r[2] for r in got) > 1000
 
 
+def test_a_shared_passage_is_not_dealt_whole(spark, make_docs, monkeypatch):
+    """The bytes that go to one part of the shuffle grow with the tasks, not with the documents that share the passage."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(suffix, "HOT_REGIONS", 20)
+    placed = []
+    monkeypatch.setattr(suffix, "sorted_shards", lambda parts, length, own=suffix.sorted_shards: placed.append(parts) or own(parts, length))
+    rng = np.random.default_rng(8)
+    say = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    passage = say(300)
+    out = suffix.remove_repeats(make_docs([(i, say(150) + passage + say(150)) for i in range(600)]))
+    most = placed[0].where("region IS NOT NULL").groupBy("part").agg(F.sum(F.octet_length("region")).alias("n")).agg(F.max("n")).first()[0]
+    assert most < 10_000, most
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[0]["n_removed"] == 0 and all(r["n_spans"] == 1 and 300 <= r["n_removed"] < 310 for i, r in rows.items() if i)
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 def shingles(text):

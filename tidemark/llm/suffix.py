@@ -5,8 +5,9 @@ keyed by the smallest hash of its 24-byte substrings, so equal windows have equa
 windows with one key are regions.  Equal regions are reduced to the first, already by the tasks that find them; windows of
 the others are later ones.  A key that then stands at a single place cannot repeat.  The regions of the other keys are dealt
 into shards by key and every shard is sorted by external induced sorting (:mod:`tidemark.llm.induced`): neighbours whose
-common prefix reaches ``length`` are equal windows, the first stays, the others cover their bytes.  Keys with very many
-regions are dealt by a longer second key as well.
+common prefix reaches ``length`` are equal windows, the first stays, the others cover their bytes.  Of keys with
+very many regions every window is dealt by a 128-bit hash of its own bytes instead, without them: tasks keep the first place
+of each hash they see, so what is sent for one window grows with the tasks, not with the documents that share it.
 """
 from __future__ import annotations
 
@@ -23,9 +24,8 @@ from tidemark.llm.induced import suffix_blocks
 
 LENGTH = 100
 GRAM = 24
-#: Regions of a key beyond which a second key over longer substrings deals them further apart.
+#: Regions of a key beyond which its windows are dealt one by one.
 HOT_REGIONS = 2000
-HOT_GRAM = 80
 SLICE = 1 << 20
 #: Bytes of regions sorted together; a single key may exceed it, and the sorter's queues then go to disk.
 SHARD_BYTES = 4 << 20
@@ -83,12 +83,6 @@ def places_of_key(keys: np.ndarray, hashes: np.ndarray, first: np.ndarray, last:
     return np.where(left == right, 1, 2).astype(np.int32)
 
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of equal keys."""
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return starts, np.diff(np.concatenate([starts, [len(keys)]]))
-
-
 class FirstPlaces:
     """The smallest place seen lately of each region, in a table of bounded size: tells later copies within a task."""
 
@@ -160,12 +154,25 @@ def repeated_regions(found: DataFrame) -> DataFrame:
                     (F.col("places") > HOT_REGIONS).alias("hot")))
 
 
+def merged(ranges: list[list[int]]) -> list[list[int]]:
+    """Byte ranges in ascending order, those that meet made one."""
+    out: list[list[int]] = []
+    for lo, end in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([lo, end])
+    return out
+
+
 _PLACED = "part long, doc long, version int, lo long, end long, key long, region binary"
 
 
 def placed_regions(work: DataFrame, length: int) -> DataFrame:
-    """Rows to be dealt by ``part``: first regions with their bytes, and merged ranges of later ones without."""
+    """Rows to be dealt by ``part``: first regions with their bytes, merged ranges of later ones without, and windows of hot
+    keys with 16 bytes of hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = FirstPlaces(REMEMBERED)
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for whole in batches:
             for batch in chunks(iter([whole]), "text", 1 << 20):
@@ -175,18 +182,23 @@ def placed_regions(work: DataFrame, length: int) -> DataFrame:
                     for x in sorted(found, key=lambda x: x["lo"]):
                         lo, end = x["lo"], x["lo"] + x["windows"] + length - 1
                         if x["later"]:
-                            if gone and lo <= gone[-1][1]:
-                                gone[-1][1] = max(gone[-1][1], end)
-                            else:
-                                gone.append([lo, end])
+                            gone.append([lo, end])
                         elif not x["hot"]:
                             out.append((x["key"], doc, version, lo, end, x["key"], text[lo:end]))
                         else:
-                            keys, _ = window_keys(np.frombuffer(text[lo:end], np.uint8), length, HOT_GRAM)
-                            for start, count in zip(*(r.tolist() for r in runs(keys))):
-                                key = int(mix64(keys[start:start + 1] ^ U64(x["key"] & (1 << 64) - 1)).view(np.int64)[0])
-                                a = lo + start
-                                out.append((key, doc, version, a, a + count + length - 1, key, text[a:a + count + length - 1]))
+                            data = np.frombuffer(text[lo:end], np.uint8)
+                            key, at = gram_hashes(data, length), np.arange(x["windows"])
+                            body = span_hash(data, at, at + length)
+                            # within the region only the first of equal windows stays
+                            once = np.unique(np.stack([key, body]), axis=1, return_index=True)[1]
+                            later = np.ones(len(at), bool)
+                            later[once] = seen.later(key[once], body[once], np.full(len(once), doc),
+                                                     np.full(len(once), version, np.int32), lo + once)
+                            gone += [[lo + i, lo + i + length] for i in np.flatnonzero(later).tolist()]
+                            for i in np.flatnonzero(~later).tolist():
+                                own = int(key[i:i + 1].view(np.int64)[0])
+                                out.append((own, doc, version, lo + i, lo + i + length, own, key[i].tobytes() + body[i].tobytes()))
+                    gone = merged(gone)
                     out += [(doc * 31 + version & (1 << 62) - 1, doc, version, lo, end, None, None) for lo, end in gone]
                 columns = list(zip(*out)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
@@ -231,18 +243,17 @@ def sorted_shards(parts: DataFrame, length: int) -> DataFrame:
                                               ["doc", "version", "first", "end"])
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
-            """rows: (doc, version, lo, region)"""
+            """rows: (doc, version, lo, end, region); a region shorter than a window is the hash of one."""
             once: dict[bytes, tuple] = {}
             out = []
             for row in rows:
-                first = once.setdefault(row[3], row)
+                first = once.setdefault(row[4], row)
                 if first[:3] != row[:3]:
-                    once[row[3]] = min(first, row)
-                    gone = max(first, row)
-                    out.append((gone[0], gone[1], gone[2], gone[2] + len(gone[3])))
-            unique = sorted(once.values())
-            for i, a, b in later_windows([r[3] for r in unique], length):
-                doc, version, lo, _ = unique[i]
+                    once[row[4]] = min(first, row)
+                    out.append(max(first, row)[:4])
+            unique = sorted(r for r in once.values() if len(r[4]) >= length)
+            for i, a, b in later_windows([r[4] for r in unique], length) if unique else ():
+                doc, version, lo = unique[i][:3]
                 out.append((doc, version, lo + a, lo + b + length - 1))
             return ranges(out)
 
@@ -252,7 +263,7 @@ def sorted_shards(parts: DataFrame, length: int) -> DataFrame:
             own = batch.filter(pc.invert(known))
             if own.num_rows:
                 yield pa.RecordBatch.from_arrays([own.column(c) for c in ("doc", "version", "lo", "end")], ["doc", "version", "first", "end"])
-            held.append(batch.filter(known).select(["key", "doc", "version", "lo", "region"]))
+            held.append(batch.filter(known).select(["key", "doc", "version", "lo", "end", "region"]))
         table = pa.Table.from_batches(held) if held else None
         if table is None or not table.num_rows:
             return
@@ -264,7 +275,7 @@ def sorted_shards(parts: DataFrame, length: int) -> DataFrame:
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b == len(keys) or size[b - 1] - (size[start - 1] if start else 0) >= SHARD_BYTES:
                 some = table.slice(start, b - start)
-                yield solve(list(zip(*(some.column(c).to_pylist() for c in ("doc", "version", "lo", "region")))))
+                yield solve(list(zip(*(some.column(c).to_pylist() for c in ("doc", "version", "lo", "end", "region")))))
                 start = b
 
     return map_arrow(parts, run, "doc long, version int, first long, end long")
