@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, bpe, covertree, linededup, minmax, mixing, quality, suffix, tokenbin, toxicity
+from tidemark.llm import bitslice, bpe, covertree, linededup, minmax, mixing, quality, rules, runs, suffix, tokenbin, toxicity
 from tidemark.llm.common import read_table
 
 
@@ -64,6 +64,14 @@ def op10_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.rewritten(read_table(spark, sf_dir, "documents")), least=24, times=3))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(read_table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_byte_bpe": op2_byte_bpe,
@@ -75,8 +83,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_bitslice_topk": op10_bitslice_topk,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_mixture": mixing.mixture_sql(MIXTURE),
     "op3_line_dedup": linededup.LINE_DEDUP_SQL,
+    "op13_quality_rules": rules.QUALITY_RULES_SQL,
 }
