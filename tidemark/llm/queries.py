@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, bpe, covertree, linededup, minmax, mixing, quality, rules, runs, suffix, tokenbin, toxicity
+from tidemark.llm import bitslice, bpe, covertree, linededup, minmax, mixing, quality, rules, runs, suffix, tokenbin, toxicity, trie
 from tidemark.llm.common import read_table
 
 
@@ -68,6 +68,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(runs.rewritten(read_table(spark, sf_dir, "documents")), least=24, times=3))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(*trie.rebuilt_trie(read_table(spark, sf_dir, "conversations")))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read_table(spark, sf_dir, "documents")).drop("lang", "source")
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bitslice_topk": op10_bitslice_topk,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_quality_rules": op13_quality_rules,
 }
 ORACLES: dict[str, str] = {
