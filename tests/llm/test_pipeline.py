@@ -33,5 +33,5 @@ def test_entry_registers_the_operators():
     import __spark_entry__
     names = set(__spark_entry__.queries())
     found = {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))}
-    assert found == set(range(1, 11)) and "pipeline" in names
-    assert {"op1_mixture", "op3_line_dedup"} <= set(__spark_entry__.oracle_sql())
+    assert found == set(range(1, 14)) and "pipeline" in names
+    assert {"op1_mixture", "op3_line_dedup", "op13_quality_rules"} <= set(__spark_entry__.oracle_sql())
