@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,14 @@ from tidemark.session import scratch_path, ship_package
 U64 = np.uint64
 
 
+def give_back() -> None:
+    """Return free memory of this process to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,9 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the Python workers."""
+    """``mapInArrow`` with the package shipped to the Python workers, which give back free memory after each task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def text_of(col: str = "text") -> Column:
@@ -58,7 +71,7 @@ def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most_bytes`` of text each (one row at least), to bound working memory."""
     for batch in batches:
         sizes = np.diff(flat_utf8(batch.column(column))[1])
@@ -99,14 +112,33 @@ def spans(inside: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _SPAN_BASE = 0x9E3779B97F4A7C15
+_SPAN_INVERSE = pow(_SPAN_BASE, -1, 1 << 64)
 _SPAN_TABLE = seeded_words(9, 256)
+_SPAN_BLOCK = 1 << 14
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[U64(1)], np.full(max(n - 1, 0), U64(base))]), dtype=np.uint64)
+
+
+_SPAN_POWERS, _SPAN_INVERSES = _powers(_SPAN_BASE, _SPAN_BLOCK), _powers(_SPAN_INVERSE, _SPAN_BLOCK)
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of a polynomial: linear in the buffer, whatever the spans."""
+    """A 64-bit hash of each byte span, from prefix sums of a polynomial: linear in the buffer, whatever the spans.
+
+    The sums are taken block by block: beside the result of 8 bytes a byte only blocks are held.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers = lambda base: np.cumprod(np.concatenate([[U64(1)], np.full(len(data), U64(base))]), dtype=np.uint64)
-    total = np.concatenate([[U64(0)], np.cumsum(_SPAN_TABLE[data] * powers(_SPAN_BASE)[:-1], dtype=np.uint64)])
-    inverse = powers(pow(_SPAN_BASE, -1, 1 << 64))
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    total = np.zeros(len(data) + 1, np.uint64)
+    blocks = -(-len(data) // _SPAN_BLOCK) + 1
+    high = _powers(pow(_SPAN_BASE, _SPAN_BLOCK, 1 << 64), blocks)
+    for k, at in enumerate(range(0, len(data), _SPAN_BLOCK)):
+        values = _SPAN_TABLE[data[at:at + _SPAN_BLOCK]]
+        values *= _SPAN_POWERS[:len(values)]
+        values *= high[k]
+        np.cumsum(values, out=total[at + 1:at + 1 + len(values)])
+        total[at + 1:at + 1 + len(values)] += total[at]
+    inverse = _SPAN_INVERSES[starts % _SPAN_BLOCK] * _powers(pow(_SPAN_INVERSE, _SPAN_BLOCK, 1 << 64), blocks)[starts // _SPAN_BLOCK]
+    return mix64((total[ends] - total[starts]) * inverse + (ends - starts).astype(np.uint64))
