@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_utf8, unpacked
-from tidemark.llm.training import adam, fit_in_task, fold_of, labelled_sample, score_documents, score_rows, sigmoid
+from tidemark.llm.common import flat_utf8, packed, text_of, unpacked
+from tidemark.llm.training import adam, fit_in_task, fold_of, labelled_sample, score_documents, score_of, sigmoid
+from tidemark.session import ship_package
 
 BITS = 18
 SIZES = (4, 6, 8)
@@ -107,5 +108,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, thres
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` scored below ``threshold``, with all their columns as they are."""
-    rows = score_rows(docs, fitted(docs, labels, sample_rows))
+    scorer = fitted(docs, labels, sample_rows)
+    ship_package(docs.sparkSession)
+    rows = packed(docs).withColumn("score", score_of(text_of("row.text"), scorer))
     return unpacked(rows.where(F.col("score") < threshold), docs.columns)

@@ -5,11 +5,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import chunks, map_arrow, packed, text_of, written
+from tidemark.llm.common import chunks, map_arrow, text_of, written
 
 
 def fold_of(doc_id: str, parts: int) -> Column:
@@ -17,8 +16,10 @@ def fold_of(doc_id: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int) -> DataFrame:
-    """(text, y) of at most ``most`` labelled documents, the first by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int,
+                    most_bytes: int = 64 << 20) -> DataFrame:
+    """(text, y) of at most ``most`` labelled documents, the first by a hash of the id, as far as their whole texts come to
+    ``most_bytes`` together: the model is fitted in one task.
 
     Label rows that are null or not 0/1 are left out; several rows of one document count as their largest label.
     """
@@ -26,8 +27,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
               .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # at most `most` ids of 12 bytes: a broadcast of proven size; repeated documents are reduced to `most` rows again
-    return (texts.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "y")), "doc_id")
-            .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).select("text", "y"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    sample = texts.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "y")), "doc_id").orderBy(*order).limit(most)
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over `most` rows
+    return sample.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("text", "y")
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[pa.Array, np.ndarray], bytes]) -> bytes:
@@ -55,14 +58,13 @@ def score_documents(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], t
     return map_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def score_rows(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """Every input row as the struct ``row``, and its ``score``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(scorer(batch.column(1)), 0.0, 1.0))], ["row", "score"])
+def score_of(text: Column, scorer: Callable[[pa.Array], np.ndarray]) -> Column:
+    """The score of a text column; only the texts go through Python, the rest of the row stays where it is."""
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [np.clip(scorer(part.column(0)), 0.0, 1.0) for part in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")]
+        return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
-    rows = packed(docs).withColumn("text", text_of("row.text"))
-    return map_arrow(rows, run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return F.arrow_udf(score, "double")(text)
 
 
 def adam(shapes: list[tuple[int, ...]]) -> Callable[[list[np.ndarray], list[np.ndarray], float], None]:
