@@ -29,6 +29,8 @@ CELLS = 256
 FULL = 65535
 #: Flags of the filter by which texts are kept for their sets (2 MB).
 SLOTS = 1 << 24
+#: Text worked on at once in a task.
+SLICE_BYTES = 512 << 10
 #: Members of a bucket compared with each other in one task.
 BLOCK = 512
 _MULTIPLIERS = seeded_words(61, PERMUTATIONS)
@@ -103,7 +105,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, n, f1, f2, bands): set size, 128-bit set fingerprint and band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SLICE_BYTES):
             hashes, offsets = shingles(batch.column("text"))
             sets, signature = distinct_sets(hashes, offsets), signatures(hashes, offsets)
             prints = [np.array([np.sum(mix64(s ^ U64(seed)), dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for seed in (1, 2)]
@@ -144,7 +146,7 @@ def full_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         flags = np.unpackbits(shared.value).astype(bool)
         for whole in batches:
             whole = whole.filter(pa.array(flags[whole.column("slot").to_numpy()]))
-            yield from sets_of(chunks(iter([whole]), "text"))
+            yield from sets_of(chunks(iter([whole]), "text", SLICE_BYTES))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

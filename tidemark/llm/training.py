@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import chunks, map_arrow, text_of, written
 
+#: Text scored at once in a task.
+SLICE_BYTES = 512 << 10
+
 
 def fold_of(doc_id: str, parts: int) -> Column:
     """crc32(doc_id as text) mod ``parts``; a null id counts as empty text."""
@@ -48,7 +51,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Array, np.ndarray], bytes])
 def score_documents(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], threshold: float, held_out: Column) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; ``scorer`` maps an Arrow text array to scores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SLICE_BYTES):
             scores = np.clip(scorer(batch.column(2)), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
@@ -61,7 +64,7 @@ def score_documents(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], t
 def score_of(text: Column, scorer: Callable[[pa.Array], np.ndarray]) -> Column:
     """The score of a text column; only the texts go through Python, the rest of the row stays where it is."""
     def score(texts: pa.Array) -> pa.Array:
-        parts = [np.clip(scorer(part.column(0)), 0.0, 1.0) for part in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")]
+        parts = [np.clip(scorer(part.column(0)), 0.0, 1.0) for part in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", SLICE_BYTES)]
         return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     return F.arrow_udf(score, "double")(text)
