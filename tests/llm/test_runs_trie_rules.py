@@ -57,7 +57,7 @@ def brute_digest(doc_id, text):
 def periodic_corpus(corpus):
     rng = random.Random(11)
     rows = list(corpus)
-    for k in range(1000, 1200):
+    for k in range(1000, 1250):
         words = [rng.choice("ab" if k % 3 else "abcdefgh") + "é" * (k % 2) for _ in range(rng.choice([1, 23, 24, 30, 90, 200]))]
         if k % 4:
             a, p = rng.randrange(len(words)), rng.randint(1, 20)
@@ -242,7 +242,7 @@ def test_rules_against_brute_force(spark, corpus):
     for k in range(1000, 1700):
         source = rng.choice(["s0", "s0", "s0", None, f"rare{k}"])
         lang = rng.choice(["en", "en", None, "de", f"l{k}"])
-        size = 9 if k % 50 == 0 else 4
+        size = 9 if k % 20 == 0 else 4
         text = " ".join(word(rng.randint(2, 2 * size)) for _ in range(rng.randint(3, 120)))
         if k % 33 == 0:
             text += " # $ % & | <br> " * 20

@@ -13,7 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, induced, linededup, minmax, mixing, suffix, tokenbin
-from tidemark.llm.queries import MIXTURE
+from tidemark.llm.queries import MIXTURE, REST_SHARE, SIZE
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -251,12 +251,12 @@ def test_rake_meets_marginals():
 
 def test_mixture_equals_sql(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = mixing.with_probability(docs, MIXTURE).select("doc_id", "topic", "n_tokens", "probability", "kept")
+    got = mixing.with_probability(docs, MIXTURE, SIZE, REST_SHARE).select("doc_id", "topic", "n_tokens", "probability", "kept")
     want = duckdb.sql("SELECT doc_id, topic, n_tokens, probability, kept FROM ("
-                      + mixing.mixture_sql(MIXTURE, f"read_parquet('{sf_dir}/documents.parquet')") + ")").fetchall()
+                      + mixing.mixture_sql(MIXTURE, SIZE, REST_SHARE, f"read_parquet('{sf_dir}/documents.parquet')") + ")").fetchall()
     assert sorted(rows_of(got)) == sorted(want)
     kept = Counter()
-    for r in mixing.with_probability(docs, MIXTURE).selectExpr("row.lang", "n_tokens * probability AS w").collect():
+    for r in mixing.with_probability(docs, MIXTURE, SIZE, REST_SHARE).selectExpr("row.lang", "n_tokens * probability AS w").collect():
         kept[r["lang"]] += r["w"]
     for lang, share in MIXTURE["lang"].items():
         assert abs(kept[lang] / sum(kept.values()) - share) < 0.02
@@ -287,6 +287,37 @@ def test_few_null_sources_barely_change_the_pipeline_sample(spark):
     assert counts[0] > 500 and all(abs(c - counts[0]) < 0.03 * counts[0] for c in counts), counts
 
 
+def test_mixture_meets_all_marginals_and_its_sql_on_a_skewed_table(spark, tmp_path):
+    """Targets far from the shares present on every axis, nulls and unlisted values among the rows; a size that every cell can give."""
+    size = 0.2
+    docs = skewed_docs(spark, 5).selectExpr("doc_id", "text", "CASE WHEN doc_id % 97 = 0 THEN NULL WHEN doc_id % 89 = 0 THEN 'it' ELSE lang END AS lang", "source")
+    path = str(tmp_path / "documents")
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    odds = mixing.with_probability(docs, MIXTURE, size, REST_SHARE)
+    want = duckdb.sql("SELECT doc_id, topic, n_tokens, probability, kept FROM ("
+                      + mixing.mixture_sql(MIXTURE, size, REST_SHARE, f"read_parquet('{path}/*.parquet')") + ")").fetchall()
+    assert sorted(rows_of(odds.select("doc_id", "topic", "n_tokens", "probability", "kept"))) == sorted(want)
+    rows = odds.selectExpr("row.source", "row.lang", "topic", "n_tokens AS present", "n_tokens * probability AS w").collect()
+    total, present = sum(r.w for r in rows), sum(r.present for r in rows)
+    assert abs(total / present - size) < 1e-6
+    moved = 0
+    for axis, target in MIXTURE.items():
+        for value, share in target.items():
+            own = [r for r in rows if r[axis] == value]
+            got, had = sum(r.w for r in own) / total, sum(r.present for r in own) / present
+            # met, or the whole category is kept because it is too scarce
+            assert abs(got - share) < 0.02 or got * total > 0.999 * had * present, (axis, value, got, share)
+            moved += abs(had - share) > 0.05
+    assert moved >= 5
+    assert min(r.probability for r in odds.where("row.lang IS NULL or row.source IS NULL").collect()) > 0
+
+
+def test_one_odd_document_changes_the_expected_number_little(spark):
+    expected = [mixing.with_probability(skewed_docs(spark, n), MIXTURE, SIZE, REST_SHARE).agg({"probability": "sum"}).first()[0] for n in (0, 1, 5)]
+    assert all(abs(e - expected[0]) < 0.03 * expected[0] for e in expected), expected
+
+
 def test_scarce_cells_are_kept_whole_and_the_others_meet_the_shares():
     rng = np.random.default_rng(4)
     table = rng.uniform(500, 1500, (4, 3, 5))
@@ -310,9 +341,9 @@ def test_pipeline_keeps_null_and_unlisted_languages(spark):
     assert kept >= 5
     many = some.selectExpr("doc_id", "text", "CASE WHEN doc_id % 5 = 0 THEN 'it' ELSE lang END AS lang", "source")
     assert corpus_pipeline.sample_mixture(spark, many, "").where("lang = 'it'").count() > 0
-    odds = mixing.with_probability(many, MIXTURE, corpus_pipeline.SIZE, corpus_pipeline.REST)
+    odds = mixing.with_probability(many, MIXTURE, 0.2, REST_SHARE)
     held = {r[0]: r[1] for r in odds.selectExpr("row.lang", "n_tokens * probability AS w").groupBy("lang").sum("w").collect()}
-    assert abs(held["it"] / sum(held.values()) - corpus_pipeline.REST) < 1e-3
+    assert abs(held["it"] / sum(held.values()) - (1 - sum(MIXTURE["lang"].values()))) < 1e-3
 
 
 def test_rest_share_is_what_targets_leave_or_the_least():

@@ -14,6 +14,8 @@ from tidemark.llm.common import packed, text_of, unpacked
 
 REST = "(rest)"
 ROUNDS = 40
+#: Times that the cells which can give their part are fitted again, at most; what is then still missing stays missing.
+REFITS = 8
 SEED = "mix-1"
 
 
@@ -63,7 +65,7 @@ def calibrated(table: np.ndarray, targets: list[np.ndarray], size: float | None
 
     Without ``size`` the largest ratio becomes 1, however small its cell.  ``size`` is the part of all weight to be kept:
     cells that cannot give their part of it are kept whole, and the others are fitted again to what is then missing of
-    each share, until every cell can give its part.
+    each share, until every cell can give its part (REFITS times at most).
     """
     fitted = rake(table, targets)
     ratio = np.divide(fitted, table, out=np.zeros_like(fitted), where=table > 0)
@@ -71,7 +73,10 @@ def calibrated(table: np.ndarray, targets: list[np.ndarray], size: float | None
         return np.where(table > 0, ratio / max(ratio.max(initial=0.0), 1e-300), 1.0)
     wanted = size * table.sum()
     kept, whole = fitted * wanted, np.zeros(table.shape, bool)
-    while (over := ~whole & (kept > table * (1 + 1e-9))).any():
+    for _ in range(REFITS):
+        over = ~whole & (kept > table * (1 + 1e-9))
+        if not over.any():
+            break
         whole |= over
         given = np.where(whole, table, 0.0)
         missing = [np.maximum(0.0, wanted * t - given.sum(axis=tuple(a for a in range(table.ndim) if a != axis)))
@@ -94,7 +99,8 @@ def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]], size
     at least, is the share of the rest.  Probabilities are proportional to fitted over present weight in each cell, the largest being 1, so the
     expected token shares are the fitted ones; with ``size``, the part of all tokens to keep, scarce cells are kept whole
     instead of setting the scale (:func:`calibrated`).  Documents without tokens have the probability of their cell, 1 if the
-    cell has no tokens at all.  A null source or lang belongs to the rest; repeated ids are decided alike; an empty
+    cell has no tokens at all.  A null source or lang belongs to the rest; without ``size`` or ``rest`` the rest may get the
+    probability 0 (targets that sum to 1) or nearly empty the sample (a tiny cell with a share of its own).  Repeated ids are decided alike; an empty
     table gives an empty result.
     """
     names = list(targets)
@@ -124,34 +130,46 @@ def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]], size:
     return unpacked(with_probability(docs, targets, size, rest).where("kept"), docs.columns)
 
 
-def mixture_sql(targets: dict[str, dict[str, float]], documents: str = "documents", rounds: int = ROUNDS) -> str:
-    """DuckDB SQL for doc_id, source, lang, topic, n_tokens, probability, kept; the rounds are unrolled."""
+def mixture_sql(targets: dict[str, dict[str, float]], size: float, rest: float, documents: str = "documents", rounds: int = ROUNDS) -> str:
+    """DuckDB SQL for doc_id, source, lang, topic, n_tokens, probability, kept.
+
+    One recursive table over the cells: each step fits one axis; after ``rounds`` of them the cells that cannot give their
+    part are marked whole and the fit of the others starts again.
+    """
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     cell = lambda n: f"CASE WHEN {n} IN ({', '.join(map(quoted, targets[n]))}) THEN {n} ELSE '{REST}' END AS cell_{n}"
     names = list(targets)
     cells = ", ".join(f"cell_{n}" for n in names)
-    parts = [f"""base AS (
+    shares = ", ".join(f"({i}, {quoted(v)}, {float(x)!r}::DOUBLE)" for i, n in enumerate(names) for v, x in zip([*targets[n], REST], shares_of(targets[n], rest)))
+    axis = f"step % {len(names)}"
+    value = f"CASE {axis} " + " ".join(f"WHEN {i} THEN cell_{n}" for i, n in enumerate(names)) + " END"
+    fits = len(names) * rounds
+    return f"""
+WITH RECURSIVE base AS (
   SELECT *, CASE WHEN n_lines >= 10 THEN 'listing' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 600 THEN 'article' ELSE 'longform' END AS topic
   FROM (SELECT *, CAST(CASE WHEN length(t) = 0 THEN 0 ELSE 2 * length(t) - length(replace(t, ' ', '')) - length(replace(t, chr(10), '')) + 1 END AS BIGINT) AS n_tokens,
                length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines
-        FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM {documents})))""",
-             f"marked AS (SELECT *, {', '.join(map(cell, names))} FROM base)",
-             f"cells AS (SELECT {cells}, CAST(sum(n_tokens) AS DOUBLE) AS w FROM marked GROUP BY ALL)",
-             "fit0 AS (SELECT *, w / greatest(sum(w) OVER (), 1e-300) AS f FROM cells)"]
-    k = 0
-    for n in names:
-        rows = ", ".join(f"({quoted(v)}, {s!r}::DOUBLE)" for v, s in targets[n].items())
-        rest = max(0.0, 1.0 - sum(targets[n].values()))
-        parts.append(f"want_{n} AS (SELECT v, CASE WHEN m.f > 0 THEN s ELSE 0 END / sum(CASE WHEN m.f > 0 THEN s ELSE 0 END) OVER () AS s "
-                     f"FROM (VALUES {rows}, ('{REST}', {rest!r}::DOUBLE)) t(v, s) JOIN (SELECT cell_{n}, sum(w) AS f FROM cells GROUP BY 1) m ON m.cell_{n} = v)")
-    for _ in range(rounds):
-        for n in names:
-            k += 1
-            parts.append(f"fit{k} AS MATERIALIZED (SELECT {cells}, w, CASE WHEN m > 0 THEN f * s / m ELSE 0 END AS f FROM "
-                         f"(SELECT x.*, t.s, sum(f) OVER (PARTITION BY cell_{n}) AS m FROM fit{k - 1} x JOIN want_{n} t ON t.v = cell_{n}))")
-    parts.append(f"odds AS (SELECT *, CASE WHEN w > 0 THEN f / w ELSE 0 END AS r FROM fit{k})")
-    parts.append("chance AS (SELECT *, CASE WHEN w > 0 THEN round(r / max(r) OVER (), 9) ELSE 1.0 END AS probability FROM odds)")
-    return ("WITH " + ",\n".join(parts) + f"""
+        FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM {documents}))),
+marked AS (SELECT *, {', '.join(map(cell, names))} FROM base),
+cells AS (SELECT {cells}, CAST(sum(n_tokens) AS DOUBLE) AS w FROM marked GROUP BY ALL),
+want(axis, v, share) AS (VALUES {shares}),
+fit AS (
+  SELECT {cells}, w, w / greatest(sum(w) OVER (), 1e-300) AS f, false AS whole, 0.0::DOUBLE AS kept, 0 AS step, 0 AS turn,
+         {size!r}::DOUBLE * sum(w) OVER () AS wanted FROM cells
+  UNION ALL
+  SELECT {cells}, w,
+    CASE WHEN step < {fits} THEN CASE WHEN now > 0 THEN f * (lack / greatest(all_lack, 1e-300)) / now ELSE 0 END
+         ELSE CASE WHEN whole OR over THEN 0 ELSE w END / greatest(sum(CASE WHEN whole OR over THEN 0 ELSE w END) OVER (), 1e-300) END AS f,
+    CASE WHEN step < {fits} THEN whole ELSE whole OR over END AS whole, CASE WHEN step < {fits} THEN kept ELSE part END AS kept,
+    CASE WHEN step < {fits} THEN step + 1 ELSE 0 END AS step, CASE WHEN step < {fits} THEN turn ELSE turn + 1 END AS turn, wanted
+  FROM (SELECT *, sum(lack / n) OVER () AS all_lack, NOT whole AND part > w * (1 + 1e-9) AS over
+        FROM (SELECT x.*, CASE WHEN now > 0 THEN greatest(0, CASE WHEN turn = 0 THEN share ELSE wanted * share - given END) ELSE 0 END AS lack,
+                     CASE WHEN whole THEN w ELSE 0 END + f * greatest(0, wanted - all_given) AS part
+              FROM (SELECT *, {axis} AS axis, {value} AS v, sum(f) OVER c AS now, count(*) OVER c AS n,
+                           sum(CASE WHEN whole THEN w ELSE 0 END) OVER c AS given, sum(CASE WHEN whole THEN w ELSE 0 END) OVER () AS all_given
+                    FROM fit WHERE turn <= {REFITS} WINDOW c AS (PARTITION BY {value})) x
+              JOIN want ON want.axis = x.axis AND want.v = x.v) y) z),
+chance AS (SELECT {cells}, CASE WHEN w > 0 THEN round(least(1, kept / w), 9) ELSE 1.0 END AS probability FROM fit WHERE turn = {REFITS + 1} AND step = 0)
 SELECT doc_id, source, lang, topic, n_tokens, probability,
        CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 < probability AS kept
-FROM marked JOIN chance USING ({cells})""")
+FROM marked JOIN chance USING ({cells})"""
