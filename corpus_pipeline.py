@@ -9,29 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, linededup, minmax, mixing, toxicity
 from tidemark.llm.common import read_table
-from tidemark.llm.queries import MIXTURE, byte_bpe_of
+from tidemark.llm.queries import MIXTURE, REST_SHARE, SIZE, byte_bpe_of
 from tidemark.session import scratch_path
 
-#: The part of the tokens that the mixture keeps, whatever cells are scarce.
-SIZE = 0.4
-#: The least share of sources and languages that the targets do not name, nulls among them.
-REST = 0.01
-
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored below 0.5; null and empty texts have the score of the bias alone, without labels nothing is rejected."""
     return toxicity.reject_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, without the lines of three-line windows that occur earlier; null texts stay null, repeated rows are cut alike."""
     return linededup.without_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates, and one of each doc_id; rows without words or with a null id stay."""
     return minmax.one_of_each(docs, percent=75)
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sample_mixture(docs, MIXTURE, size=SIZE, rest=REST)
+    """Rows drawn by their cell's probability; null and unlisted sources and languages have a stated least share, rows without
+    tokens stay where their cell has none."""
+    return mixing.sample_mixture(docs, MIXTURE, size=SIZE, rest=REST_SHARE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
