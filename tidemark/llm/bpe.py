@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, map_arrow, text_of, written
+from tidemark.llm.common import chunks, kept, map_arrow, text_of, written
 
 NO_MERGE = 1 << 30
 BUCKETS = 1 << 16
@@ -29,6 +29,8 @@ BUCKETS = 1 << 16
 DICTIONARY_WORD_BYTES = 64
 #: Longer words are merged with a heap instead of list scans.
 LONG_WORD_BYTES = 256
+#: Text worked on at once in a task.
+SLICE_BYTES = 1 << 20
 #: White space as the rank files' pattern means it (the White_Space property).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -121,10 +123,10 @@ def count_words(docs: DataFrame, pattern: str, flush: int = 150_000) -> DataFram
         find, seen = word_pattern(pattern).findall, Counter()
 
         def out() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in seen.items() if len(w.encode()) <= DICTIONARY_WORD_BYTES]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()),
-                                               pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
-        for batch in chunks(batches, "text"):
+            short = [(w, n) for w, n in seen.items() if len(w.encode()) <= DICTIONARY_WORD_BYTES]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()),
+                                               pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+        for batch in chunks(batches, "text", SLICE_BYTES):
             for text in batch.column(0).to_pylist():
                 seen.update(find(text))
                 if len(seen) >= flush:
@@ -231,16 +233,10 @@ class Codec:
         return b"".join(map(self.piece, np.frombuffer(payload, "<u4").tolist()))
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def _codec(shared: Broadcast) -> Codec:
-    """One codec a worker process and broadcast value; the previous one goes."""
+    """One codec a worker process and broadcast value."""
     value = shared.value
-    if id(value) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[id(value)] = Codec(*value)
-    return _CODECS[id(value)]
+    return kept(("codec", id(value)), lambda: Codec(*value))
 
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, dictionary_words: int = 1 << 18) -> DataFrame:
@@ -256,7 +252,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, dictionary_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SLICE_BYTES):
             ids, decoded = [], []
             for text in batch.column(1).to_pylist():
                 ids.append(codec.encode(text))

@@ -15,8 +15,25 @@ from tidemark.session import scratch_path, ship_package
 U64 = np.uint64
 
 
+#: What a worker process keeps from task to task, and the keys used since memory was last given back.
+_KEPT: dict = {}
+_USED: set = set()
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """A value of one stage, made once in a worker process; it goes when a task of another stage ends."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    _USED.add(key)
+    return _KEPT[key]
+
+
 def give_back() -> None:
     """Return free memory of this process to the system: workers are used again by later stages."""
+    for key in _KEPT.keys() - _USED:
+        del _KEPT[key]
+    _USED.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:
@@ -37,7 +54,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the Python workers, which give back free memory after each task."""
+    """``mapInArrow`` with the package shipped to the Python workers, which give back free memory after each task, and what an
+    earlier stage has kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
         give_back()

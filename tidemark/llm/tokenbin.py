@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, chunks, map_arrow, mix64, text_of, written
+from tidemark.llm.common import U64, chunks, kept, map_arrow, mix64, text_of, written
 from tidemark.session import scratch_path, ship_package
 
 MAGIC = b"TOKSHRD1"
@@ -170,13 +170,8 @@ class WordEncoder:
         return [b"".join(map(young.__getitem__, words)) + end for words in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, shards: int) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, map_arrow, text_of, written
+from tidemark.llm.common import chunks, give_back, map_arrow, text_of, written
 
 #: Text scored at once in a task.
 SLICE_BYTES = 512 << 10
@@ -65,6 +65,7 @@ def score_of(text: Column, scorer: Callable[[pa.Array], np.ndarray]) -> Column:
     """The score of a text column; only the texts go through Python, the rest of the row stays where it is."""
     def score(texts: pa.Array) -> pa.Array:
         parts = [np.clip(scorer(part.column(0)), 0.0, 1.0) for part in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", SLICE_BYTES)]
+        give_back()
         return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     return F.arrow_udf(score, "double")(text)
