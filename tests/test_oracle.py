@@ -35,6 +35,10 @@ def duck(sf_dir):
     return con
 
 
+#: Queries whose right result on these tables has no rows.
+EMPTY: set[str] = set()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
@@ -46,6 +50,7 @@ def test_query_matches_oracle(spark, sf_dir, duck, name):
     orows = r.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
+    assert rows or name in EMPTY, "an empty result on both sides proves nothing"
     assert _digest(rows, df.columns) == _digest(orows, ocols)
 
 

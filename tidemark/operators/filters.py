@@ -97,3 +97,23 @@ def all_of(*preds: Column | None) -> Column:
         if p is not None:
             cond = cond & p
     return cond
+
+
+#: Recency classes that a period of so many days lets pass: a class is known by its longest age (1, 7 and more days).
+PERIOD_CLASSES = {"today": ("new",), "7 days": ("new", "mid"), "30 days": ("new", "mid")}
+
+
+def catalog_filter(has_key: bool = False, recency: Sequence[str] = (), period: str | None = None, check: bool = False,
+                   search: str = "", searched: Sequence[str] = ("table",)) -> Column:
+    """the filter that the given options make over catalog rows (``keys``, ``recency``, ``status`` and text columns).
+
+    ``has_key``: tables with keys.  ``recency``: these classes.  ``period``: one of PERIOD_CLASSES.  ``check``: tables that need
+    a look, empty or unreadable.  ``search``: literal text, any case, in the joined ``searched`` columns.
+    """
+    text = F.lower(F.concat_ws("", *[F.col(c) for c in searched]))
+    wanted = search.strip().lower()
+    return all_of(F.coalesce(F.col("keys"), F.lit(0)) > 0 if has_key else None,
+                  F.col("recency").isin(*recency) if recency else None,
+                  F.col("recency").isin(*PERIOD_CLASSES[period]) if period else None,
+                  F.col("status").isin("warn", "empty") if check else None,
+                  F.contains(text, F.lit(wanted)) if wanted else None)

@@ -1,7 +1,7 @@
 """Data-quality, diff and profile operators (Q1..Q11)."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +87,7 @@ def risk_rules(df: DataFrame, rules: Mapping[str, float] = WEATHER_RULES) -> Dat
 def rejected_report(raw: DataFrame, keep: Column, group_col: str, start_col: str, start: Column, end: Column,
                     unmapped: Sequence[str] = (), top: int = 5) -> DataFrame:
     """Q5: rows in / kept / expanded / dropped, kept rows whose non-blank start time is not understood, the top dropped
-    values of ``group_col`` (``value (n)``, a top-k report) and the unmapped headers.
+    values of ``group_col`` (``value (n)``, a top-k report), the unmapped headers, and the likely cause if no row is left.
 
     ``keep`` is the filter, ``start`` and ``end`` the parsed times: one aggregate over the raw rows and one for the top
     values; nothing is joined back.
@@ -101,12 +101,18 @@ def rejected_report(raw: DataFrame, keep: Column, group_col: str, start_col: str
                    F.coalesce(F.sum(F.when(F.col("_kept"), F.col("_days"))), F.lit(0)).cast("long").alias("rows_expanded"),
                    F.count_if(F.col("_kept") & F.col("_bad")).alias("rows_unparsed"))
     tops = top_n_values(raw.filter(~kept), group_col, top)
+    unread = F.col("rows_unparsed") > 0
+    # why nothing is left, if nothing is: the first of these that holds
+    cause = (F.when(F.col("rows_expanded") > 0, F.lit(None).cast("string")).when(F.col("rows_in") == 0, "no rows")
+             .when(F.lit(bool(unmapped)), "unmapped headers").when(F.col("rows_kept") == 0, "all rows filtered")
+             .when(unread, "start times not understood").otherwise("no start times"))
+    counts = counts.withColumn("cause", cause)
     tagged = counts.select("*", F.lit(None).cast("string").alias("_v"), F.lit(None).cast("long").alias("_n")).unionByName(
         tops.select(F.col("value").alias("_v"), F.col("n").cast("long").alias("_n")), allowMissingColumns=True)
     top_list = F.transform(
         F.sort_array(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct((-F.col("_n")).alias("neg"), F.col("_v").alias("value"))))),
         lambda x: F.concat(x["value"], F.lit(" ("), (-x["neg"]).cast("string"), F.lit(")")))
-    one = tagged.agg(*[F.max(c).alias(c) for c in ("rows_in", "rows_kept", "rows_expanded", "rows_unparsed")], top_list.alias("top_dropped"))
+    one = tagged.agg(*[F.max(c).alias(c) for c in ("rows_in", "rows_kept", "rows_expanded", "rows_unparsed", "cause")], top_list.alias("top_dropped"))
     return (one.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept"))
             .withColumn("unmapped", F.array(*[F.lit(u) for u in unmapped]).cast("array<string>")))
 
@@ -162,6 +168,44 @@ def catalog_metadata(tables: Mapping[str, DataFrame], keys: Mapping[str, str], f
     return prof.select("table", "rows", "cols", "keys", status.alias("status"), recency_class("modified", F.lit(as_of)).alias("recency"))
 
 
+def read_profiles(tables: Mapping[str, DataFrame | Callable[[], DataFrame]], keys: Mapping[str, str] | None = None,
+                  approx: bool = False) -> DataFrame:
+    """Q2/Q3: table, rows, cols, keys and reason of every table, found by reading it.
+
+    Each table is opened and counted on its own, one small aggregate each: one that is missing, unreadable or broken in a later
+    row gets a null profile and the reason, and does not stop the others.
+    """
+    rows = []
+    for name, table in tables.items():
+        try:
+            df = table() if callable(table) else table
+            row = catalog_profile({name: df}, keys, approx).first()
+            rows.append((name, row["rows"], row["cols"], row["keys"], None))
+        except Exception as e:  # noqa: BLE001 - what cannot be read is a finding
+            rows.append((name, None, None, None, f"{type(e).__name__}: {e}"))
+    return SparkSession.getActiveSession().createDataFrame(rows, "table string, rows long, cols long, keys long, reason string")
+
+
+def catalog_of_readable(tables: Mapping[str, DataFrame | Callable[[], DataFrame]], keys: Mapping[str, str], files: DataFrame, as_of: str,
+                        approx: bool = False) -> DataFrame:
+    """Q2 in full over tables some of which cannot be read: their status is 'warn'; otherwise as :func:`catalog_metadata`."""
+    from ..functions.scalars import recency_class
+    prof = read_profiles(tables, keys, approx).join(files, "table", "left")
+    status = (F.when(F.col("reason").isNotNull(), "warn").when(F.col("rows") == 0, "empty")
+              .when(F.coalesce(F.col("auto"), F.lit(False)), "auto").otherwise("saved"))
+    return prof.select("table", "rows", "cols", "keys", status.alias("status"), recency_class("modified", F.lit(as_of)).alias("recency"))
+
+
+def health_report(spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], expected: Sequence[str]) -> DataFrame:
+    """Q3 in full: every expected table read and judged (:func:`table_health`), and the line '(found)' with how many passed."""
+    prof = read_profiles({t: tables[t] for t in expected if t in tables})
+    reasons = {r["table"]: r["reason"] for r in prof.where("reason is not null").collect()}  # of the expected tables
+    h = table_health(spark, prof.where("reason is null").drop("reason"), expected, reasons)
+    total = h.agg(F.lit("(found)").alias("table"), F.when(F.count_if(F.col("check") != "PASS") == 0, "PASS").otherwise("WARN").alias("check"),
+                  F.concat(F.count_if(F.col("check") == "PASS").cast("string"), F.lit("/"), F.count("*").cast("string")).alias("detail"))
+    return h.unionByName(total)
+
+
 def table_health(spark: SparkSession, profile: DataFrame, expected: Sequence[str],
                  unreadable: Mapping[str, str] | None = None) -> DataFrame:
     """Q3: expected tables left-joined to the profile: PASS rows x cols / WARN missing / FAIL with the reason, for tables
@@ -191,6 +235,12 @@ def archive_plan(files: DataFrame, archive: DataFrame, section: str = "section",
                         .when(F.col("archived"), F.lit("duplicate")).otherwise(F.lit("move")))
 
 
+def archive_totals(plan: DataFrame) -> DataFrame:
+    """Q11's totals: files, and those with nested date prefixes, of each action and of all ('(all)')."""
+    return (plan.rollup("action").agg(F.count("*").alias("files"), F.count_if(F.col("depth") > 1).alias("nested"), F.max("depth").alias("deepest"))
+            .withColumn("action", F.coalesce("action", F.lit("(all)"))))
+
+
 def enrich_stats(enriched: DataFrame, key: str, hit_col: str = "risk_keywords") -> DataFrame:
     """Q8: distinct keys without a value (unmapped) and with one (ok)."""
     k = strip(F.col(key))

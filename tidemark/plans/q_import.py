@@ -12,11 +12,16 @@ from .views import read
 
 # ---------------------------------------------------------------------- landing folders made of driver tables
 ORDER_SCHEMA = "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date"
-#: A record that does not parse where the key is divisible by 11, one that parses but is not valid where it is by 13.
-_ORDER_LINE = F.concat_ws(",", F.when(F.col("o_orderkey") % 11 == 0, F.lit("#")).otherwise(F.col("o_orderkey").cast("string")),
-                          F.col("o_custkey").cast("string"),
-                          F.when(F.col("o_orderkey") % 13 == 0, F.lit("-1.0")).otherwise(F.col("o_totalprice").cast("double").cast("string")),
-                          F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderkey").cast("string")))
+
+
+def order_line():
+    """A record that does not parse where the key is divisible by 11, one that parses but is not valid where it is by 13."""
+    k = F.col("o_orderkey")
+    return F.concat_ws(",", F.when(k % 11 == 0, F.lit("#")).otherwise(k.cast("string")), F.col("o_custkey").cast("string"),
+                       F.when(k % 13 == 0, F.lit("-1.0")).otherwise(F.col("o_totalprice").cast("double").cast("string")),
+                       F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(k % 11 == 0, k.cast("string")))
+
+
 _ORDER_KIND = "CASE WHEN o_orderkey % 11 = 0 THEN 'malformed' WHEN o_orderkey % 13 = 0 THEN 'negative' ELSE 'merged' END"
 
 
@@ -46,7 +51,7 @@ def q_import_rows(spark, sf_dir):
     """T4: every landed record is either merged or in quarantine with its reason, though a file among them cannot be read."""
     root = scratch_path(spark, "import-rows")
     folder = f"{root}/landing"
-    land_lines(read(spark, sf_dir, "orders").select(_ORDER_LINE), folder)
+    land_lines(read(spark, sf_dir, "orders").select(order_line()), folder)
     land_bytes(spark, f"{folder}/broken.txt.gz", b"this is no gzip file")
     result = import_source(spark, order_source(folder), root)
     if result["state"] != "partial" or result["files_failed"] != 1:
@@ -70,7 +75,7 @@ def q_import_run(spark, sf_dir):
     """T5: one run over three sources, one of which fails, with a row for each and one status row; a second run of a source finds
     nothing new."""
     root = scratch_path(spark, "import-run")
-    land_lines(read(spark, sf_dir, "orders").select(_ORDER_LINE), f"{root}/land-orders")
+    land_lines(read(spark, sf_dir, "orders").select(order_line()), f"{root}/land-orders")
     land_bytes(spark, f"{root}/land-orders/broken.txt.gz", b"this is no gzip file")
     read(spark, sf_dir, "customer").select("c_custkey", "c_name").write.parquet(f"{root}/land-customers")
     read(spark, sf_dir, "supplier").select("s_suppkey").write.parquet(f"{root}/land-suppliers")

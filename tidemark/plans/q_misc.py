@@ -15,6 +15,7 @@ from ..operators.schema import (PERMIT_HEADER_CANDIDATES, drop_columns_by_token,
 from ..session import scratch_path
 from ..sources.status import latest_status
 from . import sqlfrag as Q
+from .models import stub_model
 from .pipelines import PERMIT_KEYS, PLAN_COLUMNS, permit_pipeline, plan_pipeline, visits_pipeline
 from .queries import PERMIT_OUT, SQL_PERMIT_DAILY, register
 from .views import (permit_view, read, v_dict, v_fuel_new, v_fuel_old, v_permit,
@@ -338,14 +339,6 @@ def q_job_latest(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------- X5 / Q8
-def stub_model(keys):
-    """Deterministic stand-in for an external model: answers every key except CONF* (empty)."""
-    import pandas as pd
-    kw = keys.map(lambda k: "" if k.startswith("CONF") else f"KW-{k.upper()}")
-    wn = keys.map(lambda k: "" if k.startswith("CONF") else f"check {k}")
-    return pd.DataFrame({"keyword": kw, "warning": wn})
-
-
 @register("enrich_missing", with_views("v_permit", "v_dict") + """,
 dict AS (SELECT trim(work) AS work, coalesce(arg_max(keyword, _seq), '') AS keyword,
                 coalesce(arg_max(warning, _seq), '') AS warning FROM v_dict WHERE trim(work) <> '' GROUP BY 1),

@@ -40,10 +40,10 @@ def q_int_like_text(spark, sf_dir):
 
 
 @register("message_select", with_views("v_message") + "," + _SQL_MIGRATED + """
-SELECT * FROM migrated WHERE team = 'user' AND ref_type = '없음' AND date IS NOT DISTINCT FROM ''""")
+SELECT * FROM migrated WHERE team = 'assistant' AND ref_type = 'link' AND date IS NOT DISTINCT FROM '2024-01-05'""")
 def q_message_select(spark, sf_dir):
     """rows equal (null-safe) on three columns."""
-    return _migrated(spark, sf_dir).filter(equal_null_safe({"team": "user", "ref_type": "없음", "date": ""}))
+    return _migrated(spark, sf_dir).filter(equal_null_safe({"team": "assistant", "ref_type": "link", "date": "2024-01-05"}))
 
 
 @register("flag_counts", """

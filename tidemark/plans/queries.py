@@ -154,3 +154,4 @@ from . import q_docs, q_misc  # noqa: E402,F401
 from . import q_ops  # noqa: E402,F401
 from . import q_more  # noqa: E402,F401
 from . import q_import  # noqa: E402,F401
+from . import q_landing  # noqa: E402,F401
