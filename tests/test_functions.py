@@ -115,3 +115,36 @@ def test_zone_independent_formatting(spark):
         assert tuple(r.p) == ("20010401", "0200")
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_time_columns_stay_within_what_the_jvm_compiles(spark):
+    """The JVM does not compile methods of over 8,000 bytes; a sheet with several time and number columns must stay well below."""
+    from tidemark.plans.pipelines import sheet_pipeline
+    columns = ["PJT", "Start", "Finish", "HFO(ton)", "LS HFO (ton)", "LS MGO"]
+    raw = spark.createDataFrame([tuple("x" * len(columns))], ", ".join(f"`{c}` string" for c in columns)).where("PJT <> ''")
+    path = __import__("tempfile").mkdtemp(prefix="tm-gen-") + "/t"
+    raw.toDF(*[f"c{i}" for i in range(len(columns))]).write.parquet(path)
+    stored = spark.read.parquet(path).toDF(*columns)
+    module = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$")
+    stages = module.codegenStringSeq(sheet_pipeline(stored, "fuel_usage")._jdf.queryExecution().executedPlan())
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and max(sizes) < 6000, sizes
+
+
+def test_shapes_of_times(spark):
+    """Edges of the accepted shapes: wrong widths, trailing text, impossible clocks, empty and control characters."""
+    import datetime as dt
+    from tidemark.functions import parse_ts_formats, parse_ts_mixed
+    T = dt.datetime
+    cases = {"2024-05-01 3:05 PM": T(2024, 5, 1, 15, 5), "2024/05-01 12:05:10 am tail": T(2024, 5, 1, 0, 5, 10), "2024-05-01 오후 3:05:1": T(2024, 5, 1, 15, 5),
+             "2024-05-01 오전 12:00": T(2024, 5, 1), "2024-05-01 13:05 PM": None, "2024-5-01 3:05 PM": None, "2024-05-01 3:05:1 PM": None,
+             "2024-5-1 3:5:7": T(2024, 5, 1, 3, 5, 7), "2024/5-1": None, "20240501": T(2024, 5, 1), "2024.5.1": T(2024, 5, 1), "2024.5.1 3:05": None,
+             "2024-05-01T3:5:7": T(2024, 5, 1, 3, 5, 7), "2024-05-01T3:5": None, "2024-02-30": None, "2024-05-01 24:00": None, "": None, " ": None,
+             "\x01|2024|01|01": None, "24/5/1 3:05": None, "2024-05-01 x": None, "202405011": None, " 2024-05-01 ": T(2024, 5, 1), None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    got = {r.s: r.t for r in df.select("s", parse_ts_mixed("s").alias("t")).collect()}
+    assert got == cases
+    short = {"24/5/1 3:05": T(2024, 5, 1, 3, 5), "68/12/31 23:59:59": T(2068, 12, 31, 23, 59, 59), "69/01/01 0:0": T(1969, 1, 1), "24/5/1": None,
+             "2024/5/1 3:05": T(2024, 5, 1, 3, 5), "24-5-1 3:05": None, "2024-05-01 3:05 PM": None}
+    df = spark.createDataFrame([(k,) for k in short], "s string")
+    assert {r.s: r.t for r in df.select("s", parse_ts_formats("s").alias("t")).collect()} == short

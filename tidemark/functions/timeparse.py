@@ -31,25 +31,51 @@ EXCEL_SERIAL_RANGE = (1000.0, 200000.0)
 TWO_DIGIT_PIVOT_YEAR = 2069
 
 
-
-# Accepted shapes (validated by one regex each; components then come from a split).
-_GENERAL_RX = (r"^(?:[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}(?: [0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?)?"
-               r"|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
-               r"|[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}|[0-9]{8})$")
-_YY_RX = r"^[0-9]{2}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?$"
-
-
-def _int(x: Column) -> Column:
-    return F.coalesce(x.try_cast("int"), F.lit(0))
-
-
-def _make_ts(y: Column, mo: Column, d: Column, h: Column, mi: Column, sec: Column) -> Column:
-    # The year is never defaulted: a null year (rejected shape) makes the result null.
-    return F.try_make_timestamp_ntz(y.try_cast("int"), _int(mo), _int(d), _int(h), _int(mi),
-                                    _int(sec).cast("decimal(8,6)"))
-
-
-def parse_datetime(c: Column | str, two_digit_year: bool = False, gate: Column | None = None) -> Column:
+# The accepted shapes.  They are fixed values too (FIXTURES.md): other texts must stay unparsed for equal results.
+_TIME = "(?: [0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?)"
+_GENERAL_SHAPES = (
+    "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}" + _TIME + "?",
+    "[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}" + _TIME + "?",
+    "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}",
+    r"[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}",
+    "[0-9]{8}",
+)
+_SHORT_YEAR_SHAPE = "[0-9]{2}/[0-9]{1,2}/[0-9]{1,2}" + _TIME
+# A date, a clock time and its marker in either order, whatever follows: "2024-05-01 3:05 PM", "2024/05/01 오후 3:05:10".
+_MARKED_DATE = r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}\s+"
+_CLOCK = "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
+_MARKED_SHAPES = (_MARKED_DATE + _CLOCK + r"\s+[AaPp][Mm]", _MARKED_DATE + r"(?:오전|오후)\s+" + _CLOCK)
+# Where the components are in a text of any of these shapes: year, month, day, then a time to the end, or a marked time.
+_DATE_PARTS = "([0-9]{4}|[0-9]{2}(?=/))[-/.]?([0-9]{1,2})[-/.]?([0-9]{1,2})"
+_TIME_PARTS = r"[ T]([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?\z"
+_MARKED_PARTS = r"\s+(?:(오전|오후)\s+)?([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?:\s+([AaPp])[Mm])?"
+# year, month, day, hour, minute, second, marker; a missing number is 0, as a cast of empty text costs an exception
+_ORDERED = "$1|0$2|0$3|0$4$8|0$5$9|0$6$10|$7$11"
+
+
+def _parse_shapes(s: Column, whole: Sequence[str], marked: Sequence[str] = (), short_year: bool = False) -> Column:
+    """The timestamp of a stripped text of one of the shapes (``whole`` texts, or texts that begin as ``marked`` ones); null for
+    other texts and for impossible dates and times.
+
+    One regex replacement looks ahead for the shapes and puts the components into one order (empty for other texts), one
+    split takes them apart: a small expression, so that several time columns beside each other still make generated methods
+    that the JVM compiles.
+    """
+    shape = "|".join([*marked, "(?:" + "|".join(whole) + r")\z"])
+    pattern = rf"(?s)^(?:(?={shape}){_DATE_PARTS}(?:{_TIME_PARTS}|{_MARKED_PARTS})?.*|.*)\z"
+    parts = F.split(F.regexp_replace(s, F.lit(pattern), F.lit(_ORDERED)), "[|]", -1)
+    part = [F.get(parts, F.lit(i)) for i in range(7)]
+    # a null year, that of a text of no shape, makes the result null before anything else is looked at
+    year, hour = F.nullif(part[0], F.lit("")).cast("int"), part[3].cast("int")
+    if short_year:
+        year = F.when(F.length(part[0]) == 2, year + F.when(year < TWO_DIGIT_PIVOT_YEAR - 2000, F.lit(2000)).otherwise(F.lit(1900))).otherwise(year)
+    if marked:
+        year = F.when((part[6] == "") | hour.between(1, 12), year)
+        hour = F.when(part[6] == "", hour).otherwise(hour % 12 + F.when(part[6].isin("P", "p", "오후"), F.lit(12)).otherwise(F.lit(0)))
+    return F.try_make_timestamp_ntz(year, part[1].cast("int"), part[2].cast("int"), hour, part[4].cast("int"), part[5].cast("decimal(8,6)"))
+
+
+def parse_datetime(c: Column | str, two_digit_year: bool = False) -> Column:
     """Parse the explicit format list (no free-form inference, D8) without exceptions.
 
     Accepted (month/day/hour/minute/second with 1 or 2 digits):
@@ -57,31 +83,9 @@ def parse_datetime(c: Column | str, two_digit_year: bool = False, gate: Column |
     ``yyyy-M-d'T'H:m:s``; ``yyyy.M.d``; ``yyyyMMdd``; and with ``two_digit_year``
     also ``yy/M/d H:m[:s]`` where years 00..68 are 20yy and 69..99 are 19yy (D9).
     Invalid calendar values (Feb 30, hour 24, ...) give null.
-
-    One regex validates the shape; the components come from one unconditional
-    ``split`` (evaluated once per row thanks to subexpression elimination) and
-    ``try_make_timestamp_ntz``.
     """
-    c = col_of(c)
-    s = strip(c)
-    rx = _GENERAL_RX if not two_digit_year else _GENERAL_RX[:-2] + "|" + _YY_RX[1:-1] + ")$"
-    ok = s.rlike(rx) if gate is None else (gate & s.rlike(rx))
-    eight = (F.length(s) == 8) & ~s.contains("-") & ~s.contains("/") & ~s.contains(".")
-    norm = F.when(eight, F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2))
-                  ).otherwise(s)
-    parts = F.split(norm, "[-/. T:]")
-
-    def part(i: int) -> Column:
-        return F.try_element_at(parts, F.lit(i))
-
-    year = _int(part(1))
-    if two_digit_year:
-        year = F.when(F.length(part(1)) == 2,
-                      F.when(year < TWO_DIGIT_PIVOT_YEAR - 2000, year + 2000).otherwise(year + 1900)
-                      ).otherwise(year)
-    # Only the year is gated: everything else stays unconditional so the split is
-    # computed once (CSE does not hoist expressions that occur only inside a branch).
-    return _make_ts(F.when(ok, year), part(2), part(3), part(4), part(5), part(6))
+    shapes = (*_GENERAL_SHAPES, _SHORT_YEAR_SHAPE) if two_digit_year else _GENERAL_SHAPES
+    return _parse_shapes(strip(col_of(c)), shapes, short_year=two_digit_year)
 
 
 def parse_with_formats(c: Column | str, formats: Sequence[str]) -> Column:
@@ -104,38 +108,6 @@ def excel_serial_to_ts(x: Column | str) -> Column:
     return F.when((x > lo) & (x < hi), ts)
 
 
-# The shapes of AM/PM texts that count as times (FIXTURES.md), a date, then a clock time and its marker in
-# either order: "2024-05-01 3:05 PM", "2024/05/01 오후 3:05:10".  Other texts must stay unparsed for equal results.
-_DATE_RX = "[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}"
-_CLOCK_RX = "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
-_TAIL_RX = rf"(?i)^{_DATE_RX}\s+{_CLOCK_RX}\s+(AM|PM)"
-_KR_RX = rf"^{_DATE_RX}\s+(오전|오후)\s+{_CLOCK_RX}"
-_TIME_RX = f"^{_CLOCK_RX}"
-
-
-def _ampm_ts(s: Column) -> tuple[Column, Column]:
-    """(matched?, timestamp) for ``date time AM|PM`` and ``date 오전|오후 time`` (prefix match).
-
-    No CASE around the timestamp: validity gates only the year argument, so the
-    token split stays in always-evaluated positions (computed once per row).
-    """
-    tail, kr = s.rlike(_TAIL_RX), s.rlike(_KR_RX)
-    matched = tail | kr
-    tok = F.split(s, r"\s+")
-    date = F.element_at(tok, 1)
-    t = F.regexp_extract(F.when(tail, F.try_element_at(tok, F.lit(2))).otherwise(F.try_element_at(tok, F.lit(3))),
-                         _TIME_RX, 0)
-    tp = F.split(t, ":")
-    h = _int(F.element_at(tp, 1))
-    pm = F.when(tail, F.upper(F.substring(F.try_element_at(tok, F.lit(3)), 1, 2)) == "PM"
-                ).otherwise(F.try_element_at(tok, F.lit(2)) == "오후")
-    hour = (h % 12) + F.when(pm, F.lit(12)).otherwise(F.lit(0))
-    year = F.when(matched & h.between(1, 12), F.substring(date, 1, 4))
-    ts = _make_ts(year, F.substring(date, 6, 2), F.substring(date, 9, 2),
-                  hour.cast("string"), F.element_at(tp, 2), F.try_element_at(tp, F.lit(3)))
-    return matched, ts
-
-
 def parse_ts_mixed(c: Column | str, numeric: bool = False,
                    general: Sequence[str] = GENERAL_FORMATS,
                    accept_text_serial: bool = False) -> Column:
@@ -151,11 +123,7 @@ def parse_ts_mixed(c: Column | str, numeric: bool = False,
     if numeric:
         return excel_serial_to_ts(c)
     s = strip(c)
-    matched, ampm = _ampm_ts(s)
-    # At most one candidate is non-null; ``greatest`` evaluates both (no branch), which
-    # lets subexpression elimination compute each split once.  Blank text matches no
-    # shape and gives null.
-    out = F.greatest(ampm, parse_datetime(c, False, gate=~matched))
+    out = _parse_shapes(s, _GENERAL_SHAPES, _MARKED_SHAPES)
     if accept_text_serial:
         out = F.when(s.rlike(r"^[0-9]+(\.[0-9]+)?$") & ~s.rlike(r"^[0-9]{8}$"),
                      excel_serial_to_ts(s.try_cast("double"))).otherwise(out)
