@@ -123,3 +123,12 @@ def test_keep_last_matches_window(spark):
     a = keep_last(df, ["k", "k2"])
     b = keep_last_window(df, ["k", "k2"])
     assert rows(a, "k", "k2", "v") == rows(b, "k", "k2", "v")
+
+
+def test_join_unique_equals_the_cards(spark):
+    from tidemark.operators.aggregate import group_cards, join_unique
+    rows = [("a", "x", 3), ("a", "y", 1), ("a", "x", 0), ("a", "nan", 2), ("b", None, 4), ("b", "", 5), ("c", "z", 6)]
+    df = spark.createDataFrame(rows, "k string, name string, _seq long")
+    cards = {r.k: r.name for r in group_cards(df, ["k"], joined=("name",)).collect()}
+    alone = {r.k: r.name for r in join_unique(df, ["k"], "name").collect()}
+    assert cards == {"a": "x, y", "b": "", "c": "z"} and alone == {"a": "x, y", "c": "z"}
