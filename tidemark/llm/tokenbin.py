@@ -134,6 +134,10 @@ class Shard:
 
 # ---------------------------------------------------------------- encoding
 
+#: Words of one call of the tokenizer.
+CALL_WORDS = 256
+
+
 class WordEncoder:
     """The library's tokenizer, asked once for each distinct blank-separated word while its bounded memo lasts.
 
@@ -152,6 +156,24 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
         self.memo_words = memo_words
 
+    def ask(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of words without blanks; plain ones many to a call, parted again where their tokens begin."""
+        kind = f"<u{self.width}"
+        plain, other = [], []
+        for word in words:
+            (plain if word.isalpha() or (word.isascii() and word.isprintable()) else other).append(word)
+        groups = [plain[k:k + CALL_WORDS] for k in range(0, len(plain), CALL_WORDS)]
+        for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, kind).tobytes()
+            begin = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            after = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+            place = 0
+            for word, end in zip(group, (np.searchsorted(begin, after) * self.width).tolist()):
+                yield word, ids[place:end]
+                place = end
+        for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            yield word, np.array(found.ids, kind).tobytes()
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         if len(self.young) >= self.memo_words:
             self.old, self.young = self.young, {}
@@ -163,10 +185,9 @@ class WordEncoder:
                     young[word] = old[word]
                 else:
                     new.append(word)
-        kind = f"<u{self.width}"
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            young[word] = np.array(found.ids, kind).tobytes()
-        end = np.array([end_id], kind).tobytes()
+        young.update(self.ask([word for word in new if word]))
+        young[""] = b""
+        end = np.array([end_id], f"<u{self.width}").tobytes()
         return [b"".join(map(young.__getitem__, words)) + end for words in split]
 
 
