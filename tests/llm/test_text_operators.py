@@ -1,5 +1,6 @@
 """Encoding, deduplication and mixing against plain versions on a small corpus."""
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -82,6 +84,27 @@ def test_shards_special_strings_as_in_the_library(make_docs):
     assert got == want
 
 
+def test_pieces_as_the_library():
+    """Texts of certain characters, contractions, other characters and special strings, against the library on whole texts."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), tokenbin.WordEncoder(path, remembered=3000)
+    assert encoder.known_shape
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 1 << 16)]))
+    certain = re.findall(f"[{tokenbin.CERTAIN}]", every)
+    rng = random.Random(5)
+    parts = ["'", "'s", "'re", "'LL", "'ve", "''", " ", "\n", "\t", "a", "Re", "1", "22", "²", "Ä", "ñ", "...", "###", "<|", "|>", "<|endoftext|>",
+             "<|ENDOFTEXT|>", "“", "ll", "İ", "é", "\xa0", "\x0b", "\x00", "中", "Ж", "😀", "ſ", "ß"]
+    texts = ["x" + c + "9" + c + "'s" + c + c for c in certain if ord(c) < 0x3000] + ["", "'", " "]
+    texts += ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["".join(rng.choices(certain[:100], k=rng.randint(0, 40))) for _ in range(2000)]
+    for at in range(0, len(texts), 97):
+        group = texts[at:at + 97]
+        ids, counts = encoder.encode(pa.array(group), 2)
+        ends = np.cumsum(counts).tolist()
+        for text, size, end in zip(group, counts.tolist(), ends):
+            assert ids[end - size:end].tolist() == library.encode(text, add_special_tokens=False).ids + [2], text
+
+
 def test_perfect_hash_is_minimal_and_tells_foreign_keys(tmp_path):
     keys = tokenbin.key_hash(np.arange(5000), np.zeros(5000, bool), np.zeros(5000, np.int64))
     assert sorted(tokenbin.PerfectHash(tokenbin.build_hash(keys)).slots(keys).tolist()) == list(range(5000))

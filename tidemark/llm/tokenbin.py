@@ -11,7 +11,9 @@ documents, ids, width, MAGIC.
 """
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, chunks, kept, map_arrow, mix64, text_of, written
+from tidemark.llm.common import U64, chunks, flat_utf8, kept, map_arrow, mix64, text_of, written
 from tidemark.session import scratch_path, ship_package
 
 MAGIC = b"TOKSHRD1"
@@ -134,61 +137,142 @@ class Shard:
 
 # ---------------------------------------------------------------- encoding
 
-#: Words of one call of the tokenizer.
-CALL_WORDS = 256
+#: Pieces of one call of the tokenizer.
+CALL_PIECES = 256
+#: Pieces remembered by a worker process before its memo starts anew.
+REMEMBERED = 500_000
+#: The tokenizer's own pre-tokens, and the normalisers before them (fixed values: they must equal those of the file).
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
+#: Characters whose class and lower case are the same everywhere and that no normal form joins with a neighbour: Latin without
+#: the dotted capital I, basic Cyrillic, common punctuation, unified ideographs.
+CERTAIN = "\t\n\r -~¡-¬®-įı-ňŊ-žЀ-џ‐-‧€一-龥"
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-žЀ-џ一-龥"
+_BLANK, _LETTER, _NUMBER, _OTHER, _WORD = range(5)
+
+
+def _class_table() -> np.ndarray:
+    """The class of each code point below 2^16, as far as it is certain."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 1 << 16)]))
+    table = np.full(1 << 16, _OTHER, np.uint8)
+    for kind, members in ((_LETTER, f"[{_LETTERS}]"), (_NUMBER, "[0-9²³¹¼-¾]"), (_BLANK, "[ \t\n\r]")):
+        table[[ord(c) for c in re.findall(members, every)]] = kind
+    return table
+
+
+_CLASSES = _class_table()
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, certain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, class) of each piece of the texts, which together cover ``data``.
+
+    Texts of certain characters, in lower case, are parted as PRE_TOKENS does, others at blanks and line feeds only.
+    """
+    kind = _CLASSES[:256][data]
+    high = np.flatnonzero(data >= 0xC0)  # first bytes of the characters beyond ASCII; all bytes of one have its class
+    if len(high):
+        byte, after = data[high].astype(np.int32), lambda k: (data[np.minimum(high + k, len(data) - 1)] & 0x3F).astype(np.int32)
+        two = byte < 0xE0
+        classes = _CLASSES[np.where(two, (byte & 0x1F) << 6 | after(1), (byte & 0xF) << 12 | after(1) << 6 | after(2)) & 0xFFFF]
+        kind[high], kind[high + 1] = classes, classes
+        kind[(high + 2)[~two]] = classes[~two]
+    for text in np.flatnonzero(~certain).tolist():
+        own = data[offsets[text]:offsets[text + 1]]
+        kind[offsets[text]:offsets[text + 1]] = np.where((own == 0x20) | (own == 0x0A), _BLANK, _WORD)
+    begins = np.ones(len(data) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:-1])
+    begins[:-1] |= (kind == _NUMBER) & ((data & 0xC0) != 0x80)
+    begins[offsets] = True
+    # an apostrophe that starts a piece, and the contraction after it
+    at = np.flatnonzero(data == 0x27)
+    text = np.searchsorted(offsets, at, side="right") - 1
+    mine = begins[at] & certain[text]
+    at, room = at[mine], (offsets[text + 1] - at - 1)[mine]
+    near = lambda k: np.where(room >= k, data[np.minimum(at + k, len(data) - 1)], 0)
+    one, two = near(1), near(2)
+    is_ = lambda x, letters: np.isin(x, list(letters))
+    length = np.where(is_(one, b"stmd"), 1, np.where((is_(one, b"rv") & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))), 2, 0))
+    short = length > 0
+    begins[at[short] + 1] = False
+    begins[at[short] + length[short] + 1] = True
+    start = np.flatnonzero(begins[:-1])
+    return start, kind[start]
 
 
 class WordEncoder:
-    """The library's tokenizer, asked once for each distinct blank-separated word while its bounded memo lasts.
+    """The library's tokenizer, asked once for each distinct piece while its bounded memo lasts.
 
-    The tokenizer drops white space before it merges, and neither its pattern nor its normaliser reaches across a blank or
-    line feed, so the ids of a text are those of its words in turn.  The strings of its special tokens hold neither and keep
-    their own ids, as the library gives them by default.  The memo has two generations of ``memo_words`` words:
-    when the young one is full it becomes the old one, from which words that come again move back.
+    A text of certain characters is put into lower case and parted into the tokenizer's own pre-tokens, many of which are
+    asked in one call; the ids of each are those of its number among the call's pre-tokens.  Other texts, and those that may
+    hold a special token's string, are parted at blanks and line feeds only, which the tokenizer drops before it merges and
+    which neither its pattern nor its normaliser reaches across; their words are asked as they are.
     """
 
-    def __init__(self, path: str, memo_words: int = 400_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.memo_words = memo_words
-
-    def ask(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """(word, ids) of words without blanks; plain ones many to a call, parted again where their tokens begin."""
-        kind = f"<u{self.width}"
-        plain, other = [], []
-        for word in words:
-            (plain if word.isalpha() or (word.isascii() and word.isprintable()) else other).append(word)
-        groups = [plain[k:k + CALL_WORDS] for k in range(0, len(plain), CALL_WORDS)]
+        self.remembered = remembered
+        parts = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        splits = [x["pattern"]["Regex"] for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        self.known_shape = steps == NORMALISERS and splits == [PRE_TOKENS]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.counts = np.zeros(0, f"<u{self.width}"), np.zeros(0, np.int64)
+
+    def remember(self, pieces: list[str], single: list[bool]) -> None:
+        """Ask for pieces: pre-tokens many to a call, others one by one."""
+        kind = self.ids.dtype
+        many = [p for p, alone in zip(pieces, single) if not alone]
+        rest = [p for p, alone in zip(pieces, single) if alone]
+        done, ids, counts = [], [self.ids], [self.counts]
+        groups = [many[k:k + CALL_PIECES] for k in range(0, len(many), CALL_PIECES)]
         for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, kind).tobytes()
-            begin = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-            after = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
-            place = 0
-            for word, end in zip(group, (np.searchsorted(begin, after) * self.width).tolist()):
-                yield word, ids[place:end]
-                place = end
-        for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            yield word, np.array(found.ids, kind).tobytes()
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        if len(self.young) >= self.memo_words:
-            self.old, self.young = self.young, {}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        young, old, new = self.young, self.old, []
-        for word in set().union(*split):
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    new.append(word)
-        young.update(self.ask([word for word in new if word]))
-        young[""] = b""
-        end = np.array([end_id], f"<u{self.width}").tobytes()
-        return [b"".join(map(young.__getitem__, words)) + end for words in split]
+            size = np.bincount(np.array(found.word_ids, np.int64), minlength=len(group))
+            if len(size) != len(group) or not size.all():
+                rest += group  # not one pre-token each
+                continue
+            done += group
+            ids.append(np.array(found.ids, kind))
+            counts.append(size)
+        for found in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
+            ids.append(np.array(found.ids, kind))
+            counts.append(np.array([len(found.ids)]))
+        self.number.update(zip(done + rest, range(len(self.counts), len(self.counts) + len(pieces))))
+        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of all texts in turn, ``end_id`` after each, and how many each text has."""
+        if len(self.number) >= self.remembered:
+            self.forget()
+        texts = texts.cast(pa.large_string())
+        certain = pc.and_not(pc.match_substring_regex(texts, f"^[{CERTAIN}]*$"), pc.match_substring(texts, "<|")) if self.known_shape else (
+            pa.array([False] * len(texts)))
+        data, offsets = flat_utf8(pc.if_else(certain, pc.utf8_lower(texts), texts))
+        ends = np.full(len(texts), end_id, self.ids.dtype)
+        if not len(data):
+            return ends, np.ones(len(texts), np.int64)
+        start, kind = piece_starts(data, offsets, certain.to_numpy(zero_copy_only=False))
+        bounds = np.append(start, len(data))
+        pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        place = pieces.indices.to_numpy()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        blank, single = np.zeros(len(names), bool), np.zeros(len(names), bool)
+        blank[place[kind == _BLANK]], single[place[kind == _WORD]] = True, True
+        new = [k for k in np.flatnonzero(~blank).tolist() if names[k] not in self.number]
+        if new:
+            self.remember([names[k] for k in new], single[new].tolist())
+        first = np.cumsum(self.counts) - self.counts
+        number = np.array([0 if b else self.number[name] for name, b in zip(names, blank.tolist())], np.int64)
+        size = (np.where(blank, 0, self.counts[number]) if len(self.counts) else np.zeros(len(names), np.int64))[place]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat((first[number] if len(first) else number)[place] - (upto - size), size) + np.arange(upto[-1])]
+        until = np.concatenate([[0], upto])[np.searchsorted(start, offsets)]
+        return np.insert(ids, until[1:], ends), np.diff(until) + 1
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -210,19 +294,18 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
         with files.open_output_stream(own) as out:
             out.write(MAGIC)
             for batch in chunks(batches, "text"):
-                payload = encoder.encode(batch.column("text").to_pylist(), end_id)
+                payload, size = encoder.encode(batch.column("text"), end_id)
                 numbers = []
                 for doc_id in batch.column("doc_id").to_pylist():
                     nth = nth + 1 if (doc_id,) == last else 0
                     last = (doc_id,)
                     numbers.append(nth)
-                size = np.array([len(p) // encoder.width for p in payload], np.int64)
                 ids = batch.column("doc_id")
                 nulls = np.array(ids.is_null().to_numpy(zero_copy_only=False), bool)
                 keys.append(key_hash(ids.fill_null(0).to_numpy(), nulls, np.array(numbers)))
                 counts.append(size)
                 total += int(size.sum())
-                out.write(b"".join(payload))
+                out.write(payload.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * len(size), pa.int32()), pa.array([name] * len(size)), ids,
                      pa.array(numbers, pa.int64()), pa.array(size)], ["shard", "file", "doc_id", "nth", "n_tokens"])
