@@ -36,6 +36,8 @@ FOOTER_BYTES = struct.calcsize(FOOTER)
 NULL_KEY = U64(0x6E756C6C6E756C6C)
 _STEP, _PRINT = 0x9E3779B97F4A7C15, U64(0x66696E6765727072)
 MOST_LEVELS = 200
+#: Text of one shard, about, where the session's number of partitions would make larger ones.
+SHARD_BYTES = 256 << 20
 
 
 # ---------------------------------------------------------------- index
@@ -350,7 +352,9 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-shards")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(text_of())).alias("bytes")).first()["bytes"] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     keys = written(write_shards(docs, tokenizer_path, folder, end_id, shards), "token-keys")
     totals = sorted((r["shard"], r["n"]) for r in keys.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())  # a row a file
     before, base = 0, []
