@@ -1,5 +1,6 @@
 """Classifiers on held-out labels; vector operators against plain versions."""
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,24 @@ def sound(v):
     return v is not None and all(x is not None and np.isfinite(x) for x in v)
 
 
-@pytest.mark.parametrize("block", [32, 1024])
-def test_near_vectors_plain(spark, rows, monkeypatch, block):
+def test_large_cells_are_parted_again(spark, rows, monkeypatch):
+    """Every vector is in one cell, and cells that one round of few centres leaves too large are parted until they fit."""
+    monkeypatch.setattr(covertree, "BLOCK", 40)
+    monkeypatch.setattr(covertree, "CENTRES", 3)
+    use = [(i, [float(x) for x in r[1]], "a") for i, r in enumerate(rows[:420])]
+    classes = spark.createDataFrame(use, "rep long, embedding array<double>, label string").selectExpr(
+        "named_struct('label', label, 'length', size(embedding)) AS group", "rep", "1L AS weight", "embedding")
+    once = covertree.around_centres(classes.selectExpr("group", "'' AS cell", "rep", "weight", "embedding"))
+    assert max(r["count"] for r in once.groupBy("cell").count().collect()) > 40
+    got = covertree.parted(classes).select("cell", "rep").collect()
+    assert sorted(r["rep"] for r in got) == [r[0] for r in use]
+    assert max(Counter(r["cell"] for r in got).values()) <= 40
+
+
+@pytest.mark.parametrize("block, centres", [(32, 64), (1024, 64), (64, 3)])
+def test_near_vectors_plain(spark, rows, monkeypatch, block, centres):
     monkeypatch.setattr(covertree, "BLOCK", block)
+    monkeypatch.setattr(covertree, "CENTRES", centres)
     got = sorted(map(tuple, covertree.near_vectors(vectors(spark, rows)).collect()), key=str)
     use = [r for r in rows if r[0] is not None and r[2] is not None and sound(r[1]) and any(r[1])]
     parent, links = {r[0]: r[0] for r in rows if r[0] is not None}, {}

@@ -1,13 +1,15 @@
 """Embedding near-duplicates by dual traversal of cover trees: exact threshold pairs.
 
-Unit vectors of equal label are dealt into blocks of bounded size around centres of a bounded sample.  Every block gets
-a cover tree: nested levels of nodes whose radii halve from level to level, each point within its node's covering radius.
+Unit vectors of equal label are dealt into cells around centres of a bounded sample, and cells that are too large into
+cells around centres of their own, until they are blocks of bounded size.  Every block gets a cover tree: nested levels of nodes whose radii halve from level to level, each point within its node's covering radius.
 Two blocks are compared by walking both trees level by level; a pair of nodes is pruned if its centres are further apart
 than the threshold plus both covering radii, and with it all pairs below.  A task returns link counts and a spanning
 forest of its links, never the pairs.  Equal vectors are one weighted representative throughout.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +23,8 @@ from tidemark.session import ship_package
 
 BLOCK = 1024
 CENTRES = 64
+#: Times that too large cells are parted again; each time makes up to CENTRES cells of one.
+DEPTH = 8
 #: Levels end where the radius falls below this share of the threshold distance.
 FINEST = 0.25
 
@@ -109,30 +113,54 @@ def unpack_levels(parts: list[bytes]) -> list:
     return [tuple(np.frombuffer(parts[i + k], kind) for k, kind in enumerate(("<i4", "<i4", "<f8"))) for i in range(0, len(parts), 3)]
 
 
-def build_blocks(classes: DataFrame, least: float) -> DataFrame:
-    """(label, block, root, radius, ids, weights, vectors, tree) of every block of at most about BLOCK vectors."""
-    finest = FINEST * float(np.sqrt(max(0.0, 2 - 2 * least)))
-    # group: vectors of equal label and length; salted, so that no task sees a whole label
-    sizes = classes.groupBy("group").agg(F.count("*").alias("size"))
-    sized = classes.join(sizes, "group")
-    by_hash = Window.partitionBy("group").orderBy(F.xxhash64("rep", "embedding"), "rep")
+def around_centres(cells: DataFrame) -> DataFrame:
+    """The cells (group, cell, rep, weight, embedding) parted: each vector goes to the nearest of its cell's centres.
+
+    A cell has a centre for every BLOCK vectors, CENTRES at most.  Vectors are salted, so that no task sees a whole cell.
+    """
+    whole = ["group", "cell"]
+    sized = cells.join(cells.groupBy(*whole).agg(F.count("*").alias("size")), whole)
+    by_hash = Window.partitionBy(*whole).orderBy(F.xxhash64("rep", "embedding"), "rep")
     centres = (sized.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= CENTRES)
-               .where(F.col("nth") <= F.ceil(F.col("size") / BLOCK)).select("group", F.col("embedding").alias("centre"), "size"))
+               .where(F.col("nth") <= F.ceil(F.col("size") / BLOCK)).select(*whole, F.col("embedding").alias("centre"), "size"))
     salts = F.ceil(F.col("size") / (4 * BLOCK)).cast("int")
-    salted = sized.withColumn("salt", F.pmod(F.hash("rep"), salts)).select("group", "salt", "rep", "weight", "embedding")
-    spread = written(centres.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("group", "salt", "centre"), "covertree-centres")
+    salted = sized.withColumn("salt", F.pmod(F.hash("rep"), salts)).select(*whole, "salt", "rep", "weight", "embedding")
+    spread = written(centres.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(*whole, "salt", "centre"), "covertree-centres")
 
     def nearest(key: tuple, rows: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"group": [], "cell": [], "rep": [], "weight": [], "embedding": []})
+            return pd.DataFrame({c: [] for c in ("group", "cell", "rep", "weight", "embedding")})
         hubs = unit(np.stack(sorted(map(tuple, around["centre"]))).astype(np.float64))
-        cell = np.argmax(unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64)) @ hubs.T, axis=1)
-        return rows[["group", "rep", "weight", "embedding"]].assign(cell=cell)[["group", "cell", "rep", "weight", "embedding"]]
+        hub = np.argmax(unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64)) @ hubs.T, axis=1)
+        return rows[["group", "rep", "weight", "embedding"]].assign(cell=[f"{key[1]}{h}." for h in hub.tolist()])[
+            ["group", "cell", "rep", "weight", "embedding"]]
+
+    ship_package(cells.sparkSession)
+    key = [*whole, "salt"]
+    return written(salted.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(nearest, cells.schema), "covertree-cells")
 
+
+def parted(classes: DataFrame) -> DataFrame:
+    """(group, cell, rep, weight, embedding): cells of at most BLOCK vectors, as far as DEPTH times of parting make them."""
+    open_, done = classes.select("group", F.lit("").alias("cell"), "rep", "weight", "embedding"), []
+    for _ in range(DEPTH):
+        cells = around_centres(open_)
+        large = cells.groupBy("group", "cell").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("group", "cell")
+        large = written(large, "covertree-large")
+        if large.isEmpty():
+            break
+        done.append(cells.join(large, ["group", "cell"], "left_anti"))
+        cells = open_ = cells.join(large, ["group", "cell"], "left_semi")
+    return written(reduce(DataFrame.unionByName, done, cells), "covertree-parted") if done else cells
+
+
+def build_blocks(classes: DataFrame, least: float) -> DataFrame:
+    """(label, block, root, radius, ids, weights, vectors, tree) of every block of at most about BLOCK vectors."""
+    finest = FINEST * float(np.sqrt(max(0.0, 2 - 2 * least)))
+    # group: vectors of equal label and length
     kinds = f"group {classes.schema['group'].dataType.simpleString()}"
-    ship_package(classes.sparkSession)
-    cells = written(salted.groupBy("group", "salt").cogroup(spread.groupBy("group", "salt")).applyInPandas(
-        nearest, f"{kinds}, cell int, rep long, weight long, embedding array<double>"), "covertree-cells")
+    cells = parted(classes)
+    # what centres could not part is cut by hash
     counts = cells.groupBy("group", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = cells.join(counts, ["group", "cell"]).withColumn("part", F.pmod(F.hash("rep"), F.col("parts")))
 
